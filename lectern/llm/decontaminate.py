@@ -61,7 +61,7 @@ def windows(items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> Dat
     return one.select(F.xxhash64("w").alias("win"), F.size("w").alias("n"), "w", "item_ids", F.least(F.size("w"), F.lit(shingle)).alias("k"), hashes.alias("hashes"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: float = 0.05) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: float = 0.05, with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of any item window is hit; ``contaminated`` says
@@ -104,6 +104,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     out = texts.select("key", "doc_id", word_count().alias("n_words")).join(covered.join(named, "key"), "key", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("item_list", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        *["key"] * with_key, "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * round(1 / share) >= F.col("n_words"))).alias("contaminated"),
     )

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _live: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by :func:`release`."""
+def new_path(spark: SparkSession, name: str, own: bool = False) -> str:
+    """A fresh path in the shared folder, removed by :func:`release` unless the caller sees to it (``own``)."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _live.append((spark, path))
+    (_kept if own else _live).append((spark, path))
     return path
 
 
@@ -44,7 +45,7 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         for entry in [e for e in _live if path.endswith(e[1].split(":")[-1])]:
-            _delete(*entry)
+            delete(*entry)
             _live.remove(entry)
 
 
@@ -57,17 +58,25 @@ def release(since: int = 0) -> None:
     """Delete staged tables made after ``since``; call it once their readers are done."""
     while len(_live) > since:
         with contextlib.suppress(Exception):  # the session may have ended already
-            _delete(*_live[-1])
+            delete(*_live[-1])
         _live.pop()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-atexit.register(release)
+def _at_exit() -> None:
+    release()
+    for entry in _kept:
+        with contextlib.suppress(Exception):
+            delete(*entry)
+
+
+atexit.register(_at_exit)
 
 
 def join_bounded(left: DataFrame, right: DataFrame, key: str, rows: int, bound: int = 200_000, salts: int = 32, how: str = "inner") -> DataFrame:
