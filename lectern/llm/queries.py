@@ -37,6 +37,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import classify, train
+    from .langid import training_part
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs.withColumn("held_out", training_part()), train(docs, _table(spark, sf_dir, "labels")), ["doc_id", "held_out"])
+
+
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .images import copies, page_pictures
+
+    return copies(page_pictures(_table(spark, sf_dir, "pages")), "page_id")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
