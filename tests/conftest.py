@@ -36,5 +36,5 @@ def duck():
 
 def rows_of(frame) -> list:
     """Rows of a pandas frame in a form that can be compared: columns and rows sorted, floats rounded."""
-    plain = lambda v: "null" if v is None or str(v) in ("nan", "<NA>", "NaT") else str(round(float(v), 6)) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iufb" else str(v)
+    plain = lambda v: "null" if v is None or str(v) in ("nan", "<NA>", "NaT") else str(round(float(v), 6)) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "x") in "iufb" else str(v)
     return sorted(tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
