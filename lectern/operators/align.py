@@ -99,12 +99,14 @@ def align_chapters(slots: DataFrame, blocks: DataFrame, key: list[str]) -> DataF
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("verse"), right.sort_values("block")
-        got = align(left["text"].fillna("").tolist(), right["text"].fillna("").tolist())
+        got = align(left["text"].fillna("").tolist(), right["b_text"].fillna("").tolist())
         left["block"] = pd.array([right["block"].iloc[j] if j >= 0 else None for j in got], "Int32")
-        left["scan"] = [right["text"].iloc[j] if j >= 0 else None for j in got]
+        left["scan"] = [right["b_text"].iloc[j] if j >= 0 else None for j in got]
         return left[[*key, "verse", "block", "scan"]]
 
-    placed = slots.select(*key, "verse", "text").groupBy(*key).cogroup(blocks.select(*key, "block", "text").groupBy(*key)).applyInPandas(one, schema)
+    # Other names: both sides may come from one table.
+    right = blocks.select(*[F.col(k).alias(f"b_{k}") for k in key], "block", F.col("text").alias("b_text"))
+    placed = slots.select(*key, "verse", "text").groupBy(*key).cogroup(right.groupBy(*[f"b_{k}" for k in key])).applyInPandas(one, schema)
     both = placed.join(slots.select(*key, "verse", "text"), [*key, "verse"])
     return placed.join(bag_similarity(both, [*key, "verse"], "text", "scan"), [*key, "verse"])
 
