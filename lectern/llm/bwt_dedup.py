@@ -276,12 +276,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     texts = staging.only(docs, "doc_id", "text").select(doc_key().alias("key"), "text")
     runs = staging.stage(texts.mapInArrow(lambda it: _runs(it, length, gram), _RUN.format(id=id_type)), "runs")
     shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1")
-    again = staging.stage(runs.join(shared.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor"), "shared-runs")
+    shared = staging.stage(shared, "shared-anchors")
+    same = shared.select("anchor", (F.col("a") == F.col("b")).alias("same"))
+    again = staging.stage(staging.join_skewed(runs, same, ["anchor"], staging.heavy_keys(shared, ["anchor"], "n")), "shared-runs")
     staging.drop(runs)
 
     kinds = again.where("not same").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "first", "last", "at")).alias("r"))
     kinds = staging.stage(kinds, "kinds")
-    counted = kinds.join(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")), "anchor")
+    different = staging.stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")), "different")
+    counted = staging.join_skewed(kinds, different, ["anchor"], staging.heavy_keys(different, ["anchor"], "different"))
     listed = F.collect_list(F.struct("anchor", "content", "times", "different", F.col("r.first").alias("first"), F.col("r.last").alias("last"), F.col("r.at").alias("at")))
     per_doc = staging.stage(counted.groupBy(F.col("r.key").alias("key")).agg(listed.alias("found")), "per-doc")
     one_each = staging.join_found(texts, per_doc).select("text", "found")
@@ -291,12 +294,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     cool = pieces.where(F.col("different") <= hot).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     merged = cool.groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, length), "anchor bigint, content bigint, lo int, hi int")
     strings = pieces.where(F.col("different") > hot).mapInArrow(lambda it: _strings(it, length), "anchor bigint, content bigint, times bigint, lo int, one bigint, two bigint")
-    often = strings.groupBy("anchor", "one", "two").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    counted_out = strings.join(often, ["anchor", "one", "two"]).select("anchor", "content", "lo", F.col("lo").alias("hi"))
+    often = strings.groupBy("anchor", "one", "two").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1")
+    often = staging.stage(often, "often")
+    string = ["anchor", "one", "two"]
+    hits = staging.join_skewed(strings, often.select(*string), string, staging.heavy_keys(often, string, "rows"))
+    # Neighbouring starts of a run become one interval.
+    step = F.col("lo") - F.row_number().over(Window.partitionBy("anchor", "content").orderBy("lo"))
+    counted_out = hits.select("anchor", "content", "lo", step.alias("step")).groupBy("anchor", "content", "step").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).drop("step")
     found = staging.stage(merged.unionByName(counted_out), "intervals")
 
     whole = again.where("same").select("key", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
-    partly = again.where("not same").join(found, ["anchor", "content"]).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
+    run = ["anchor", "content"]
+    partly = staging.join_skewed(again.where("not same"), found, run, staging.heavy_keys(kinds, run, "times")).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
     cover = whole.unionByName(partly)
     order = Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max("hi").over(order)

@@ -99,6 +99,27 @@ def join_found(texts: DataFrame, found: DataFrame, bound: int = 100_000) -> Data
     return texts.join(F.broadcast(found) if few else found, "key")
 
 
+#: A key with more than one row in so many is dealt out anew, over so many tasks; rows below which that isn't worth it.
+HEAVY, DEALT, LIGHT = 1000, 256, 1000
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> list[int]:
+    """Hashes of the keys that hold over a ``HEAVY``-th of all rows; fewer than ``HEAVY``, however large the table."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where((F.col(n) * HEAVY > total) & (F.col(n) > LIGHT)).select(F.xxhash64(*keys)).collect()]
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int]) -> DataFrame:
+    """Inner join on ``keys``; rows of ``left`` with a heavy key are dealt over ``DEALT`` tasks, to each of which ``right`` sends a copy."""
+    if not heavy:
+        return left.join(right, keys)
+    is_heavy = F.xxhash64(*keys).isin(heavy)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns], F.lit(1)), F.lit(DEALT))
+    salted = left.withColumn("__salt", F.when(is_heavy, spread).otherwise(F.lit(0).cast("long")))
+    every = F.when(is_heavy, F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(right.withColumn("__salt", F.explode(every)), [*keys, "__salt"]).drop("__salt")
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
