@@ -3,8 +3,8 @@
 A text is the weighted set of its five-word shingles, weight tf times idf.
 Consistent weighted samples agree with the probability of the weighted Jaccard
 similarity; bands of them bring similar texts into common buckets.  In a bucket
-texts are compared with a pivot, never all with all; those unlike it meet a new
-pivot in the next round.  Every link is verified by the exact weighted Jaccard
+texts are compared with pivots first; where that leaves several classes, an exact
+join finds the pairs across them that can be similar.  Every link is verified by the exact weighted Jaccard
 similarity, and classes are the components of the links.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import staging
 from .components import components
@@ -26,8 +26,8 @@ BANDS, ROWS = 12, 4
 #: Shingles in at most this share of the documents weigh in full.
 #: Beyond it idf falls, so that boilerplate links nothing but large groups of copies stay linked.
 COMMON = 1 / 8
-#: Pivots of a bucket in each round after the first, which has one; they double each round up to the second number.
-PIVOTS, MOST_PIVOTS = 4, 64
+#: Pivots of a bucket in the second round; the first has one.
+PIVOTS = 4
 _rng = np.random.default_rng(1103)
 _GAMMA = _rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _LOG_GAMMA = np.log(_rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
@@ -171,10 +171,66 @@ def _pairs(buckets: DataFrame, seeds: int) -> DataFrame:
     return each.where("node <> pivot")
 
 
+def _weights(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffers(batch.column("text"))
+        for lo, hi in chunks(offsets):
+            rows, hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            if len(rows):
+                weight = counts * _idf(hashes, known, idf).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows + lo)), pa.array(hashes.view(np.int64)), pa.array(weight)], ["node", "shingle", "weight"])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, known: np.ndarray, idf: np.ndarray) -> DataFrame:
+    needed = staging.stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
+    some = staging.join_found(texts.withColumnRenamed("node", "key"), needed).dropDuplicates(["key"])
+    some = staging.stage(some, "pair-texts")
+    both = pairs.select("a", "b").join(some.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    checked = staging.stage(both.mapInArrow(lambda it: _verify(it, known, idf), "a string, b string, similarity double"), "checked")
+    staging.drop(some)
+    return checked
+
+
+def _apart(texts: DataFrame, members: DataFrame, known: np.ndarray, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs of ``members`` (node, root) of different roots that can reach ``threshold``: a, b, bound; none that does is missing.
+
+    A weighted prefix filter: shingles stand rarest first, and a prefix ends where
+    the weight left cannot reach the threshold.  Similar texts share a shingle of
+    both prefixes, and from the first such on enough weight is left in each.
+    """
+    found = members.select(F.col("node").alias("key"))
+    some = staging.join_found(texts.withColumnRenamed("node", "key"), found).dropDuplicates(["key"])
+    sets = staging.stage(some.mapInArrow(lambda it: _weights(it, known, idf), "node string, shingle bigint, weight double"), "weights")
+    counted = sets.join(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
+    of = Window.partitionBy("node")
+    left = F.sum("weight").over(of.orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    prefix = counted.select("node", "shingle", "df", left.alias("rest"), F.sum("weight").over(of).alias("total"))
+    slack = 1 - 1e-9
+    prefix = prefix.where((F.col("df") > 1) & (F.col("rest") >= threshold * slack * F.col("total"))).join(members, "node")
+    prefix = staging.stage(prefix.select("shingle", "root", "node", "rest", "total"), "prefixes")
+    staging.drop(sets)
+    # Roots meet before their members, so that members of one root never do.
+    share = threshold / (1 + threshold) * slack
+    can = lambda a, b: F.least(f"rest{a}", f"rest{b}") >= share * (F.col(f"total{a}") + F.col(f"total{b}"))
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(c + s) for c in df.columns if c != "shingle"])
+    groups = staging.stage(prefix.groupBy("shingle", "root").agg(F.max("rest").alias("rest"), F.min("total").alias("total"), F.count(F.lit(1)).alias("n")), "prefix-roots")
+    heavy = staging.heavy_keys(groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), ["shingle"], "n")
+    meet = staging.join_skewed(side(groups, "_a"), side(groups, "_b"), ["shingle"], heavy).where((F.col("root_a") < F.col("root_b")) & can("_a", "_b"))
+    meet = staging.stage(meet.select("shingle", "root_a", "root_b"), "prefix-meetings")
+    heavy = staging.heavy_keys(groups, ["shingle", "root"], "n")
+    first = staging.join_skewed(side(prefix, "_a"), meet, ["shingle", "root_a"], heavy)
+    pairs = staging.join_skewed(side(prefix, "_b"), first, ["shingle", "root_b"], heavy).where(can("_a", "_b"))
+    bound = F.least("rest_a", "rest_b") / (F.col("total_a") + F.col("total_b"))
+    return pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.max(bound).alias("bound"))
+
+
 def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of ``docs`` with their node (a digest of the text), verified links between nodes, and their components.
 
-    Rounds go on until every member of a bucket has met a pivot or is joined to one by links.
+    Two rounds with pivots join most of a bucket.  Members of buckets that still
+    hold several classes are then compared across classes wherever they can be
+    similar (see :func:`_apart`), so that each pair of a bucket is compared, is
+    of one class, or is known to be less similar.
     """
     ids = staging.only(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("node"), "text")
     n_docs = docs.count()
@@ -188,32 +244,43 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = staging.stage(every.join(crowded, "bucket"), "buckets")
 
-    compared, roots, seeds = None, None, 1
-    while True:
-        proposed = _pairs(buckets, seeds)
+    compared, roots, rest = None, None, buckets
+    for seeds in (1, PIVOTS):
+        proposed = _pairs(rest, seeds)
         pairs = proposed.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = staging.stage(pairs, "pairs")
-        needed = staging.stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
-        some = staging.join_found(texts.withColumnRenamed("node", "key"), needed).dropDuplicates(["key"])
-        some = staging.stage(some, "pair-texts")
-        both = pairs.join(some.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        checked = staging.stage(both.mapInArrow(lambda it: _verify(it, known, idf), "a string, b string, similarity double"), "checked")
-        staging.drop(some)
+        checked = _verified(texts, staging.stage(pairs, "pairs"), known, idf)
         compared = checked if compared is None else compared.unionByName(checked)
         linked = compared.where(F.col("similarity") >= threshold)
-        # Members that none of the links so far joins to their bucket's pivot meet others next.
         if roots is None or checked.where(F.col("similarity") >= threshold).take(1):
             roots = components(linked)
+        # Members that none of the links so far joins to their bucket's pivot meet others next.
         named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        met = proposed.join(roots.select(F.col("node"), F.col("root").alias("rn")), "node", "left").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("rp")), "pivot", "left")
-        done = met.where(F.coalesce("rn", "node") == F.coalesce("rp", "pivot")).select("bucket", "node").unionByName(proposed.select("bucket", F.col("pivot").alias("node"))).distinct()
-        rest = staging.stage(buckets.join(mixed, "bucket").join(done, ["bucket", "node"], "left_anti"), "buckets")
-        if not rest.groupBy("bucket").count().where("count > 1").take(1):
+        if seeds == 1:
+            met = proposed.join(roots.select(F.col("node"), F.col("root").alias("rn")), "node", "left").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("rp")), "pivot", "left")
+            done = met.where(F.coalesce("rn", "node") == F.coalesce("rp", "pivot")).select("bucket", "node").unionByName(proposed.select("bucket", F.col("pivot").alias("node"))).distinct()
+            rest = staging.stage(buckets.join(mixed, "bucket").join(done, ["bucket", "node"], "left_anti"), "buckets")
+
+    members = staging.stage(named.join(mixed, "bucket").select("node", "root").distinct(), "mixed")
+    apart = _apart(texts, members, known, idf, threshold).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    apart, most = staging.stage(apart, "apart"), PIVOTS
+    while True:
+        # The likeliest first: a link joins two classes and spares the rest of their pairs.
+        rooted = apart.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        rooted = rooted.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+        nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
+        ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
+        pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b"), "pairs")
+        if not pairs.take(1):
             break
-        buckets, seeds = rest, PIVOTS if seeds == 1 else min(2 * seeds, MOST_PIVOTS)
+        checked = _verified(texts, pairs, known, idf)
+        compared = compared.unionByName(checked)
+        linked = compared.where(F.col("similarity") >= threshold)
+        if checked.where(F.col("similarity") >= threshold).take(1):
+            roots = components(linked)
+        apart, most = staging.stage(apart.join(pairs, ["a", "b"], "left_anti"), "apart"), 16 * most
     return ids.select("doc_id", "node"), linked.select("a", "b", "similarity"), roots
 
 

@@ -82,6 +82,28 @@ def test_near_duplicates(spark):
     assert near_duplicates(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_misses_no_pair_of_a_bucket(spark, monkeypatch):
+    """Groups around a core, one bucket a text: B is like A, A is like the core, B isn't."""
+    import pyarrow as pa
+
+    from lectern.llm import neardup as N
+
+    none, texts = (np.zeros(0, np.uint64), np.zeros(0, np.float32)), []
+    for g in range(12):
+        core = [f"g{g}w{i}" for i in range(300)]
+        texts += [" ".join([*core, f"g{g}own{i}"]) for i in range(12)]
+        for at in (60, 110, 160, 210):
+            a = core[:at] + core[at + 36 :]
+            texts += [" ".join([*a, f"g{g}a{at}"]), " ".join([*a[: at - 36], *a[at:], f"g{g}b{at}"])]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([str(i) for i in range(len(texts))])], ["text", "node"])
+    band = [r[0] for part in N._signatures(iter([batch]), *none) for r in part.column("bands").to_pylist()]
+    shared = [(i, j) for i in range(len(texts)) for j in range(i) if band[i] == band[j]]
+    similarity = N.weighted_jaccard(pa.array([texts[i] for i, _ in shared]), pa.array([texts[j] for _, j in shared]), *none)
+    monkeypatch.setattr(N, "BANDS", 1)
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(_docs(spark, texts)).collect()}
+    assert [p for p, s in zip(shared, similarity) if s >= 0.8 and got[p[0]] != got[p[1]]] == []
+
+
 def test_mixing_meets_its_targets(spark):
     from lectern.llm.mixing import mix, sainte_lague
 
