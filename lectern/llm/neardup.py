@@ -26,6 +26,8 @@ BANDS, ROWS = 12, 4
 #: Shingles in at most this share of the documents weigh in full.
 #: Beyond it idf falls, so that boilerplate links nothing but large groups of copies stay linked.
 COMMON = 1 / 8
+#: Candidates for common shingles that the driver holds at most.
+OFFERED = 200_000
 #: Pivots of a bucket in the second round; the first has one.
 PIVOTS = 4
 _rng = np.random.default_rng(1103)
@@ -76,22 +78,35 @@ def _count_known(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["shingle", "df"])
 
 
-def common_shingles(texts: DataFrame, n_docs: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def _count_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffers(batch.column("text"))
+        for lo, hi in chunks(offsets):
+            _, h, _ = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            u, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "df"])
+
+
+def common_shingles(texts: DataFrame, n_docs: int, share: float = COMMON, few: int = OFFERED) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in more than ``share`` of all documents and their idf, relative to that of rare ones.
 
     There are at most ``1 / share`` times as many as a document has on average.
     Found exactly in two passes: a shingle common over all is common in at least
     one chunk of texts, and the chunks' common ones are counted over all.
-    Chunks of few texts offer more candidates but never miss one.
+    Chunks of few texts offer more candidates but never miss one; more than
+    ``few`` stay in Spark and are counted there.
     """
     offered = texts.mapInArrow(lambda it: _local_common(it, share), "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    offered = staging.stage(offered, "common")
-    if not offered.take(1):
+    offered = staging.stage(offered, "common").select("shingle")
+    found = offered.limit(few + 1).count()
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    # Candidates that few chunks offer are counted by the cluster too, but only the counted common ones reach the driver.
-    known = np.sort(np.array([r["shingle"] for r in offered.select("shingle").collect()], np.int64).view(np.uint64))
-    counted = texts.mapInArrow(lambda it: _count_known(it, known), "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
-    rows = counted.where(F.col("df") > share * n_docs).collect()
+    if found <= few:
+        known = np.sort(np.array([r["shingle"] for r in offered.collect()], np.int64).view(np.uint64))
+        counts = texts.mapInArrow(lambda it: _count_known(it, known), "shingle bigint, df bigint")
+    else:
+        counts = texts.mapInArrow(_count_each, "shingle bigint, df bigint").join(offered, "shingle", "left_semi")
+    rows = counts.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > share * n_docs).collect()
     order = np.argsort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
     found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)[order]
     df = np.array([r["df"] for r in rows], float)[order]

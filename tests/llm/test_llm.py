@@ -104,6 +104,21 @@ def test_near_duplicates_misses_no_pair_of_a_bucket(spark, monkeypatch):
     assert [p for p, s in zip(shared, similarity) if s >= 0.8 and got[p[0]] != got[p[1]]] == []
 
 
+def test_common_shingles_of_long_texts_stay_in_spark(spark, monkeypatch):
+    """Each chunk of one long text offers all its shingles; only the common ones reach the driver."""
+    from lectern.llm import neardup as N
+
+    shared = _prose(31, 200)
+    texts = [f"{shared} {' '.join(f't{i}n{j}' for j in range(120_000))}" for i in range(4)]
+    docs, seen, collect = _docs(spark, texts).select("text"), [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    known, idf = N.common_shingles(docs, len(texts), 0.5)
+    assert len(known) == len(idf) == 196 and (np.diff(known.astype(object)) > 0).all()
+    assert max(map(len, seen)) == 196
+    again = N.common_shingles(docs.repartition(1), len(texts), 0.5, few=1 << 30)
+    assert (known == again[0]).all() and (idf == again[1]).all()
+
+
 def test_mixing_meets_its_targets(spark):
     from lectern.llm.mixing import mix, sainte_lague
 
