@@ -231,3 +231,17 @@ def test_image_copies(spark):
     got = {r["image_id"]: r["class_id"] for r in I.copies(table).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1, 7: 7, 8: 8, 9: 9}
     assert I.copies(table.limit(0)).count() == 0
+
+
+def test_image_copies_of_plain_short_and_scaled_pictures(spark):
+    from lectern.llm import images as I
+
+    rng, rows = np.random.default_rng(4), []
+    tall, short = I.decode(I.draw(_prose(23, 3000))), I.decode(I.draw(_prose(24, 300)))
+    faint = 120 + 0.04 * I.decode(I.draw(_prose(25, 3000)))
+    soft = I._resize(np.kron(rng.integers(0, 255, (40, 40)).astype(np.float32), np.ones((6, 6), np.float32)), 1)
+    other = I.decode(I.draw(_prose(26, 3000)))
+    for k, (a, b) in enumerate([(faint, faint[30:200] + 3), (short, 0.8 * short + 20), (soft, I._resize(soft, 0.7)), (tall, 0.9 * tall + 9), (other, None)]):
+        rows += [(2 * k, I.encode(a))] + ([(2 * k + 1, I.encode(b))] if b is not None else [])
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "image_id long, image binary")
+    assert {r["image_id"]: r["class_id"] for r in I.copies(table).collect()} == {k: k // 2 * 2 for k, _ in rows}
