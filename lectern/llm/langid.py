@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import staging
 from .textkit import LETTERS, LOWER, chunks, prefix_hash, span_hash, spans, text_buffers
@@ -136,7 +136,9 @@ def train(docs: DataFrame, seed: int = 3) -> Network | None:
     """Fit to the rows of ``docs`` that have a language and aren't held out; None without any.
 
     The sample: about ``SAMPLE_DOCS`` documents of each language, chosen by a hash
-    of doc_id, of whose distinct words the ``SAMPLE_WORDS`` most frequent count.
+    of doc_id, and ``SAMPLE_WORDS`` of their distinct words, longer ones cut into
+    pieces of ``MAX_BYTES``: the most frequent of each language in turn, so that
+    each language with a word is learnt.
     """
     own = staging.only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~training_part())
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
@@ -145,13 +147,16 @@ def train(docs: DataFrame, seed: int = 3) -> Network | None:
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])
     drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = drawn.select("lang", F.explode(F.regexp_extract_all(low, F.lit("[^\\x00-\\x60\\x7B-\\x7F]+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
-    rows = found.select("lang", F.substring("word", 1, MAX_BYTES).alias("word"), "count").orderBy(F.desc("count"), "lang", "word").limit(SAMPLE_WORDS).collect()
+    words = drawn.select("lang", F.explode(F.regexp_extract_all(low, F.lit("[^\\x00-\\x60\\x7B-\\x7F]+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
+    pieces = F.expr(f"transform(sequence(0, octet_length(word) - 1, {MAX_BYTES}), i -> substring(cast(word AS binary), i + 1, {MAX_BYTES}))")
+    found = words.select("lang", F.explode(pieces).alias("word"), "count").groupBy("lang", "word").agg(F.sum("count").alias("count"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    rows = found.withColumn("nth", nth).orderBy("nth", "lang").limit(max(SAMPLE_WORDS, len(sizes))).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
     index = {k: n for n, k in enumerate(langs)}
-    return fit([r["word"].encode() for r in rows], np.array([index[r["lang"]] for r in rows]), np.array([r["count"] for r in rows]), langs)
+    return fit([bytes(r["word"]) for r in rows], np.array([index[r["lang"]] for r in rows]), np.array([r["count"] for r in rows]), langs)
 
 
 def _word_sums(net: Network, name: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -208,6 +208,22 @@ def test_language_network_gradients_and_accuracy(spark):
     assert {(r["lang_pred"], r["score"]) for r in odd} == {("und", 0.0)}
 
 
+def test_rare_language_is_learnt_beside_large_ones(spark, monkeypatch):
+    from lectern.llm import langid as L
+
+    monkeypatch.setattr(L, "SAMPLE_WORDS", 60)
+    run = "".join(chr(0x4E00 + 7 * i % 900) for i in range(200))
+    rows = [(i, _prose(40, 300, 120), "aa") for i in range(60)] + [(i, run, "zz") for i in range(100, 104)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda words, *rest: seen.extend(words) or fit(words, *rest))
+    net = L.train(docs)
+    assert net.langs == ["aa", "zz"] and len(seen) == 60
+    assert {w for w in seen if w[0] > 127} == {run.encode()[i : i + 24] for i in range(0, 600, 24)}
+    told = L.identify(docs, net, ["lang"]).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in told)
+
+
 def test_cotraining(spark):
     from lectern.llm.cotrain import classify, train
 
