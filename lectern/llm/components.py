@@ -37,4 +37,5 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     roots = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_anti")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return staging.stage(found, "roots")

@@ -1,11 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-A text is the weighted set of its five-word shingles, weight tf times idf.
-Consistent weighted samples agree with the probability of the weighted Jaccard
-similarity; bands of them bring similar texts into common buckets.  In a bucket
-texts are compared with pivots first; where that leaves several classes, an exact
-join finds the pairs across them that can be similar.  Every link is verified by the exact weighted Jaccard
-similarity, and classes are the components of the links.
+A text is the weighted set of its five-word shingles, weight tf times idf, where
+idf counts every shingle of every different text.  Consistent weighted samples
+agree with the probability of the weighted Jaccard similarity; bands of them
+bring similar texts into common buckets.  In a bucket texts are compared with its
+most central member first; where that leaves several classes, an exact join finds
+the pairs across them that can be similar.  Every link is verified by the exact
+weighted Jaccard similarity, and classes are the components of the links.
+
+A text whose shingles found nowhere else hold more than ``1 - threshold`` of its
+weight cannot be similar to any other, so only the rest is sampled and banded.
 """
 
 from __future__ import annotations
@@ -22,95 +26,74 @@ from .textkit import chunks, mix, shingles, text_buffers, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
-#: Shingles in at most this share of the documents weigh in full.
-#: Beyond it idf falls, so that boilerplate links nothing but large groups of copies stay linked.
-COMMON = 1 / 8
-#: Candidates for common shingles that the driver holds at most.
-OFFERED = 200_000
-#: Pivots of a bucket in the second round; the first has one.
-PIVOTS = 4
+BANDS, ROWS = 16, 4
+#: Bytes of text that stand in one row while shingles are counted, and that one counting group sees the shingles of.
+PACK, COUNTED = 2 << 20, 24 << 20
+#: Pairs across classes that a text offers at once; the rest waits for the classes that these join.
+OFFERED = 4
 _rng = np.random.default_rng(1103)
 _GAMMA = _rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _LOG_GAMMA = np.log(_rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _SEEDS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_SLACK = 1e-6  # weights are single precision
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, shingle and count of the distinct shingles of each text of a chunk, by row."""
-    hashes, rows = shingles(*word_hashes(data, offsets), WORDS)
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and count of the distinct shingles of each text, by row and shingle."""
+    hashes, rows = shingles(*word_hashes(*text_buffers(texts)), WORDS)
     order = np.lexsort((hashes, rows))
     hashes, rows = hashes[order], rows[order]
     first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]) if len(rows) else np.zeros(0, np.int64)
     return rows[first], hashes[first], np.diff(np.r_[first, len(rows)])
 
 
-def _idf(hashes: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), np.float32)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hit = known[at] == hashes
-        out[hit] = idf[at[hit]]
-    return out
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Smoothed and damped: 1 for a shingle of all texts, one more for each factor of ten that it is rarer."""
+    return (1 + np.log10((1 + n_docs) / (1 + df))).astype(np.float32)
 
 
-def _local_common(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Shingles common among a task's texts; one common among all texts is so in some task's batch."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``PACK`` bytes of texts, named by their first node."""
     for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for lo, hi in chunks(offsets):
-            _, h, _ = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            # Within the chunk, too, only shingles common there can be common overall.
-            u, n = np.unique(h, return_counts=True)
-            found, counts = np.r_[found, u[n > share * (hi - lo)]], np.r_[counts, n[n > share * (hi - lo)]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["shingle"])
-
-
-def _count_known(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(known), np.int64)
-    for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        for lo, hi in chunks(offsets):
-            _, h, _ = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            total += np.bincount(at[known[at] == h], minlength=len(known))
-    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["shingle", "df"])
-
+        _, offsets = text_buffers(batch.column("text"))
+        edge = np.array([lo for lo, _ in chunks(offsets, PACK)] + [len(batch)], np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(edge), batch.column(c)) for c in ("node", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(edge[:-1])), *lists, pa.array(np.diff(offsets[edge]))], ["chunk", "nodes", "texts", "size"])
 
-def _count_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        for lo, hi in chunks(offsets):
-            _, h, _ = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            u, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "df"])
 
+def _edges(distinct: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` ranges of hashes begins among sorted ones."""
+    return np.searchsorted(((distinct >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24), np.arange(parts + 1, dtype=np.uint64))
 
-def common_shingles(texts: DataFrame, n_docs: int, share: float = COMMON, few: int = OFFERED) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than ``share`` of all documents and their idf, relative to that of rare ones.
 
-    There are at most ``1 / share`` times as many as a document has on average.
-    Found exactly in two passes: a shingle common over all is common in at least
-    one chunk of texts, and the chunks' common ones are counted over all.
-    Chunks of few texts offer more candidates but never miss one; more than
-    ``few`` stay in Spark and are counted there.
-    """
-    offered = texts.mapInArrow(lambda it: _local_common(it, share), "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    offered = staging.stage(offered, "common").select("shingle")
-    found = offered.limit(few + 1).count()
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    if found <= few:
-        known = np.sort(np.array([r["shingle"] for r in offered.collect()], np.int64).view(np.uint64))
-        counts = texts.mapInArrow(lambda it: _count_known(it, known), "shingle bigint, df bigint")
-    else:
-        counts = texts.mapInArrow(_count_each, "shingle bigint, df bigint").join(offered, "shingle", "left_semi")
-    rows = counts.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > share * n_docs).collect()
-    order = np.argsort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
-    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)[order]
-    df = np.array([r["df"] for r in rows], float)[order]
-    return found, (np.log1p(n_docs / df) / np.log1p(1 / share)).astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each chunk by range: their low 40 bits and, for each, the chunk's texts that have it."""
+    for batch in batches:
+        for chunk, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
+            distinct, n = np.unique(shingle_sets(texts.values)[1], return_counts=True)
+            edge = _edges(distinct, parts)
+            low = np.ascontiguousarray(distinct.view(np.uint8).reshape(-1, 8)[:, :5])
+            some = np.flatnonzero(np.diff(edge))
+            blob = lambda data, width: pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((edge * width).astype(np.int32)), pa.py_buffer(data)]).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunk.as_py()] * len(some), pa.string()), blob(low, 5), blob(n.astype(np.int32), 4)], ["part", "chunk", "low", "n"])
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Places of a range's shingles that several texts have, and how many have them."""
+    low, edge = text_buffers(table.column("low").combine_chunks())
+    n = text_buffers(table.column("n").combine_chunks())[0].view(np.int32)
+    wide = np.zeros((len(n), 8), np.uint8)
+    wide[:, :5] = low.reshape(-1, 5)
+    wide = wide.view(np.uint64).ravel()
+    order = np.argsort(wide)
+    first = np.flatnonzero(np.r_[True, wide[order[1:]] != wide[order[:-1]]]) if len(order) else order
+    df = np.empty(len(n), np.int32)
+    df[order] = np.repeat(np.add.reduceat(n[order], first) if len(first) else first, np.diff(np.r_[first, len(order)]))
+    edge, many = edge // 5, np.flatnonzero(df > 1)
+    cut = np.searchsorted(many, edge)
+    at = (many - np.repeat(edge[:-1], np.diff(cut))).astype(np.int32)
+    blob = lambda data: pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(data)])
+    return pa.table([table.column("chunk"), table.column("part"), blob(at), blob(df[many])], ["chunk", "part", "at", "df"])
 
 
 def samples(rows: np.ndarray, hashes: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,98 +115,123 @@ def samples(rows: np.ndarray, hashes: np.ndarray, log_weight: np.ndarray) -> tup
     return rows[heads], out & np.uint64(0xFFFFFFFF)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        at, bands = [], []
-        for lo, hi in chunks(offsets):
-            rows, hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if not len(rows):
-                continue
-            which, found = samples(rows, hashes, np.log(counts.astype(np.float32)) + np.log(_idf(hashes, known, idf)))
-            keys = np.zeros((len(which), BANDS), np.uint64)
-            for j in range(ROWS):
-                keys = mix(keys ^ found[:, j::ROWS]) + np.uint64(j + 1)
-            at.append(which + lo)
-            bands.append(keys)
-        if not at:
-            continue
-        rows, keys = np.concatenate(at), np.concatenate(bands)
-        flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), lists], ["node", "bands"])
-
-
-def weighted_jaccard(a: pa.Array, b: pa.Array, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Similarity of the texts of each pair; 0 if neither has a word."""
-    (data_a, off_a), (data_b, off_b) = text_buffers(a), text_buffers(b)
-    out = np.zeros(len(a))
-    for lo, hi in chunks(off_a + off_b):
-        (ra, ha, na), (rb, hb, nb) = (_sets(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]) for d, o in ((data_a, off_a), (data_b, off_b)))
-        rows, hashes = np.r_[ra, rb], np.r_[ha, hb]
-        _, first, which = np.unique(hashes ^ mix(rows.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
-        ta, tb = np.bincount(which[: len(ra)], na, len(first)), np.bincount(which[len(ra) :], nb, len(first))
-        w = _idf(hashes[first], known, idf)
-        both = np.bincount(rows[first], np.minimum(ta, tb) * w, hi - lo)
-        all_ = np.bincount(rows[first], np.maximum(ta, tb) * w, hi - lo)
-        out[lo:hi] = both / np.maximum(all_, 1e-12)
-    return out
-
-
-def _verify(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, len(batch), 500):
-            part = batch.slice(lo, 500)
-            similarity = weighted_jaccard(part.column("ta"), part.column("tb"), known, idf)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity)], ["a", "b", "similarity"])
+def signatures(rows: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have a shingle, and the keys of their bands."""
+    which, found = samples(rows, hashes, np.log(weight))
+    keys = np.zeros((len(which), BANDS), np.uint64)
+    for j in range(ROWS):
+        keys = mix(keys ^ found[:, j::ROWS][:, :BANDS]) + np.uint64(j + 1)
+    return which, keys
 
 
-def _pairs(buckets: DataFrame, seeds: int) -> DataFrame:
-    """Each member of a bucket with the bucket's pivots (members of least seeded hash)."""
-    chosen = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(s))).alias(f"p{s}") for s in range(seeds)]
-    pivots = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *chosen).where("n > 1")
-    each = buckets.join(pivots, "bucket").select("bucket", "node", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in range(seeds)]))).alias("pivot"))
-    return each.where("node <> pivot")
+_SETS = "node string, bands array<bigint>, alone double, total double, hashes binary, weights binary"
 
 
-def _weights(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch], parts: int, n_docs: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Weighted sets and bands of the texts that can be similar to another."""
     for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        for lo, hi in chunks(offsets):
-            rows, hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if len(rows):
-                weight = counts * _idf(hashes, known, idf).astype(float)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows + lo)), pa.array(hashes.view(np.int64)), pa.array(weight)], ["node", "shingle", "weight"])
+        for nodes, texts, found in zip(batch.column("nodes"), batch.column("texts"), batch.column("found"), strict=True):
+            rows, hashes, counts = shingle_sets(texts.values)
+            distinct, which = np.unique(hashes, return_inverse=True)
+            edge, df = _edges(distinct, parts), np.ones(len(distinct), np.int32)
+            for f in found.as_py() or ():
+                df[edge[f["part"]] + np.frombuffer(f["at"], np.int32)] = np.frombuffer(f["df"], np.int32)
+            df = df[which]
+            weight, n = counts.astype(np.float32) * idf(df, n_docs), len(texts.values)
+            total = np.bincount(rows, weight, n)
+            alone = np.bincount(rows, weight * (df == 1), n) / np.maximum(total, 1e-9)
+            can = (total > 0) & (alone <= 1 - threshold + _SLACK)
+            if not can.any():
+                continue
+            of = can[rows]
+            rows, hashes, weight = rows[of], hashes[of], weight[of]
+            which, keys = signatures(rows, hashes, weight)
+            edge = np.searchsorted(rows, np.r_[which, n])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+            blob = lambda data, width: pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((edge * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([nodes.values.take(pa.array(which)), lists, pa.array(alone[which]), pa.array(total[which]), blob(hashes, 8), blob(weight, 4)], ["node", "bands", "alone", "total", "hashes", "weights"])
+
 
+def weighted_sets(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The weighted shingle set of each text (node, text; nodes differ) that can reach ``threshold`` with another.
 
-def _verified(texts: DataFrame, pairs: DataFrame, known: np.ndarray, idf: np.ndarray) -> DataFrame:
-    needed = staging.stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
-    some = staging.join_found(texts.withColumnRenamed("node", "key"), needed).dropDuplicates(["key"])
-    some = staging.stage(some, "pair-texts")
-    both = pairs.select("a", "b").join(some.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    checked = staging.stage(both.mapInArrow(lambda it: _verify(it, known, idf), "a string, b string, similarity double"), "checked")
-    staging.drop(some)
-    return checked
+    Document frequencies of all shingles are counted by ranges of hashes: a chunk
+    of texts sends each range its shingles once, and gets back the counts above one.
+    A range covers about ``COUNTED`` bytes of text, so that groups don't grow with the corpus.
+    """
+    packed = staging.stage(texts.mapInArrow(_pack, "chunk string, nodes array<string>, texts array<string>, size bigint"), "texts")
+    n_docs, size = packed.agg(F.sum(F.size("nodes")), F.sum("size")).first()
+    parts = min(1 << 24, 1 + (size or 0) // COUNTED)
+    spread = packed.select("chunk", "texts").mapInArrow(lambda it: _spread(it, parts), "part int, chunk string, low binary, n binary")
+    counted = spread.groupBy("part").applyInArrow(_frequencies, "chunk string, part int, at binary, df binary")
+    found = counted.groupBy("chunk").agg(F.collect_list(F.struct("part", "at", "df")).alias("found"))
+    both = packed.select("chunk", "nodes", "texts").join(found, "chunk", "left").select("nodes", "texts", "found")
+    sets = staging.stage(both.mapInArrow(lambda it: _sample(it, parts, n_docs or 0, threshold), _SETS), "sets")
+    staging.drop(packed)
+    return sets
+
+
+def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, ea: np.ndarray, hb: np.ndarray, wb: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Similarity of each pair of weighted sets, given as hashes, weights and the edges of the pairs; 0 if both are empty."""
+    n = len(ea) - 1
+    ra, rb = np.repeat(np.arange(n), np.diff(ea)), np.repeat(np.arange(n), np.diff(eb))
+    rows, weight = np.r_[ra, rb], np.r_[wa, wb].astype(float)
+    keys = np.r_[ha, hb] ^ mix(rows.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(keys)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    i, j = order[same], order[same + 1]
+    both = np.bincount(rows[i], np.minimum(weight[i], weight[j]), n)
+    return both / np.maximum(np.bincount(rows, weight, n) - both, 1e-12)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (ha, ea), (hb, eb) = (text_buffers(batch.column(c)) for c in ("ha", "hb"))
+        wa, wb = (text_buffers(batch.column(c))[0].view(np.float32) for c in ("wa", "wb"))
+        ha, hb, ea, eb = ha.view(np.uint64), hb.view(np.uint64), ea // 8, eb // 8
+        out = np.zeros(len(batch))
+        for lo, hi in chunks(8 * (ea + eb), 8 << 20):
+            a, b = slice(ea[lo], ea[hi]), slice(eb[lo], eb[hi])
+            out[lo:hi] = weighted_jaccard(ha[a], wa[a], ea[lo : hi + 1] - ea[lo], hb[b], wb[b], eb[lo : hi + 1] - eb[lo])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
+
+
+def _linked(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) with a similarity of ``threshold`` or more."""
+    for side in ("a", "b"):
+        of = sets.select(F.col("node").alias(side), F.col("total").alias(f"t{side}"), F.col("hashes").alias(f"h{side}"), F.col("weights").alias(f"w{side}"))
+        heavy = staging.heavy_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), [side], "n") if side == "b" else []
+        pairs = staging.join_skewed(pairs, of, [side], heavy)
+    can = pairs.where(F.least("ta", "tb") >= (threshold - _SLACK) * F.greatest("ta", "tb"))
+    checked = can.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compare, "a string, b string, similarity double")
+    return staging.stage(checked.where(F.col("similarity") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "linked")
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, edge = text_buffers(batch.column("hashes"))
+        weight = text_buffers(batch.column("weights"))[0].view(np.float32)
+        node = batch.column("node").take(pa.array(np.repeat(np.arange(len(batch)), np.diff(edge) // 8)))
+        yield pa.RecordBatch.from_arrays([node, pa.array(hashes.view(np.int64)), pa.array(weight.astype(float))], ["node", "shingle", "weight"])
 
 
-def _apart(texts: DataFrame, members: DataFrame, known: np.ndarray, idf: np.ndarray, threshold: float) -> DataFrame:
+def _apart(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of ``members`` (node, root) of different roots that can reach ``threshold``: a, b, bound; none that does is missing.
 
     A weighted prefix filter: shingles stand rarest first, and a prefix ends where
     the weight left cannot reach the threshold.  Similar texts share a shingle of
     both prefixes, and from the first such on enough weight is left in each.
     """
-    found = members.select(F.col("node").alias("key"))
-    some = staging.join_found(texts.withColumnRenamed("node", "key"), found).dropDuplicates(["key"])
-    sets = staging.stage(some.mapInArrow(lambda it: _weights(it, known, idf), "node string, shingle bigint, weight double"), "weights")
-    counted = sets.join(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
+    some = sets.join(members.select("node"), "node").select("node", "hashes", "weights")
+    each = staging.stage(some.mapInArrow(_weights, "node string, shingle bigint, weight double"), "weights")
+    counted = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
     of = Window.partitionBy("node")
     left = F.sum("weight").over(of.orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     prefix = counted.select("node", "shingle", "df", left.alias("rest"), F.sum("weight").over(of).alias("total"))
-    slack = 1 - 1e-9
+    slack = 1 - _SLACK
     prefix = prefix.where((F.col("df") > 1) & (F.col("rest") >= threshold * slack * F.col("total"))).join(members, "node")
     prefix = staging.stage(prefix.select("shingle", "root", "node", "rest", "total"), "prefixes")
-    staging.drop(sets)
+    staging.drop(each)
     # Roots meet before their members, so that members of one root never do.
     share = threshold / (1 + threshold) * slack
     can = lambda a, b: F.least(f"rest{a}", f"rest{b}") >= share * (F.col(f"total{a}") + F.col(f"total{b}"))
@@ -239,64 +247,62 @@ def _apart(texts: DataFrame, members: DataFrame, known: np.ndarray, idf: np.ndar
     return pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.max(bound).alias("bound"))
 
 
-def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of ``docs`` with their node (a digest of the text), verified links between nodes, and their components.
+def _rooted(rows: DataFrame, roots: DataFrame, column: str, root: str) -> DataFrame:
+    """``rows`` with the class (``root``) of the text in ``column``; a text without links is its own."""
+    found = roots.select(F.col("node").alias(column), F.col("root").alias(root))
+    return rows.join(found, column, "left").withColumn(root, F.coalesce(root, column))
+
 
-    Two rounds with pivots join most of a bucket.  Members of buckets that still
-    hold several classes are then compared across classes wherever they can be
-    similar (see :func:`_apart`), so that each pair of a bucket is compared, is
-    of one class, or is known to be less similar.
+def links(texts: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links between ``texts`` (node, text; nodes differ): a, b, similarity; and their components: node, root.
+
+    Each text meets the most central text of its buckets, the one with the least
+    weight that no other text has; then the central ones of those of its buckets
+    that are of another class.  Members of buckets that still hold several classes
+    are compared across them wherever they can be similar (see :func:`_apart`), so
+    that each pair of a bucket is compared, is of one class, or is known to be less similar.
     """
-    ids = staging.only(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("node"), "text")
-    n_docs = docs.count()
-    texts = ids.select("node", "text")
-    known, idf = common_shingles(texts.select("text"), n_docs)
-    signed = texts.mapInArrow(lambda it: _signatures(it, known, idf), "node string, bands array<bigint>").dropDuplicates(["node"])
-    signed = staging.stage(signed, "signatures")
-    # A bucket of one band, and finer ones of two and three bands for texts that are very alike.
-    keys = [F.xxhash64(F.lit(f"{i}+{w}"), *[F.col("bands")[(i + j) % BANDS] for j in range(w)]) for i in range(BANDS) for w in (1, 2, 3)]
-    every = signed.select("node", F.explode(F.array(*keys)).alias("bucket"))
-    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staging.stage(every.join(crowded, "bucket"), "buckets")
-
-    compared, roots, rest = None, None, buckets
-    for seeds in (1, PIVOTS):
-        proposed = _pairs(rest, seeds)
-        pairs = proposed.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        checked = _verified(texts, staging.stage(pairs, "pairs"), known, idf)
-        compared = checked if compared is None else compared.unionByName(checked)
-        linked = compared.where(F.col("similarity") >= threshold)
-        if roots is None or checked.where(F.col("similarity") >= threshold).take(1):
-            roots = components(linked)
-        # Members that none of the links so far joins to their bucket's pivot meet others next.
-        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        if seeds == 1:
-            met = proposed.join(roots.select(F.col("node"), F.col("root").alias("rn")), "node", "left").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("rp")), "pivot", "left")
-            done = met.where(F.coalesce("rn", "node") == F.coalesce("rp", "pivot")).select("bucket", "node").unionByName(proposed.select("bucket", F.col("pivot").alias("node"))).distinct()
-            rest = staging.stage(buckets.join(mixed, "bucket").join(done, ["bucket", "node"], "left_anti"), "buckets")
-
-    members = staging.stage(named.join(mixed, "bucket").select("node", "root").distinct(), "mixed")
-    apart = _apart(texts, members, known, idf, threshold).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    apart, most = staging.stage(apart, "apart"), PIVOTS
+    sets = weighted_sets(texts, threshold)
+    every = sets.select("node", "alone", F.explode("bands").alias("bucket"))
+    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("alone", "node")).alias("pivot")).where("n > 1")
+    crowded = staging.stage(crowded, "pivots")
+    heavy = staging.heavy_keys(crowded, ["bucket"], "n")
+    buckets = staging.stage(staging.join_skewed(every, crowded.select("bucket", "pivot"), ["bucket"], heavy).select("bucket", "node", "pivot"), "buckets")
+
+    pairs = buckets.where("node <> pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    pairs = staging.stage(pairs, "pairs")
+    linked = _linked(sets, pairs, threshold)
+    roots = components(linked)
+
+    named = _rooted(buckets.select("bucket", "node"), roots, "node", "root")
+    central = _rooted(crowded.select("bucket", F.col("pivot.node").alias("pivot")), roots, "pivot", "central")
+    others = staging.join_skewed(named, central, ["bucket"], heavy).where("root <> central").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    others = staging.stage(others.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _linked(sets, others, threshold)
+    if more.take(1):
+        linked = staging.stage(linked.unionByName(more).distinct(), "linked")
+        roots = components(linked)
+
+    named = staging.stage(_rooted(buckets.select("bucket", "node"), roots, "node", "root"), "named")
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    members = staging.stage(staging.join_skewed(named, mixed, ["bucket"], heavy).select("node", "root").distinct(), "mixed")
+    compared = pairs.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = staging.stage(_apart(sets, members, threshold).join(compared, ["a", "b"], "left_anti"), "apart")
+    most = OFFERED
     while True:
         # The likeliest first: a link joins two classes and spares the rest of their pairs.
-        rooted = apart.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        rooted = rooted.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+        rooted = _rooted(_rooted(apart, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
         nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
         ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
         pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b"), "pairs")
         if not pairs.take(1):
             break
-        checked = _verified(texts, pairs, known, idf)
-        compared = compared.unionByName(checked)
-        linked = compared.where(F.col("similarity") >= threshold)
-        if checked.where(F.col("similarity") >= threshold).take(1):
+        more = _linked(sets, pairs, threshold)
+        if more.take(1):
+            linked = staging.stage(linked.unionByName(more).distinct(), "linked")
             roots = components(linked)
         apart, most = staging.stage(apart.join(pairs, ["a", "b"], "left_anti"), "apart"), 16 * most
-    return ids.select("doc_id", "node"), linked.select("a", "b", "similarity"), roots
+    return linked, roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -311,12 +317,20 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     a word beside their own copies; a null doc_id counts as largest.  An empty
     table gives an empty result; extra columns are ignored.
     """
-    ids, linked, roots = links(docs, threshold)
+    own = staging.only(docs, "doc_id", "text")
+    name = F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    ids = own.select("doc_id", name.alias("node"))
+    texts = own.where("text is not null").select(F.md5("text").alias("node"), "text").dropDuplicates(["node"])
+    linked, roots = links(texts, threshold)
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    own = ids.withColumn("node", F.coalesce("node", F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rooted = staging.stage(own.join(roots, "node", "left").join(degree, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rooted")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
-    classes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"), first)
-    out = rooted.join(classes, "root")
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
-    return out.select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("n_links").cast("long").alias("n_links"), kept.alias("kept"))
+    counted = ids.groupBy("node").agg(F.count(F.lit(1)).alias("n"), first)
+    counted = staging.stage(_rooted(counted, roots, "node", "root").join(degree, "node", "left"), "nodes")
+    classes = counted.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
+    shared = staging.stage(counted.join(classes.withColumnRenamed("first", "least"), "root").select("node", "n", "class_size", "n_links", F.col("least.doc_id").alias("class_id"), F.col("least.node").alias("least")), "shared")
+    told = staging.join_skewed(ids, shared, ["node"], staging.heavy_keys(shared, ["node"], "n"), "left")
+    alone = F.col("class_size").isNull()
+    class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("least"))
+    links_ = F.coalesce("n_links", F.lit(0)).cast("long")
+    return told.select("doc_id", "node", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), links_.alias("n_links"), kept.alias("kept"))

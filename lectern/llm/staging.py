@@ -19,9 +19,11 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where none is configured."""
+    """The cluster's shared folder; where none is configured, a local one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -109,15 +111,15 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> list[int]:
     return [r[0] for r in counts.where((F.col(n) * HEAVY > total) & (F.col(n) > LIGHT)).select(F.xxhash64(*keys)).collect()]
 
 
-def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int]) -> DataFrame:
-    """Inner join on ``keys``; rows of ``left`` with a heavy key are dealt over ``DEALT`` tasks, to each of which ``right`` sends a copy."""
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner") -> DataFrame:
+    """Inner or left join on ``keys``; rows of ``left`` with a heavy key are dealt over ``DEALT`` tasks, to each of which ``right`` sends a copy."""
     if not heavy:
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     is_heavy = F.xxhash64(*keys).isin(heavy)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns], F.lit(1)), F.lit(DEALT))
     salted = left.withColumn("__salt", F.when(is_heavy, spread).otherwise(F.lit(0).cast("long")))
     every = F.when(is_heavy, F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return salted.join(right.withColumn("__salt", F.explode(every)), [*keys, "__salt"]).drop("__salt")
+    return salted.join(right.withColumn("__salt", F.explode(every)), [*keys, "__salt"], how).drop("__salt")
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

@@ -82,41 +82,86 @@ def test_near_duplicates(spark):
     assert near_duplicates(_docs(spark, texts).limit(0)).count() == 0
 
 
-def test_near_duplicates_misses_no_pair_of_a_bucket(spark, monkeypatch):
-    """Groups around a core, one bucket a text: B is like A, A is like the core, B isn't."""
+def _tf_idf_pairs(texts, threshold):
+    """Pairs of positions of different texts at ``threshold`` or more, by the weights' definition over plain counters."""
+    sets = {}
+    for i, t in enumerate(texts):
+        w = _words(t)
+        if w and t not in texts[:i]:
+            sets[i] = Counter(" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    df, n = Counter(s for c in sets.values() for s in c), len({t for t in texts if t is not None})
+    weigh = lambda c: {s: k * (1 + np.log10((1 + n) / (1 + df[s]))) for s, k in c.items()}
+    sets, out = {i: weigh(c) for i, c in sets.items()}, {}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j:
+                both = sum(min(v, b[s]) for s, v in a.items() if s in b)
+                if both >= threshold * (sum(a.values()) + sum(b.values()) - both):
+                    out[i, j] = 1
+    return out
+
+
+def _classes(pairs, n):
+    root = list(range(n))
+    for i, j in sorted(pairs):
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_duplicates_as_all_pairs(spark):
+    """Edited copies around the threshold, chains X~P, X~Y, Y!~P and shared passages; recall of links at least 0.9 and no false one."""
+    from lectern.llm.neardup import near_duplicates
+
+    rng, texts, passage = np.random.default_rng(5), [None, "", "..", "one two"], [f"shared{i}" for i in range(60)]
+    for g in range(14):
+        core = [f"g{g}w{i}" for i in range(220)]
+        for _ in range(6):
+            copy = list(core)
+            for at in rng.integers(0, 220, rng.integers(1, 9)):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+        far = [f"p{i}" for i in range(16)] + core  # a chain: each step drops and adds a few words at an end
+        texts += [" ".join(far), " ".join(far[20:] + [f"q{g}{i}" for i in range(4)]), " ".join(passage + [f"own{g}n{i}" for i in range(60)])]
+    pairs = _tf_idf_pairs(texts, 0.8)
+    got = {r["doc_id"]: r for r in near_duplicates(_docs(spark, texts)).collect()}
+    assert sum(got[i]["class_id"] == got[j]["class_id"] for i, j in pairs) >= 0.98 * len(pairs) > 30
+    root = _classes(pairs, len(texts))
+    for i in range(len(texts)):
+        assert root[got[i]["class_id"]] == root[i]
+        assert got[i]["n_links"] <= sum(i in p for p in pairs)
+
+
+def test_near_duplicates_lose_no_pair_of_a_bucket(spark, monkeypatch):
+    """One bucket a text: every pair that shares it and is similar is of one class, though few meet the bucket's central text."""
     import pyarrow as pa
 
     from lectern.llm import neardup as N
 
-    none, texts = (np.zeros(0, np.uint64), np.zeros(0, np.float32)), []
-    for g in range(12):
+    texts = []
+    for g in range(8):
         core = [f"g{g}w{i}" for i in range(300)]
-        texts += [" ".join([*core, f"g{g}own{i}"]) for i in range(12)]
+        texts += [" ".join([*core, f"g{g}own{i}"]) for i in range(6)]
         for at in (60, 110, 160, 210):
             a = core[:at] + core[at + 36 :]
             texts += [" ".join([*a, f"g{g}a{at}"]), " ".join([*a[: at - 36], *a[at:], f"g{g}b{at}"])]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([str(i) for i in range(len(texts))])], ["text", "node"])
-    band = [r[0] for part in N._signatures(iter([batch]), *none) for r in part.column("bands").to_pylist()]
-    shared = [(i, j) for i in range(len(texts)) for j in range(i) if band[i] == band[j]]
-    similarity = N.weighted_jaccard(pa.array([texts[i] for i, _ in shared]), pa.array([texts[j] for _, j in shared]), *none)
+    rows, hashes, counts = N.shingle_sets(pa.array(texts))
+    _, which, df = np.unique(hashes, return_inverse=True, return_counts=True)
+    band = N.signatures(rows, hashes, counts.astype(np.float32) * N.idf(df[which], len(texts)))[1][:, 0]
+    similar = [p for p in _tf_idf_pairs(texts, 0.8) if band[p[0]] == band[p[1]]]
     monkeypatch.setattr(N, "BANDS", 1)
     got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(_docs(spark, texts)).collect()}
-    assert [p for p, s in zip(shared, similarity) if s >= 0.8 and got[p[0]] != got[p[1]]] == []
+    assert len(similar) > 20 and [p for p in similar if got[p[0]] != got[p[1]]] == []
 
 
-def test_common_shingles_of_long_texts_stay_in_spark(spark, monkeypatch):
-    """Each chunk of one long text offers all its shingles; only the common ones reach the driver."""
-    from lectern.llm import neardup as N
+def test_near_duplicates_of_long_and_repeated_rows(spark):
+    from lectern.llm.neardup import near_duplicates
 
-    shared = _prose(31, 200)
-    texts = [f"{shared} {' '.join(f't{i}n{j}' for j in range(120_000))}" for i in range(4)]
-    docs, seen, collect = _docs(spark, texts).select("text"), [], type(spark.range(0)).collect
-    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(collect(self)) or seen[-1])
-    known, idf = N.common_shingles(docs, len(texts), 0.5)
-    assert len(known) == len(idf) == 196 and (np.diff(known.astype(object)) > 0).all()
-    assert max(map(len, seen)) == 196
-    again = N.common_shingles(docs.repartition(1), len(texts), 0.5, few=1 << 30)
-    assert (known == again[0]).all() and (idf == again[1]).all()
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(4, long), (9, long + " end"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (7, None)]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, class_id string")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"], r["n_links"], r["kept"]) for r in near_duplicates(table).collect()), key=str)
+    assert got == sorted([(4, 4, 2, 1, True), (9, 4, 2, 1, False), (2, 2, 3, 0, True), (2, 2, 3, 0, True), (None, 2, 3, 0, False), (None, None, 1, 0, True), (7, 7, 1, 0, True)], key=str)
 
 
 def test_mixing_meets_its_targets(spark):
