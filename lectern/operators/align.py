@@ -9,21 +9,46 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-#: Cost of leaving a block or a slot alone.
+# Fixed value: cost of leaving a block or a slot alone.
 GAP = -0.35
 
+# What a trimmed line looks like that is no verse text, in the order in which it is tried.
+# A pattern after "i" minds no case; a number bounds the line's length.
+LINE_PATTERNS = [
+    ("head", "", r"^[0-9]{1,4}$", None),
+    ("head", "", r"^[0-9A-Z][A-Z0-9 .'’]*,\s*[0-9]+\.?$", None),
+    ("head", "i", r"PEARL\s+OF\s+GREAT\s+PRICE", None),
+    ("head", "", r"^[IVXY]{1,5}\.?\]", None),
+    ("loud bracket", "", r"[\[\]]", 60),
+    ("apparatus", "", r"\d\s*:\s*\d", None),
+    ("apparatus", "", r"^[0-9a-z]{1,2}[,.]\s+(see\b|[0-9]?\s*[A-Z][a-z]{1,4}\.)", None),
+    ("apparatus", "", r"^see\s+[0-9a-z]{1,2},", None),
+    ("apparatus", "i", r"^[0-9a-z]{1,2}[,.]\s+(compare\s+)?verses?\b", None),
+    ("apparatus", "i", r"^(compare\s+)?verses?\s+\d", None),
+    ("apparatus", "", r"^[^A-Za-z0-9\s]{1,2},\s+\S", None),
+    ("two verses", "", r"^[0-9a-z]{1,2}[,.]", None),
+    ("loud number", "", r"\d", 70),
+    ("dated", "i", r"^(About|Between)\b", 70),
+    ("head", "i", r"\b[AB]\.\s*[DC]\.", 70),
+]
+
 
 def classify(line: Column) -> Column:
-    """``blank``, ``head``, ``apparatus`` or null (text) of a scanned line."""
+    """``blank``, ``head``, ``apparatus`` or null (text) of a scanned line; lines of chapters and sections are text."""
     s = F.trim(line)
-    letters, upper = F.length(F.regexp_replace(s, "[^A-Za-z]", "")), F.length(F.regexp_replace(s, "[^A-Z]", ""))
-    loud = lambda share: (letters > 0) & (upper / F.greatest(letters, F.lit(1)) > share)
-    head = s.rlike(r"^[0-9]{1,4}$|^[0-9A-Z][A-Z0-9 .'’]*,\s*[0-9]+\.?$|(?i)PEARL\s+OF\s+GREAT\s+PRICE") | s.rlike(r"^[IVXY]{1,5}\.?\]") | (s.rlike(r"[\[\]]") & (F.length(s) < 60) & loud(0.7))
-    # Keys of footnotes are one or two small characters before a comma or stop.
-    notes = s.rlike(r"\d\s*:\s*\d|^[0-9a-z]{1,2}[,.]\s+(see\b|[0-9]?\s*[A-Z][a-z]{1,4}\.)|^see\s+[0-9a-z]{1,2},|^[^A-Za-z0-9\s]{1,2},\s+\S") | s.rlike(r"(?i)^[0-9a-z]{1,2}[,.]\s+(compare\s+)?verses?\b|^(compare\s+)?verses?\s+\d")
-    many = (F.regexp_count(F.lower(s), F.lit(r"\bverses?\s+\d")) >= 2) & s.rlike("^[0-9a-z]{1,2}[,.]")
-    banner = (F.length(s) < 70) & ((s.rlike(r"\d") & (loud(0.55) | s.rlike(r"(?i)^(About|Between)\b"))) | s.rlike(r"(?i)\b[AB]\.\s*[DC]\."))
-    return F.when(line.rlike(r"(?i)CHAPT|^\s*SECTION\b"), None).when(s == "", "blank").when(head, "head").when(notes | many, "apparatus").when(banner, "head")
+    letters, upper = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
+    more = {
+        "loud bracket": (letters > 0) & (upper > 0.7 * letters),
+        "loud number": (letters > 0) & (upper > 0.55 * letters),
+        "two verses": F.regexp_count(F.lower(s), F.lit(r"\bverses?\s+\d")) >= 2,
+        "dated": s.rlike(r"\d"),
+    }
+    kind = F.when(line.rlike(r"(?i)CHAPT|^\s*SECTION\b"), None).when(s == "", "blank")
+    for name, fold, pattern, below in LINE_PATTERNS:
+        test = s.rlike("(?i)" * (fold == "i") + pattern)
+        test = test & more[name] if name in more else test
+        kind = kind.when(test & (F.length(s) < below) if below else test, "apparatus" if name in ("apparatus", "two verses") else "head")
+    return kind
 
 
 def tidy(text: Column) -> Column:
@@ -62,31 +87,55 @@ def _bag(text: str) -> Counter:
     return Counter("".join(c if "a" <= c <= "z" else " " for c in text.lower()).split())
 
 
+def _likeness(slots: list[str], blocks: list[str]) -> np.ndarray:
+    """Bag similarity of every slot to every block: the n-th use of a word is an item, so that shared words are a product of incidences."""
+    items: dict[tuple[str, int], int] = {}
+    bags = [[[items.setdefault((w, k), len(items)) for w, n in _bag(t).items() for k in range(n)] for t in x] for x in (slots, blocks)]
+    sizes = [np.array([len(b) for b in x], float) for x in bags]
+    right = np.zeros((len(items), len(blocks)), np.float32)
+    for j, b in enumerate(bags[1]):
+        right[b, j] = 1
+    same = np.stack([right[b].sum(0, dtype=np.float64) if b else np.zeros(len(blocks)) for b in bags[0]])
+    every = sizes[0][:, None] + sizes[1]
+    return np.where(every > 0, 2 * same / np.maximum(every, 1), 0.0)
+
+
 def align(slots: list[str], blocks: list[str], gap: float = GAP) -> list[int]:
-    """For each slot the block that a global alignment puts there, or -1; ties go to a match, then to a slot left empty."""
-    bags = [[_bag(t) for t in x] for x in (slots, blocks)]
-    sizes = [[sum(b.values()) for b in x] for x in bags]
+    """For each slot the block that a global alignment puts there, or -1; ties go to a match, then to a block left out, then to a slot left empty.
+
+    Cells are filled by anti-diagonals, each a few array operations.
+    """
     n, m = len(slots), len(blocks)
-    score = np.zeros((n + 1, m + 1))
-    score[:, 0], score[0] = gap * np.arange(n + 1), gap * np.arange(m + 1)
+    if not n or not m:
+        return [-1] * n
+    like = _likeness(slots, blocks)
     move = np.zeros((n + 1, m + 1), np.int8)
-    move[:, 0], move[0] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            every = sizes[0][i - 1] + sizes[1][j - 1]
-            like = 2 * sum((bags[0][i - 1] & bags[1][j - 1]).values()) / every if every else 0.0
-            options = (score[i - 1, j - 1] + like, score[i - 1, j] + gap, score[i, j - 1] + gap)
-            move[i, j] = int(np.argmax(options))
-            score[i, j] = options[move[i, j]]
+    move[:, 0], move[0] = 2, 1
+    # Scores of the two anti-diagonals before, by slot.
+    edge = np.r_[0.0, np.cumsum(np.full(max(n, m), gap))]
+    older, old = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    older[0] = 0.0
+    old[:2] = edge[1]
+    for d in range(2, n + m + 1):
+        new = np.full(n + 1, -np.inf)
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        options = np.stack([older[i - 1] + like[i - 1, d - i - 1], old[i] + gap, old[i - 1] + gap])
+        move[i, d - i] = best = options.argmax(0)
+        new[i] = options[best, np.arange(len(i))]
+        if d <= m:
+            new[0] = edge[d]
+        if d <= n:
+            new[d] = edge[d]
+        older, old = old, new
     out, i, j = [-1] * n, n, m
     while i or j:
-        if move[i, j] == 0 and i and j:
+        if i and j and move[i, j] == 0:
             i, j = i - 1, j - 1
             out[i] = j
         elif move[i, j] == 1:
-            i -= 1
-        else:
             j -= 1
+        else:
+            i -= 1
     return out
 
 

@@ -50,9 +50,14 @@ def bands(book_sizes: DataFrame) -> DataFrame:
 
 
 def span_label(first: Column, last: Column) -> Column:
-    """First end of the first date to the last end of the last: ``c. 600–592 B.C.`` and ``A.D. 1–4`` give ``c. 600–4``."""
-    opens, closes = F.trim(F.split(first, "[–—-]")[0]), F.trim(F.element_at(F.split(last, "[–—-]"), -1))
-    return F.when(opens == closes, opens).otherwise(F.concat_ws("–", opens, closes))
+    """Start of the first date to the end of the last: ``c. 600–592 B.C.`` and ``A.D. 1–4`` give ``c. 600–4``.
+
+    Equal dates are given whole; what follows `` · `` in a date is left out; a
+    date is cut at an en or em dash.
+    """
+    date = lambda c: F.split(c, " · ")[0]
+    opens, closes = F.trim(F.split(date(first), "[–—]")[0]), F.trim(F.element_at(F.split(date(last), "[–—]"), -1))
+    return F.when(date(first) == date(last), date(first)).otherwise(F.concat_ws("–", opens, closes))
 
 
 def neighbours(units: DataFrame) -> DataFrame:

@@ -8,22 +8,177 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions.text import norm_book, norm_reference
 
-# Books with their volume and number of chapters, and abbreviations.
-BOOKS = """ot Genesis 50, ot Exodus 40, ot Leviticus 27, ot Numbers 36, ot Deuteronomy 34, ot Joshua 24, ot Judges 21, ot Ruth 4, ot 1 Samuel 31, ot 2 Samuel 24, ot 1 Kings 22, ot 2 Kings 25, ot 1 Chronicles 29, ot 2 Chronicles 36, ot Ezra 10, ot Nehemiah 13, ot Esther 10, ot Job 42, ot Psalms 150, ot Proverbs 31, ot Ecclesiastes 12, ot Solomon's Song 8, ot Isaiah 66, ot Jeremiah 52, ot Lamentations 5, ot Ezekiel 48, ot Daniel 12, ot Hosea 14, ot Joel 3, ot Amos 9, ot Obadiah 1, ot Jonah 4, ot Micah 7, ot Nahum 3, ot Habakkuk 3, ot Zephaniah 3, ot Haggai 2, ot Zechariah 14, ot Malachi 4,
-nt Matthew 28, nt Mark 16, nt Luke 24, nt John 21, nt Acts 28, nt Romans 16, nt 1 Corinthians 16, nt 2 Corinthians 13, nt Galatians 6, nt Ephesians 6, nt Philippians 4, nt Colossians 4, nt 1 Thessalonians 5, nt 2 Thessalonians 3, nt 1 Timothy 6, nt 2 Timothy 4, nt Titus 3, nt Philemon 1, nt Hebrews 13, nt James 5, nt 1 Peter 5, nt 2 Peter 3, nt 1 John 5, nt 2 John 1, nt 3 John 1, nt Jude 1, nt Revelation 22,
-bofm 1 Nephi 22, bofm 2 Nephi 33, bofm Jacob 7, bofm Enos 1, bofm Jarom 1, bofm Omni 1, bofm Words of Mormon 1, bofm Mosiah 29, bofm Alma 63, bofm Helaman 16, bofm 3 Nephi 30, bofm 4 Nephi 1, bofm Mormon 9, bofm Ether 15, bofm Moroni 10, pgp Moses 8, pgp Abraham 5, pgp Joseph Smith—Matthew 1, pgp Joseph Smith—History 1, pgp Articles of Faith 1, dc Doctrine and Covenants 138"""
-ALIASES = {"Psalms": ["ps"], "Solomon's Song": ["songofsolomon", "sos"], "Matthew": ["mt"], "Mark": ["mk"], "Luke": ["lk"], "John": ["jn"], "Words of Mormon": ["wom"], "Helaman": ["hel"], "Abraham": ["abr"], "Joseph Smith—Matthew": ["jsm"], "Joseph Smith—History": ["jsh"], "Articles of Faith": ["aof"], "Doctrine and Covenants": ["dc", "dandc"]}
-ABBREVIATIONS = """gen. Genesis, ex. Exodus, lev. Leviticus, num. Numbers, deut. Deuteronomy, josh. Joshua, judg. Judges, ps. Psalms, prov. Proverbs, eccl. Ecclesiastes, isa. Isaiah, jer. Jeremiah, lam. Lamentations, ezek. Ezekiel, dan. Daniel, obad. Obadiah, mal. Malachi, zech. Zechariah, hos. Hosea, matt. Matthew, mt. Matthew, mk. Mark, lk. Luke, jn. John, rom. Romans, 1 cor. 1 Corinthians, 2 cor. 2 Corinthians, gal. Galatians, eph. Ephesians, philip. Philippians, phil. Philippians, col. Colossians, 1 thes. 1 Thessalonians, 2 thes. 2 Thessalonians, 1 tim. 1 Timothy, 2 tim. 2 Timothy, philem. Philemon, heb. Hebrews, 1 pet. 1 Peter, 2 pet. 2 Peter, 1 jn. 1 John, 2 jn. 2 John, 3 jn. 3 John, rev. Revelation, 1 sam. 1 Samuel, 2 sam. 2 Samuel, 1 kgs. 1 Kings, 2 kgs. 2 Kings, 1 chr. 1 Chronicles, 2 chr. 2 Chronicles, neh. Nehemiah, esth. Esther, song of sol. Solomon's Song, hab. Habakkuk, zeph. Zephaniah, hag. Haggai, 1 ne. 1 Nephi, 2 ne. 2 Nephi, w of m. Words of Mormon, hel. Helaman, 3 ne. 3 Nephi, 4 ne. 4 Nephi, morm. Mormon, moro. Moroni, d&c Doctrine and Covenants, dc Doctrine and Covenants, abr. Abraham, js—m Joseph Smith—Matthew, js—h Joseph Smith—History, a of f. Articles of Faith, psalm Psalms, song of solomon Solomon's Song"""
+# Books in order with their volume, number of chapters and aliases.
+BOOKS = [
+    ("Genesis", "ot", 50, []),
+    ("Exodus", "ot", 40, []),
+    ("Leviticus", "ot", 27, []),
+    ("Numbers", "ot", 36, []),
+    ("Deuteronomy", "ot", 34, []),
+    ("Joshua", "ot", 24, []),
+    ("Judges", "ot", 21, []),
+    ("Ruth", "ot", 4, []),
+    ("1 Samuel", "ot", 31, []),
+    ("2 Samuel", "ot", 24, []),
+    ("1 Kings", "ot", 22, []),
+    ("2 Kings", "ot", 25, []),
+    ("1 Chronicles", "ot", 29, []),
+    ("2 Chronicles", "ot", 36, []),
+    ("Ezra", "ot", 10, []),
+    ("Nehemiah", "ot", 13, []),
+    ("Esther", "ot", 10, []),
+    ("Job", "ot", 42, []),
+    ("Psalms", "ot", 150, ["ps"]),
+    ("Proverbs", "ot", 31, []),
+    ("Ecclesiastes", "ot", 12, []),
+    ("Solomon's Song", "ot", 8, ["songofsolomon", "sos"]),
+    ("Isaiah", "ot", 66, []),
+    ("Jeremiah", "ot", 52, []),
+    ("Lamentations", "ot", 5, []),
+    ("Ezekiel", "ot", 48, []),
+    ("Daniel", "ot", 12, []),
+    ("Hosea", "ot", 14, []),
+    ("Joel", "ot", 3, []),
+    ("Amos", "ot", 9, []),
+    ("Obadiah", "ot", 1, []),
+    ("Jonah", "ot", 4, []),
+    ("Micah", "ot", 7, []),
+    ("Nahum", "ot", 3, []),
+    ("Habakkuk", "ot", 3, []),
+    ("Zephaniah", "ot", 3, []),
+    ("Haggai", "ot", 2, []),
+    ("Zechariah", "ot", 14, []),
+    ("Malachi", "ot", 4, []),
+    ("Matthew", "nt", 28, ["mt"]),
+    ("Mark", "nt", 16, ["mk"]),
+    ("Luke", "nt", 24, ["lk"]),
+    ("John", "nt", 21, ["jn"]),
+    ("Acts", "nt", 28, []),
+    ("Romans", "nt", 16, []),
+    ("1 Corinthians", "nt", 16, []),
+    ("2 Corinthians", "nt", 13, []),
+    ("Galatians", "nt", 6, []),
+    ("Ephesians", "nt", 6, []),
+    ("Philippians", "nt", 4, []),
+    ("Colossians", "nt", 4, []),
+    ("1 Thessalonians", "nt", 5, []),
+    ("2 Thessalonians", "nt", 3, []),
+    ("1 Timothy", "nt", 6, []),
+    ("2 Timothy", "nt", 4, []),
+    ("Titus", "nt", 3, []),
+    ("Philemon", "nt", 1, []),
+    ("Hebrews", "nt", 13, []),
+    ("James", "nt", 5, []),
+    ("1 Peter", "nt", 5, []),
+    ("2 Peter", "nt", 3, []),
+    ("1 John", "nt", 5, []),
+    ("2 John", "nt", 1, []),
+    ("3 John", "nt", 1, []),
+    ("Jude", "nt", 1, []),
+    ("Revelation", "nt", 22, []),
+    ("1 Nephi", "bofm", 22, []),
+    ("2 Nephi", "bofm", 33, []),
+    ("Jacob", "bofm", 7, []),
+    ("Enos", "bofm", 1, []),
+    ("Jarom", "bofm", 1, []),
+    ("Omni", "bofm", 1, []),
+    ("Words of Mormon", "bofm", 1, ["wom"]),
+    ("Mosiah", "bofm", 29, []),
+    ("Alma", "bofm", 63, []),
+    ("Helaman", "bofm", 16, ["hel"]),
+    ("3 Nephi", "bofm", 30, []),
+    ("4 Nephi", "bofm", 1, []),
+    ("Mormon", "bofm", 9, []),
+    ("Ether", "bofm", 15, []),
+    ("Moroni", "bofm", 10, []),
+    ("Moses", "pgp", 8, []),
+    ("Abraham", "pgp", 5, ["abr"]),
+    ("Joseph Smith—Matthew", "pgp", 1, ["jsm"]),
+    ("Joseph Smith—History", "pgp", 1, ["jsh"]),
+    ("Articles of Faith", "pgp", 1, ["aof"]),
+    ("Doctrine and Covenants", "dc", 138, ["dc", "dandc"]),
+]
+
+# Abbreviations and the books that they stand for.
+ABBREVIATIONS = [
+    ("gen.", "Genesis"),
+    ("ex.", "Exodus"),
+    ("lev.", "Leviticus"),
+    ("num.", "Numbers"),
+    ("deut.", "Deuteronomy"),
+    ("josh.", "Joshua"),
+    ("judg.", "Judges"),
+    ("ps.", "Psalms"),
+    ("prov.", "Proverbs"),
+    ("eccl.", "Ecclesiastes"),
+    ("isa.", "Isaiah"),
+    ("jer.", "Jeremiah"),
+    ("lam.", "Lamentations"),
+    ("ezek.", "Ezekiel"),
+    ("dan.", "Daniel"),
+    ("obad.", "Obadiah"),
+    ("mal.", "Malachi"),
+    ("zech.", "Zechariah"),
+    ("hos.", "Hosea"),
+    ("matt.", "Matthew"),
+    ("mt.", "Matthew"),
+    ("mk.", "Mark"),
+    ("lk.", "Luke"),
+    ("jn.", "John"),
+    ("rom.", "Romans"),
+    ("1 cor.", "1 Corinthians"),
+    ("2 cor.", "2 Corinthians"),
+    ("gal.", "Galatians"),
+    ("eph.", "Ephesians"),
+    ("philip.", "Philippians"),
+    ("phil.", "Philippians"),
+    ("col.", "Colossians"),
+    ("1 thes.", "1 Thessalonians"),
+    ("2 thes.", "2 Thessalonians"),
+    ("1 tim.", "1 Timothy"),
+    ("2 tim.", "2 Timothy"),
+    ("philem.", "Philemon"),
+    ("heb.", "Hebrews"),
+    ("1 pet.", "1 Peter"),
+    ("2 pet.", "2 Peter"),
+    ("1 jn.", "1 John"),
+    ("2 jn.", "2 John"),
+    ("3 jn.", "3 John"),
+    ("rev.", "Revelation"),
+    ("1 sam.", "1 Samuel"),
+    ("2 sam.", "2 Samuel"),
+    ("1 kgs.", "1 Kings"),
+    ("2 kgs.", "2 Kings"),
+    ("1 chr.", "1 Chronicles"),
+    ("2 chr.", "2 Chronicles"),
+    ("neh.", "Nehemiah"),
+    ("esth.", "Esther"),
+    ("song of sol.", "Solomon's Song"),
+    ("hab.", "Habakkuk"),
+    ("zeph.", "Zephaniah"),
+    ("hag.", "Haggai"),
+    ("1 ne.", "1 Nephi"),
+    ("2 ne.", "2 Nephi"),
+    ("w of m.", "Words of Mormon"),
+    ("hel.", "Helaman"),
+    ("3 ne.", "3 Nephi"),
+    ("4 ne.", "4 Nephi"),
+    ("morm.", "Mormon"),
+    ("moro.", "Moroni"),
+    ("d&c", "Doctrine and Covenants"),
+    ("dc", "Doctrine and Covenants"),
+    ("abr.", "Abraham"),
+    ("js—m", "Joseph Smith—Matthew"),
+    ("js—h", "Joseph Smith—History"),
+    ("a of f.", "Articles of Faith"),
+    ("psalm", "Psalms"),
+    ("song of solomon", "Solomon's Song"),
+]
 
 
 def book_rows() -> list[tuple[int, str, str, int, list[str]]]:
     """Position, name, volume, chapters and aliases of each book."""
-    out = []
-    for n, entry in enumerate(re.split(r",\s+", BOOKS)):
-        volume, rest = entry.split(" ", 1)
-        name, chapters = rest.rsplit(" ", 1)
-        out.append((n, name, volume, int(chapters), ALIASES.get(name, [])))
-    return out
+    return [(n, *book) for n, book in enumerate(BOOKS)]
 
 
 def books(spark: SparkSession) -> DataFrame:
@@ -33,13 +188,7 @@ def books(spark: SparkSession) -> DataFrame:
 def spellings() -> list[tuple[str, str]]:
     """Every spelling, lower case, with its book; names rank before abbreviations."""
     names = [(n.lower().replace("–", "—"), n) for _, n, *_ in book_rows()]
-    known = {n for _, n, *_ in book_rows()}
-    short = []
-    for entry in re.split(r",\s+", ABBREVIATIONS):
-        parts = entry.split(" ")
-        cut = next(i for i in range(1, len(parts)) if " ".join(parts[i:]) in known)
-        short.append((" ".join(parts[:cut]), " ".join(parts[cut:])))
-    return list(dict(reversed([*names, *short, *[(s[:-1], b) for s, b in short if s.endswith(".")]])).items())
+    return list(dict(reversed([*names, *ABBREVIATIONS, *[(s[:-1], b) for s, b in ABBREVIATIONS if s.endswith(".")]])).items())
 
 
 def resolved(rows: DataFrame, raw: str, into: str = "book") -> DataFrame:

@@ -51,16 +51,28 @@ def unique_core(left: DataFrame, right: DataFrame, name: str, place: str) -> Dat
     return both.withColumn(place, F.coalesce("__exact", "__core")).drop("__n", "__c", "__exact", "__core")
 
 
-def article_score(title: Column, typed: str) -> Column:
-    """How well a title answers what was typed: 100 exact, 80 prefix, 60 whole words, 45 word prefix, 30 within, else null."""
-    t, q = norm(title), norm(F.lit(typed))
-    padded = F.concat(F.lit(" "), t, F.lit(" "))
-    return F.when(F.length(q) < 3, None).when(t == q, 100).when(t.startswith(q), 80).when(padded.contains(F.concat(F.lit(" "), q, F.lit(" "))), 60).when(padded.contains(F.concat(F.lit(" "), q)), 45).when(t.contains(q), 30)
+def article_score(title: Column, subtitle: Column, typed: str) -> Column:
+    """How well a page answers what was typed, punctuation and case aside; null if not, or for fewer than three characters.
 
-
-def articles(rows: DataFrame, title: str, typed: str, size: int = 3) -> DataFrame:
-    """Best titles, with ``strong`` for an exact one or a beginning of eight characters or more."""
-    scored = rows.withColumn("score", article_score(F.col(title), typed)).where("score is not null")
+    100 its title (with or without a leading the, a or an), 80 a beginning of it,
+    60 a word of it begins so, 45 it stands within; 30 and 20 likewise for title
+    and subtitle together; 12 if all of several words stand there.
+    """
+    q = norm(F.lit(typed))
+    named, both = norm(title), norm(F.concat_ws(" ", title, subtitle))
+    bare = F.regexp_replace(named, "^(the|a|an) ", "")
+    at_word = lambda c: (c == q) | c.startswith(F.concat(q, F.lit(" "))) | c.contains(F.concat(F.lit(" "), q))
+    each = F.forall(F.split(q, " "), lambda w: both.contains(w)) & q.contains(" ")
+    tiers = [((named == q) | (bare == q), 100), (named.startswith(q) | bare.startswith(q), 80), (at_word(named), 60), (named.contains(q), 45), (at_word(both), 30), (both.contains(q), 20), (each, 12)]
+    score = F.when(F.length(q) < 3, None)
+    for test, worth in tiers:
+        score = score.when(test, worth)
+    return score
+
+
+def articles(rows: DataFrame, title: str, subtitle: str, typed: str, size: int = 3) -> DataFrame:
+    """Best pages, with ``strong`` for an exact title or a beginning of eight characters or more."""
+    scored = rows.withColumn("score", article_score(F.col(title), F.col(subtitle), typed)).where("score is not null")
     strong = (F.col("score") == 100) | ((F.col("score") == 80) & (F.length(norm(F.lit(typed))) >= 8))
     return scored.withColumn("strong", strong).orderBy(F.desc("score"), title).limit(size)
 

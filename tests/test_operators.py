@@ -73,3 +73,76 @@ def test_volume_layouts(spark, tmp_path):
     got = sorted((r["file"], r["book"], r["chapter"], r["verse"], r["text"]) for r in corpus.read_volumes(spark, str(tmp_path)).collect())
     assert got == [("a", "B", 1, 1, "x"), ("d", "Sections", 3, 2, "y")]
     assert corpus.read_optional(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
+def _plain_alignment(slots, blocks, gap=-0.35):
+    """The table filled cell by cell: a match, else a block left out, else a slot left empty."""
+    bag = lambda t: sorted("".join(c if c.isalpha() else " " for c in t.lower()).split())
+
+    def like(a, b):
+        a, b, n = bag(a), bag(b), 0
+        for w in list(a):
+            if w in b:
+                b.remove(w)
+                n += 1
+        every = len(a) + len(b) + n
+        return 2 * n / every if every else 0.0
+
+    n, m = len(slots), len(blocks)
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        best[i][0] = best[i - 1][0] + gap
+    for j in range(1, m + 1):
+        best[0][j] = best[0][j - 1] + gap
+    came = {}
+    for j in range(1, m + 1):
+        for i in range(1, n + 1):
+            ways = [(best[i - 1][j - 1] + like(slots[i - 1], blocks[j - 1]), "match"), (best[i][j - 1] + gap, "block"), (best[i - 1][j] + gap, "slot")]
+            best[i][j], came[i, j] = max(ways, key=lambda w: w[0])
+    out, i, j = [-1] * n, n, m
+    while i or j:
+        way = came.get((i, j), "block" if j else "slot")
+        i, j = i - (way != "block"), j - (way != "slot")
+        if way == "match":
+            out[i] = j
+    return out
+
+
+def test_alignment_ties_and_disturbed_lines(spark):
+    import random
+
+    assert align.align(["d", "e", "e f e", "b c d"], ["c f", "d e", "c b", "e e"]) == [0, 1, -1, 2]
+    rng = random.Random(2)
+    for _ in range(60):
+        sides = [[" ".join(rng.choices("abcdef", k=rng.randint(0, 4))) for _ in range(rng.randint(0, 7))] for _ in (0, 1)]
+        assert align.align(*sides) == _plain_alignment(*sides)
+    lines = [f"line {i} has words w{i} x{i}" for i in range(300)]
+    scan = [t.replace("words", "w0rds") for i, t in enumerate(lines) if i % 7 != 3]
+    assert align.align(lines, scan) == [-1 if i % 7 == 3 else scan.index(t.replace("words", "w0rds")) for i, t in enumerate(lines)]
+    from lectern.plans import study_queries
+
+    got = study_queries.align_lines(spark, "/root/testdata/sf0.001").collect()
+    put = [r for r in got if r["block"] is not None]
+    assert len(put) > 0.6 * len(got) and sum(r["block"] // 2 == r["verse"] for r in put) > 0.8 * len(put)
+
+
+def test_article_tiers(spark):
+    from lectern.operators import reports
+
+    rows = spark.createDataFrame([("The War Chapters", "Battles of Alma"), ("Miracles & Signs", "by place"), ("Psalms", None)], "title string, subtitle string")
+
+    def score(typed):
+        return {r["title"]: (r["score"], r["strong"]) for r in reports.articles(rows, "title", "subtitle", typed).collect()}
+
+    assert score("war chapters") == {"The War Chapters": (100, True)} and score("the war") == {"The War Chapters": (80, False)}
+    assert score("war chap") == {"The War Chapters": (80, True)} and score("sig") == {"Miracles & Signs": (60, False)}
+    assert score("acles") == {"Miracles & Signs": (45, False)} and score("alm") == {"Psalms": (45, False), "The War Chapters": (30, False)}
+    assert score("attles") == {"The War Chapters": (20, False)} and score("alma war") == {"The War Chapters": (12, False)}
+    assert score("wa") == {} and score("nothing") == {}
+
+
+def test_span_labels(spark):
+    from lectern.operators import dims
+
+    rows = spark.createDataFrame([("c. 600–592 B.C.", "A.D. 1—4"), ("A.D. 34", "A.D. 34"), ("A.D. 34 · Zion", "A.D. 34"), ("10-12", "12–14 · x"), ("5–6", "7–5")], "a string, b string")
+    assert [r[0] for r in rows.select(dims.span_label(rows["a"], rows["b"])).collect()] == ["c. 600–4", "A.D. 34", "A.D. 34", "10-12–14", "5–5"]
