@@ -116,7 +116,8 @@ def test_alignment_ties_and_disturbed_lines(spark):
     for _ in range(60):
         sides = [[" ".join(rng.choices("abcdef", k=rng.randint(0, 4))) for _ in range(rng.randint(0, 7))] for _ in (0, 1)]
         assert align.align(*sides) == _plain_alignment(*sides)
-    lines = [f"line {i} has words w{i} x{i}" for i in range(300)]
+    own = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(300)]
+    lines = [f"line of words w{w} x{w} y{w}" for w in own]
     scan = [t.replace("words", "w0rds") for i, t in enumerate(lines) if i % 7 != 3]
     assert align.align(lines, scan) == [-1 if i % 7 == 3 else scan.index(t.replace("words", "w0rds")) for i, t in enumerate(lines)]
     from lectern.plans import study_queries
