@@ -3,13 +3,17 @@
 The network reads the bytes of a word forwards and backwards and labels every
 byte with language probabilities; a document's probabilities are the mean over
 all its letter bytes.  A word (a run of ASCII letters and bytes beyond ASCII,
-A-Z lower-cased) is one sequence, cut after ``MAX_BYTES``, so equal words of a
-batch share one run of the network and whole texts stay cheap.  Training is
-back-propagation through time, in numpy, on a bounded sample of labelled words.
+A-Z lower-cased) is one sequence, so equal words of a batch share one run of the
+network and whole texts stay cheap.  A run of more than ``MAX_BYTES``, as in
+scripts without spaces, is read in windows: of each the middle ``STRIDE`` bytes are
+labelled, with ``CONTEXT`` bytes before and after them for the states to settle.
+Training is back-propagation through time, in numpy, on a bounded sample of
+labelled words and windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +25,8 @@ from . import staging
 from .textkit import LETTERS, LOWER, chunks, prefix_hash, span_hash, spans, text_buffers
 
 HIDDEN = 12
-MAX_BYTES = 24
+STRIDE, CONTEXT = 32, 8
+MAX_BYTES = STRIDE + 2 * CONTEXT
 #: Bounds of the training sample: documents of each language (expected) and distinct words in all.
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 40_000
 #: Below this pooled probability a filter rejects the document along with those without letters.
@@ -57,6 +62,10 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.table, self.gates, self.cand, self.out, self.bias]
 
+    def name(self) -> bytes:
+        """A digest of the languages and all weights: what is remembered of one network is never taken for another's."""
+        return hashlib.sha256("\0".join(self.langs).encode() + b"".join(w.tobytes() for w in self.weights())).digest()
+
     def run(self, words: np.ndarray) -> tuple[np.ndarray, list]:
         """Probabilities at each byte of equally long words (n x L x K), and what back-propagation needs."""
         n, length = words.shape
@@ -104,7 +113,6 @@ class Network:
 def fit(words: list[bytes], labels: np.ndarray, counts: np.ndarray, langs: list[str], steps: int = 900, batch: int = 256, seed: int = 11) -> Network:
     """Train on words drawn by count ** 0.75, each batch of one length, with Adam."""
     rng, net = np.random.default_rng(seed), Network.fresh(langs)
-    words = [w[:MAX_BYTES] for w in words]
     sizes = np.array([len(w) for w in words])
     weight = counts.astype(float) ** 0.75
     for k in range(len(langs)):  # every language weighs the same
@@ -136,9 +144,9 @@ def train(docs: DataFrame, seed: int = 3) -> Network | None:
     """Fit to the rows of ``docs`` that have a language and aren't held out; None without any.
 
     The sample: about ``SAMPLE_DOCS`` documents of each language, chosen by a hash
-    of doc_id, and ``SAMPLE_WORDS`` of their distinct words, longer ones cut into
-    pieces of ``MAX_BYTES``: the most frequent of each language in turn, so that
-    each language with a word is learnt.
+    of doc_id, and ``SAMPLE_WORDS`` of their distinct words, longer ones as windows
+    of ``MAX_BYTES``: the most frequent of each language in turn, so that each
+    language with a word is learnt.
     """
     own = staging.only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~training_part())
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
@@ -148,7 +156,7 @@ def train(docs: DataFrame, seed: int = 3) -> Network | None:
     drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = drawn.select("lang", F.explode(F.regexp_extract_all(low, F.lit("[^\\x00-\\x60\\x7B-\\x7F]+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
-    pieces = F.expr(f"transform(sequence(0, octet_length(word) - 1, {MAX_BYTES}), i -> substring(cast(word AS binary), i + 1, {MAX_BYTES}))")
+    pieces = F.expr(f"transform(sequence(0, greatest(octet_length(word) - {MAX_BYTES - STRIDE} - 1, 0), if(octet_length(word) > {MAX_BYTES}, {STRIDE}, {1 << 30})), i -> substring(cast(word AS binary), i + 1, {MAX_BYTES}))")
     found = words.select("lang", F.explode(pieces).alias("word"), "count").groupBy("lang", "word").agg(F.sum("count").alias("count"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     rows = found.withColumn("nth", nth).orderBy("nth", "lang").limit(max(SAMPLE_WORDS, len(sizes))).collect()
@@ -167,18 +175,22 @@ def _word_sums(net: Network, name: bytes, data: np.ndarray, starts: np.ndarray,
     out = np.zeros((len(hashes), len(net.langs)), np.float32)
     out[have] = sums[at[have]]
     new = np.flatnonzero(~have)
-    # Longer words are several sequences.
-    counts = -(-(ends[new] - starts[new]) // MAX_BYTES)
+    size = ends[new] - starts[new]
+    counts = np.where(size <= MAX_BYTES, 1, -(-size // STRIDE))
     owner = np.repeat(new, counts)
-    part = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begin = starts[owner] + part * MAX_BYTES
-    size = np.minimum(ends[owner] - begin, MAX_BYTES)
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for lo in range(0, len(at), 4096):
-            some = at[lo : lo + 4096]
+    part, many = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), np.repeat(counts > 1, counts)
+    # Labelled bytes [lo, hi) of each sequence, and the sequence with its context.
+    lo = starts[owner] + part * STRIDE
+    hi = np.where(many, np.minimum(lo + STRIDE, ends[owner]), ends[owner])
+    begin = np.where(many, np.maximum(lo - CONTEXT, starts[owner]), lo)
+    end = np.where(many, np.minimum(hi + CONTEXT, ends[owner]), hi)
+    shapes, which = np.unique(np.stack([end - begin, lo - begin, hi - begin]), axis=1, return_inverse=True)
+    for k, (n, left, right) in enumerate(shapes.T):
+        at = np.flatnonzero(which.ravel() == k)
+        for first in range(0, len(at), 4096):
+            some = at[first : first + 4096]
             p, _ = net.run(data[begin[some, None] + np.arange(n)])
-            np.add.at(out, owner[some], p.sum(1))
+            np.add.at(out, owner[some], p[:, left:right].sum(1))
     if len(known) + len(new) > _KNOWN:
         known, sums = known[:0], sums[:0]
     known, sums = np.concatenate([known, hashes[new]]), np.concatenate([sums, out[new]])
@@ -190,7 +202,7 @@ def _word_sums(net: Network, name: bytes, data: np.ndarray, starts: np.ndarray,
 
 def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean language probabilities over all letter bytes of each text; rows of zeros without any."""
-    name = net.table.tobytes()[:64] + ",".join(net.langs).encode()
+    name = net.name()
     total = np.zeros((len(offsets) - 1, len(net.langs)))
     for lo, hi in chunks(offsets, 4 << 20):
         low = LOWER[data[offsets[lo] : offsets[hi]]]
