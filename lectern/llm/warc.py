@@ -93,10 +93,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = staging.only(pages, "page_id", "url", "html").select("page_id", "url", html.alias("html"), payload_digest(F.encode(html, "UTF-8")).alias("digest"))
-    seen = own.select("digest", "page_id").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
+    seen = own.select("digest", "page_id").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
     seen = staging.stage(seen, "payloads")
-    few = seen.limit(100_001).count() <= 100_000
-    both = own.join(F.broadcast(seen) if few else seen, "digest", "left")
+    if seen.limit(100_001).count() <= 100_000:
+        both = own.join(F.broadcast(seen.drop("n")), "digest", "left")
+    else:
+        both = staging.join_skewed(own, seen, ["digest"], staging.heavy_keys(seen, ["digest"], "n"), "left")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least)
     rows = both.select(F.col("page_id").cast("string").alias("page"), F.col("url").cast("string").alias("url"), F.when(later, "").otherwise(F.col("html")).alias("html"), "digest", F.col("first").cast("string").alias("first"), later.alias("revisit"))
     rows.mapInArrow(lambda it: _build(it, segment), "value string").write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -108,6 +110,20 @@ _FIELDS = {
 }
 
 
+def inflate(data: bytes) -> bytes:
+    """All gzip members of an archive, one for the whole or one for each record; other data as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        data = member.unused_data.lstrip(b"\0")  # padding after a member
+    if out and data:
+        raise ValueError("there is more than gzip members")
+    return b"".join(out) or data
+
+
 def parse_archive(data: bytes) -> Iterator[dict]:
     """Records of one archive by their stated lengths; a malformed record raises ValueError."""
     at = 0
@@ -133,7 +149,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for r in parse_archive(zlib.decompress(content.as_py(), 47)):
+            for r in parse_archive(inflate(content.as_py())):
                 rows.append(r | {"number": r["number"] and int(r["number"]), "total": r["total"] and int(r["total"])})
                 if len(rows) == 200:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -160,10 +176,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 100):
             part, payloads = batch.slice(lo, 100), []
-            for block, rest in zip(part.column("block"), part.column("rest"), strict=True):
+            for block, number, rest in zip(part.column("block"), part.column("number"), part.column("rest"), strict=True):
                 block, rest = block.as_py(), sorted(rest.as_py() or [], key=lambda s: s["number"])
-                if rest:
-                    if [s["number"] for s in rest] != list(range(2, len(rest) + 2)):
+                if rest or number.as_py():
+                    if block is None or not rest or [s["number"] for s in rest] != list(range(2, len(rest) + 2)):
                         raise ValueError("a segment is missing")
                     block += b"".join(s["block"] for s in rest)
                     if len(block) != rest[-1]["total"]:
@@ -176,16 +192,20 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Responses (page, url, digest, payload) and revisits (page, url, digest, refers_to) of the archives.
 
-    Segments are put together again; a missing segment, wrong total length or
-    wrong frame fails the job.  Continuations that repeat are taken once.
+    Segments are put together again; a missing segment (the first, the last, all
+    continuations too), wrong total length, wrong frame or archive cut off fails the
+    job.  Continuations that repeat are taken once.  An archive may be plain, one
+    gzip member, or a member for each record.
     """
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path).select("content")
     records = staging.stage(files.mapInArrow(_parse, _PARSED), "records")
     rest = records.where("type = 'continuation'").dropDuplicates(["origin", "number"]).groupBy("origin").agg(F.collect_list(F.struct("number", "total", "block")).alias("rest"))
     first = records.where("type = 'response'").select("name", "page", "url", F.regexp_replace("digest", "^sha1:", "").alias("digest"), "block", "number")
     none = F.lit(None).cast("array<struct<number:int,total:bigint,block:binary>>")
-    whole = first.where("number is null").withColumn("rest", none).unionByName(first.where("number = 1").join(rest.withColumnRenamed("origin", "name"), "name"))
-    responses = whole.select("page", "url", "digest", "block", "rest").mapInArrow(_assemble, "page string, url string, digest string, payload binary")
+    # Continuations without their first segment come through too, and fail as a first segment without continuations does.
+    parted = first.where("number is not null").join(rest.withColumnRenamed("origin", "name"), "name", "full")
+    whole = first.where("number is null").withColumn("rest", none).unionByName(parted)
+    responses = whole.select("page", "url", "digest", "block", F.coalesce("number", F.when(F.col("rest").isNotNull(), 1)).alias("number"), "rest").mapInArrow(_assemble, "page string, url string, digest string, payload binary")
     revisits = records.where("type = 'revisit'").select("page", "url", F.regexp_replace("digest", "^sha1:", "").alias("digest"), "refers_to")
     return responses, revisits
 
