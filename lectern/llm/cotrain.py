@@ -6,26 +6,27 @@ Round by round each labels the unlabelled documents it is sure of for the other.
 Both are then calibrated on labelled rows that trained neither, and a logistic
 combination of their calibrated log-odds scores every document.
 
-Only two bounded hash samples reach the driver: ``LABELLED`` labelled documents
-to fit on and a ``POOL`` of unlabelled ones to exchange, as in co-training's
-original form.  Scoring is one pass over all documents.
+Only a bounded hash sample of ``LABELLED`` labelled documents is fitted on.  The
+exchange is over all unlabelled documents: their features are written once, every
+round scores them all by both views, and each view passes on those that it is
+surest of in the whole corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import staging
 from .langid import training_part
 from .textkit import LOWER, WORD, chunks, mix, prefix_hash, span_hash, spans, text_buffers
 
-#: Expected sizes of the two samples.
-LABELLED, POOL = 6000, 6000
+#: Expected size of the sample of labelled documents.
+LABELLED = 6000
 #: Rounds, documents that a view passes on in each, and how sure it must be of them.
 ROUNDS, PASSED, SURE = 4, 400, 0.95
 #: Buckets of the hashed words, sources, languages and lengths.
@@ -36,11 +37,11 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[[32, 9, 13]], _CLASS[10] =
 _CLASS[[33, 44, 46, 58, 59, 63]], _CLASS[128:] = 5, 7
 _LINE = np.ones(256, bool)
 _LINE[10] = False
-SHAPE = 8 + 6
+SHAPE = 8 + 5
 
 
 def content_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Text view of each text of a chunk: unit-length hashed words, byte-class shares, word and line statistics."""
+    """Text view of each text of a chunk: unit-length hashed words, byte-class shares, word and line statistics.  Length is left to the other view."""
     n, size = len(offsets) - 1, np.diff(offsets)
     out = np.zeros((n, WORDS + SHAPE), np.float32)
     low = LOWER[data]
@@ -60,7 +61,6 @@ def content_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _distinct(words, of, n) / np.maximum(n_words, 1),
         np.log1p(size / np.maximum(n_lines, 1)) / 5,
         _distinct(lines, l_of, n) / np.maximum(n_lines, 1),
-        np.log1p(n_words) / 8,
         (size == 0).astype(float),
     ]
     out[:, WORDS:] = np.c_[share, np.stack(stats, 1)]
@@ -127,34 +127,72 @@ class Model:
         return _sigmoid(logits[0]), _sigmoid(logits[1]), _sigmoid(self.both.logit(np.stack(logits, 1)))
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], calibrate: np.ndarray, rounds: int = ROUNDS, passed: int = PASSED, sure: float = SURE) -> Model:
-    """Fit on labelled rows (those of ``calibrate`` kept apart), exchanging pseudo-labels over the pool's rows."""
+#: Finds the surest rows: models and scales of both views, keys already passed on, how many of label 1 and 0;
+#: gives (view, label, features of the other view) lists and the keys.
+Surest = Callable[[list[Logistic], list[Logistic], np.ndarray, tuple[int, int]], tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, calibrate: np.ndarray, surest: Surest, rounds: int = ROUNDS, passed: int = PASSED) -> Model:
+    """Fit on labelled rows (those of ``calibrate`` kept apart), exchanging pseudo-labels over the rows that ``surest`` knows."""
     own = [(x[~calibrate], y[~calibrate].astype(float)) for x in views]
-    free = np.ones(len(pool[0]), bool)
+    taken = np.zeros(0, np.int64)
     scales = lambda m: [Logistic.fit(v.logit(x[calibrate])[:, None], y[calibrate], 1e-3) for v, x in zip(m, views, strict=True)]
     models = [Logistic.fit(*o) for o in own]
+    # As many of each class as its share asks for.
+    wanted = max(1, round(passed * y.mean())), max(1, round(passed * (1 - y.mean())))
     for _ in range(rounds):
-        given = []
-        for view, scale, x in zip(models, scales(models), pool, strict=True):
-            p = _sigmoid(scale.logit(view.logit(x)[:, None]))
-            # As many of each class as its share asks for, the surest first.
-            picks = []
-            for label, certain, part in ((1, p, y.mean()), (0, 1 - p, 1 - y.mean())):
-                able = np.flatnonzero(free & (certain >= sure))
-                picks += [(i, label) for i in able[np.argsort(-certain[able], kind="stable")][: max(1, round(passed * part))]]
-            given.append(picks)
-        if not any(given):
+        view, label, features, keys = surest(models, scales(models), taken, wanted)
+        if not len(keys):
             break
-        for to, picks in ((1, given[0]), (0, given[1])):
-            at, labels = np.array([i for i, _ in picks], int), np.array([v for _, v in picks], float)
-            own[to] = np.concatenate([own[to][0], pool[to][at]]), np.r_[own[to][1], labels]
-            free[at] = False
+        for to in (0, 1):
+            at = view == 1 - to
+            own[to] = np.concatenate([own[to][0], features[to][at]]), np.r_[own[to][1], label[at].astype(float)]
+        taken = np.r_[taken, keys]
         models = [Logistic.fit(*o) for o in own]
     found = scales(models)
     logits = np.stack([s.logit(v.logit(x[calibrate])[:, None]) for x, v, s in zip(views, models, found, strict=True)], 1)
     return Model(models, found, Logistic.fit(logits, y[calibrate], 1e-2))
 
 
+def _matrices(table: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """Both views of staged rows."""
+    content, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("content"), table.column("meta")))
+    return [np.asarray(content.flatten(), np.float32).reshape(len(content), WORDS + SHAPE), _one_hot(meta)]
+
+
+def _confident(batches: Iterator[pa.RecordBatch], models: list[Logistic], scales: list[Logistic], taken: np.ndarray, wanted: tuple[int, int], sure: float) -> Iterator[pa.RecordBatch]:
+    """The task's surest rows of each view and label: those of all rows are among them."""
+    best = {(v, label): (np.zeros(0), np.zeros(0, np.int64)) for v in (0, 1) for label in (1, 0)}
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        free = ~np.isin(keys, taken)
+        for v, x in enumerate(_matrices(batch)):
+            p = _sigmoid(scales[v].logit(models[v].logit(x)[:, None]))
+            for label, certain in ((1, p), (0, 1 - p)):
+                at = np.flatnonzero(free & (certain >= sure))
+                c, k = np.r_[best[v, label][0], certain[at]], np.r_[best[v, label][1], keys[at]]
+                k, first = np.unique(k, return_index=True)
+                order = np.lexsort((k, -c[first]))[: wanted[1 - label]]
+                best[v, label] = c[first][order], k[order]
+    parts = [(np.full(len(k), v), np.full(len(k), label), c, k) for (v, label), (c, k) in best.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["view", "label", "certain", "key"])
+
+
+def _exchange(rows: DataFrame, sure: float) -> Surest:
+    """The surest of all ``rows`` (key, content, meta) by a distributed top-k; a key that both views want goes to the surer."""
+
+    def surest(models, scales, taken, wanted):
+        told = rows.mapInArrow(lambda it: _confident(it, models, scales, taken, wanted, sure), "view bigint, label bigint, certain double, key bigint")
+        nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certain"), "key"))
+        best = told.distinct().withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("label") == 1, wanted[0]).otherwise(wanted[1]))
+        picked = best.groupBy("key").agg(F.max(F.struct("certain", "view", "label")).alias("p")).select("key", "p.view", "p.label")
+        picked = staging.stage(picked, "picked")  # at most 2 * PASSED rows and two
+        found = rows.join(F.broadcast(picked), "key").groupBy("key").agg(F.first("view").alias("view"), F.first("label").alias("label"), F.min_by("content", "meta").alias("content"), F.min("meta").alias("meta")).orderBy("key").toArrow()
+        return found.column("view").to_numpy(), found.column("label").to_numpy(), _matrices(found) if len(found) else [np.zeros((0, 0))] * 2, found.column("key").to_numpy()
+
+    return surest
+
+
 def _drawn(rows: int, bound: int, seed: int) -> F.Column:
     share = min(1.0, bound / max(rows, 1))
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)
@@ -166,38 +204,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(offsets):
             x = content_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "meta", "label")), lists], ["doc_id", "meta", "label", "content"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id", "label", "meta")), lists], ["key", "doc_id", "label", "meta", "content"])
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model | None:
     """Fit to the labelled rows that aren't held out; None without both classes among them.
 
     A doc_id with several labels has their mean, rounded up from a half; of
-    several texts with a sampled doc_id the least counts.
+    several rows with a sampled doc_id one counts.  Rows that repeat id, text and
+    metadata are one unlabelled document.
     """
     known = staging.only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = staging.stage(known, "labels")
-    own = staging.only(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", "text", _metadata().alias("meta")).where("doc_id is not null")
-    ours = known.where(_drawn(known.count(), LABELLED, seed) & ~training_part())
-    one = F.min(F.struct("text", "meta")).alias("d")
-    fit_on = own.join(F.broadcast(ours), "doc_id").groupBy("doc_id", "label").agg(one)
-    free = own.where(_drawn(docs.count(), POOL, seed + 1)).groupBy("doc_id").agg(one).join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
-    rows = fit_on.unionByName(free).select("doc_id", "label", "d.text", "d.meta")
+    n_known = known.count()
+    own = staging.only(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", "text", _metadata().alias("meta"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("key"))
+    marked = staging.join_bounded(own, known, "doc_id", n_known, how="left").select("key", "doc_id", "text", "label", "meta")
     kind = dict(docs.dtypes)["doc_id"]
-    table = rows.mapInArrow(_features, f"doc_id {kind}, meta array<int>, label int, content array<float>").orderBy("doc_id").toArrow().combine_chunks()
-    if not table.num_rows:
+    table = staging.stage(marked.mapInArrow(_features, f"key bigint, doc_id {kind}, label int, meta array<int>, content array<float>"), "features")
+    drawn = table.where(F.col("label").isNotNull() & _drawn(n_known, LABELLED, seed) & ~training_part())
+    fit_on = drawn.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by(F.struct("content", "meta"), "key").alias("d")).select("doc_id", "label", "d.content", "d.meta").orderBy("doc_id").toArrow()
+    if not len(fit_on):
         return None
-    content = table.column("content").combine_chunks()
-    views = [np.asarray(content.flatten()).reshape(table.num_rows, -1), _one_hot(table.column("meta").combine_chunks())]
-    label = table.column("label").to_numpy(zero_copy_only=False).astype(float)
-    held = ~np.isnan(label)
-    y = label[held]
+    views, y = _matrices(fit_on), fit_on.column("label").to_numpy().astype(float)
     calibrate = np.zeros(len(y), bool)
     for v in (0, 1):  # a quarter of each class, spread over the ids
         calibrate[np.flatnonzero(y == v)[1::4]] = True
     if len(np.unique(y[calibrate])) < 2 or len(np.unique(y[~calibrate])) < 2:
         return None
-    return cotrain([x[held] for x in views], y, [x[~held] for x in views], calibrate)
+    return cotrain(views, y, calibrate, _exchange(table.where("label is null").select("key", "content", "meta"), SURE))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, names: list[str]) -> Iterator[pa.RecordBatch]:
