@@ -306,7 +306,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     whole = again.where("same").select("key", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     run = ["anchor", "content"]
     partly = staging.join_skewed(again.where("not same"), found, run, staging.heavy_keys(kinds, run, "times")).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
-    cover = whole.unionByName(partly)
+    # Repeated rows have one key; their equal runs are one before a window sees them.
+    cover = whole.unionByName(partly).groupBy("key", "lo").agg(F.max("hi").alias("hi"))
     order = Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max("hi").over(order)
     islands = cover.withColumn("new", (before.isNull() | (F.col("lo") > before)).cast("int")).withColumn("island", F.sum("new").over(Window.partitionBy("key").orderBy("lo", "hi")))
