@@ -28,21 +28,33 @@ def _next_stage(first: bool = False) -> None:
         staging.release(_began[0])
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it one that no column has, case aside."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
+def _columns(docs: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _without(docs: DataFrame, dropped: DataFrame, key: F.Column) -> DataFrame:
-    """Rows of ``docs`` whose key is not among the dropped ones."""
-    dropped = staging.stage(dropped.distinct(), "dropped")
+    """Rows of ``docs`` whose key is not among the dropped ones, in their one column."""
+    name = _free("__key", docs.columns)
+    dropped = staging.stage(dropped.distinct().withColumnRenamed(dropped.columns[0], name), "dropped")
     few = dropped.limit(100_001).count() <= 100_000
-    return docs.withColumn("__key", key).join(F.broadcast(dropped) if few else dropped, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(name, key).join(F.broadcast(dropped) if few else dropped, name, "left_anti").select(*_columns(docs))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language: not ``und``, pooled probability ``REJECT`` at least."""
     _next_stage(first=True)
-    columns = docs.columns
-    own = {c: c if c not in ("lang_pred", "score") else f"__{c}" for c in columns}
-    told = identify(docs.withColumnsRenamed(own), train(docs))
+    # The operator's own names are kept off the table's.
+    own = {c: f"c{n}" for n, c in enumerate(docs.columns) if c != "text"}
+    told = identify(docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns]), train(docs))
     kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()})
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,20 +68,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = staging.stage(repeated, "repeated")
     if not repeated.take(1):
         return kept
-    both = kept.withColumn("__key", key)
-    one = both.join(repeated, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    name = _free("__key", docs.columns)
+    both = kept.withColumn(name, key)
+    one = both.join(repeated.withColumnRenamed("__key", name), name).dropDuplicates([name]).select(*_columns(docs))
     return _without(kept, repeated, key).unionByName(one)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat across or within them; no row goes."""
     _next_stage()
-    others = tuple(c for c in docs.columns if c != "text")
-    cut = dedup(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), columns=others, with_text=True)
-    kept = cut.withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(others)])
+    cut = dedup(renamed, columns=tuple(f"c{n}" for n in range(len(others))), with_text=True)
+    value = {c: F.col(f"c{n}") for n, c in enumerate(others)} | {"text": F.col("kept_text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[value[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating star contraction.
 
-Each round points every node at the least node near it; rounds end when no
-pointer moves.  A node's neighbours are reduced by an aggregate and joined back,
+Each round points every node at the least node near it; rounds end when the links
+are stars.  A node's neighbours are reduced by an aggregate and joined back,
 so a node with very many links is never one task's group.
 """
 
@@ -19,8 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     self-links don't matter, nulls link nothing, and no links give no rows.
     """
     edges = staging.stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    while True:
+    while edges.take(1):
         # Large star: larger neighbours of a node move to its least neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -30,12 +29,13 @@ def components(links: DataFrame) -> DataFrame:
         low = lower.groupBy("u").agg(F.min("v").alias("m"))
         moved = lower.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = staging.stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         staging.drop(edges)
         edges = new
-        if now == state:
+        # Done when every node points once, at a node that points nowhere: edges lead to lesser nodes, so that is the least.
+        side = lambda c, up, down: edges.select(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(down).alias("down"))  # noqa: B023,E731
+        moving = side("u", 1, 0).unionByName(side("v", 0, 1)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if not moving.take(1):
             break
-        state = now
-    roots = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_anti")
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     return staging.stage(found, "roots")

@@ -256,11 +256,11 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, root: str) -> DataFr
 def links(texts: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between ``texts`` (node, text; nodes differ): a, b, similarity; and their components: node, root.
 
-    Each text meets the most central text of its buckets, the one with the least
-    weight that no other text has; then the central ones of those of its buckets
-    that are of another class.  Members of buckets that still hold several classes
-    are compared across them wherever they can be similar (see :func:`_apart`), so
-    that each pair of a bucket is compared, is of one class, or is known to be less similar.
+    Each text meets the most central text of each of its buckets, the one with the
+    least weight that no other text has.  Members of buckets that then hold several
+    classes are compared across them wherever they can be similar (see
+    :func:`_apart`), so that each pair of a bucket is compared, is of one class, or
+    is known to be less similar.
     """
     sets = weighted_sets(texts, threshold)
     every = sets.select("node", "alone", F.explode("bands").alias("bucket"))
@@ -269,39 +269,35 @@ def links(texts: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, D
     heavy = staging.heavy_keys(crowded, ["bucket"], "n")
     buckets = staging.stage(staging.join_skewed(every, crowded.select("bucket", "pivot"), ["bucket"], heavy).select("bucket", "node", "pivot"), "buckets")
 
-    pairs = buckets.where("node <> pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-    pairs = staging.stage(pairs, "pairs")
+    pairs = staging.stage(buckets.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
     linked = _linked(sets, pairs, threshold)
     roots = components(linked)
 
-    named = _rooted(buckets.select("bucket", "node"), roots, "node", "root")
-    central = _rooted(crowded.select("bucket", F.col("pivot.node").alias("pivot")), roots, "pivot", "central")
-    others = staging.join_skewed(named, central, ["bucket"], heavy).where("root <> central").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    others = staging.stage(others.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(sets, others, threshold)
-    if more.take(1):
-        linked = staging.stage(linked.unionByName(more).distinct(), "linked")
-        roots = components(linked)
-
     named = staging.stage(_rooted(buckets.select("bucket", "node"), roots, "node", "root"), "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     members = staging.stage(staging.join_skewed(named, mixed, ["bucket"], heavy).select("node", "root").distinct(), "mixed")
-    compared = pairs.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n_members = members.count()
+    if not n_members:
+        return linked, roots
+    compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = staging.stage(_apart(sets, members, threshold).join(compared, ["a", "b"], "left_anti"), "apart")
-    most = OFFERED
-    while True:
-        # The likeliest first: a link joins two classes and spares the rest of their pairs.
-        rooted = _rooted(_rooted(apart, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
-        nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
-        ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
-        pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b"), "pairs")
-        if not pairs.take(1):
-            break
-        more = _linked(sets, pairs, threshold)
+    # Where the pairs are many, the likeliest come first: a link joins two classes and spares the rest of their pairs.
+    n_apart, most = apart.count(), OFFERED
+    while n_apart:
+        pairs = apart
+        if n_apart > OFFERED * n_members:
+            rooted = _rooted(_rooted(apart, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+            nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
+            ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
+            pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b"), "pairs")
+        more = _linked(sets, pairs.select("a", "b"), threshold)
         if more.take(1):
-            linked = staging.stage(linked.unionByName(more).distinct(), "linked")
+            linked = staging.stage(linked.unionByName(more), "linked")
             roots = components(linked)
+        if pairs is apart or not pairs.take(1):
+            break
         apart, most = staging.stage(apart.join(pairs, ["a", "b"], "left_anti"), "apart"), 16 * most
+        n_apart = apart.count()
     return linked, roots
 
 

@@ -101,14 +101,13 @@ def join_found(texts: DataFrame, found: DataFrame, bound: int = 100_000) -> Data
     return texts.join(F.broadcast(found) if few else found, "key")
 
 
-#: A key with more than one row in so many is dealt out anew, over so many tasks; rows below which that isn't worth it.
-HEAVY, DEALT, LIGHT = 1000, 256, 1000
+#: Rows that make a key heavy, the heaviest keys that are dealt out anew, and the tasks over which each is dealt.
+LIGHT, HEAVIEST, DEALT = 1000, 1000, 256
 
 
 def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> list[int]:
-    """Hashes of the keys that hold over a ``HEAVY``-th of all rows; fewer than ``HEAVY``, however large the table."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where((F.col(n) * HEAVY > total) & (F.col(n) > LIGHT)).select(F.xxhash64(*keys)).collect()]
+    """Hashes of the ``HEAVIEST`` keys with more than ``LIGHT`` rows; any other has less than a ``HEAVIEST``-th of all rows, however large the table."""
+    return [r[0] for r in counts.where(F.col(n) > LIGHT).select(F.xxhash64(*keys).alias("h"), F.col(n).alias("n")).orderBy(F.desc("n"), "h").limit(HEAVIEST).collect()]
 
 
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner") -> DataFrame:
