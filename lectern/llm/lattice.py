@@ -3,13 +3,15 @@
 The pieces of an existing vocabulary, never retrained, span each token in many
 ways.  A token's probability is the sum over all its segmentations of the
 products of their pieces' probabilities, by a forward recursion in log space; a
-text's is the product over its tokens and an end.  The vocabulary orders its
-pieces by score; a Zipf law over that order is the prior of their probabilities,
-which rounds of expected counts over the training tokens adapt.
+text's is the product over its tokens and an end.  The scores of a unigram
+vocabulary are log probabilities and weigh the pieces as they are.  Those of a
+merge vocabulary are ranks: there a Zipf law over the ranks is the prior.  Either
+is adapted by rounds of expected counts over the training tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,10 @@ SPACE = "▁".encode()
 PRIOR, ROUNDS = 5000.0, 2
 #: Most frequent tokens whose scores every worker holds; the others are joined.
 HELD = 1 << 18
+#: Bytes of tokens in one lattice; a longer token is walked in windows of as many.
+BYTES = 1 << 16
+#: Arcs of a step below which plain numbers beat arrays.
+FEW = 48
 
 
 def load_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
@@ -37,8 +43,12 @@ def load_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
     plain = [i for i in plain if "▁" not in model.id_to_piece(i)[1:]]
     order = sorted(plain, key=lambda i: (-model.get_score(i), i))
     pieces = [model.id_to_piece(i).encode() for i in order] + [bytes([b]) for b in range(256)]
-    zipf = np.r_[1 / (np.arange(len(order)) + 2.7), np.full(256, 1 / (len(order) + 2.7))]
-    return pieces, zipf / zipf.sum()
+    scores = np.array([model.get_score(i) for i in order])
+    if (scores == scores.round()).all():  # ranks of merges
+        weight = np.r_[1 / (np.arange(len(order)) + 2.7), np.full(256, 1 / (len(order) + 2.7))]
+    else:
+        weight = np.exp(np.r_[scores, np.full(256, scores.min(initial=0.0) - math.log(256))])
+    return pieces, weight / weight.sum()
 
 
 class Lattice:
@@ -49,7 +59,7 @@ class Lattice:
         edge = np.r_[0, np.cumsum(sizes)]
         data = np.frombuffer(b"".join(pieces[:-256]), np.uint8)
         hashes = span_hash(prefix_hash(data), edge[:-1], edge[1:])
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), int(sizes.max(initial=1))
         self.by_size = {}
         for m in np.unique(sizes):
             at = np.flatnonzero(sizes == m)
@@ -88,6 +98,22 @@ class Lattice:
         _spread(out, begin, end, logp[piece], depth)
         return out
 
+    def walk(self, data: np.ndarray, logp: np.ndarray, window: int = BYTES) -> float:
+        """Log probability of one string however long: windows follow each other, and only the nodes that the next can reach are kept."""
+        ahead = [0.0] + [-math.inf] * self.longest  # of the nodes from ``lo`` on
+        for lo in range(0, len(data), window):
+            size = min(window, len(data) - lo)
+            part = data[lo : lo + size + self.longest]
+            begin, end, piece, _ = self.arcs(part, np.array([0, len(part)]))
+            mine = np.flatnonzero(begin < size)
+            mine = mine[np.argsort(begin[mine], kind="stable")]
+            value = ahead + [-math.inf] * size
+            for i, j, w in zip(begin[mine].tolist(), end[mine].tolist(), logp[piece[mine]].tolist(), strict=True):
+                a, b = value[i] + w, value[j]
+                value[j] = a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
+            ahead = value[size : size + self.longest + 1]
+        return ahead[0]
+
     def expected(self, data: np.ndarray, edge: np.ndarray, logp: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, by forward and backward recursion."""
         arcs = self.arcs(data, edge)
@@ -107,13 +133,33 @@ class Lattice:
 
 def _spread(value: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, step: np.ndarray) -> None:
     """value[target] = log sum exp(value[source] + weight), step by step; arcs are sorted by step and target."""
-    cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(step) else [0]
-    for lo, hi in zip(cuts, cuts[1:]):
+    cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(step) else np.zeros(1, int)
+    many = np.flatnonzero(np.diff(cuts) > FEW)
+    wide = int(many[-1]) + 1 if len(many) else 0
+    for lo, hi in zip(cuts[:wide], cuts[1 : wide + 1]):
         w, t = value[source[lo:hi]] + weight[lo:hi], target[lo:hi]
         heads = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         top = np.maximum.reduceat(w, heads)
         total = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.r_[heads, len(t)]))), heads)
         value[t[heads]] = top + np.log(total)
+    # What is left are few strings, long ones: a step has few arcs.
+    rest = int(cuts[wide])
+    if rest == len(step):
+        return
+    known, at, terms = value.tolist(), int(target[rest]), []
+    for a, t, w in zip(source[rest:].tolist(), target[rest:].tolist(), weight[rest:].tolist(), strict=True):
+        if t != at:
+            known[at], at, terms = _log_sum(terms), t, []
+        terms.append(known[a] + w)
+    known[at] = _log_sum(terms)
+    value[:] = known
+
+
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top if top == -math.inf else top + math.log(sum([math.exp(x - top) for x in terms]))
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -140,11 +186,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), tokens, pa.array(in_train), pa.array(np.bincount(which, minlength=len(distinct)))], ["h", "token", "c", "all_"])
 
 
-def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a batch with the word-begin mark before each."""
-    data, offsets = text_buffers(batch.column("token"))
-    size = np.diff(offsets) + len(SPACE)
-    edge = np.r_[0, np.cumsum(size)]
+def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with the word-begin mark before each."""
+    edge = np.r_[0, np.cumsum(np.diff(offsets) + len(SPACE))]
     out = np.empty(edge[-1], np.uint8)
     mark = np.zeros(edge[-1], bool)
     for i, b in enumerate(SPACE):
@@ -154,23 +198,37 @@ def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, edge
 
 
+def _lattices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range, bytes and edges of about ``BYTES`` bytes of tokens at a time."""
+    data, offsets = text_buffers(batch.column("token"))
+    for lo, hi in chunks(offsets, BYTES):
+        yield lo, hi, *_marked(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
 def _expected(batches: Iterator[pa.RecordBatch], pieces: list[bytes], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
     lattice, total = Lattice(pieces), np.zeros(len(pieces))
     for batch in batches:
-        for lo in range(0, len(batch), 5000):
-            part = batch.slice(lo, 5000)
-            total += lattice.expected(*_strings(part), logp, part.column("c").to_numpy().astype(float))
+        times = batch.column("c").to_numpy().astype(float)
+        for lo, hi, data, edge in _lattices(batch):
+            if hi - lo == 1 and len(data) > 2 * BYTES:  # its windows count as strings of their own
+                for at in range(0, len(data), BYTES):
+                    part = data[at : at + BYTES]
+                    total += lattice.expected(part, np.array([0, len(part)]), logp, times[lo:hi])
+            else:
+                total += lattice.expected(data, edge, logp, times[lo:hi])
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(total)], ["piece", "uses"])
 
 
 def _marginals(batches: Iterator[pa.RecordBatch], pieces: list[bytes], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(pieces)
     for batch in batches:
-        for lo in range(0, len(batch), 5000):
-            part = batch.slice(lo, 5000)
-            data, edge = _strings(part)
-            ends = lattice.forward(lattice.arcs(data, edge), edge, logp)[edge[1:] + np.arange(len(part))]
-            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("c"), part.column("all_"), pa.array(ends / np.log(10))], ["h", "c", "all_", "model"])
+        out = np.zeros(len(batch))
+        for lo, hi, data, edge in _lattices(batch):
+            if hi - lo == 1 and len(data) > 2 * BYTES:
+                out[lo] = lattice.walk(data, logp)
+            else:
+                out[lo:hi] = lattice.forward(lattice.arcs(data, edge), edge, logp)[edge[1:] + np.arange(hi - lo)]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("all_"), pa.array(out / np.log(10))], ["h", "c", "all_", "model"])
 
 
 def adapt(tokens: DataFrame, pieces: list[bytes], prior: np.ndarray, ends: int, rounds: int = ROUNDS, weight: float = PRIOR) -> tuple[np.ndarray, float]:

@@ -290,6 +290,75 @@ def test_lattice_sums_all_segmentations():
     assert total == pytest.approx(ways(b"abc"))
 
 
+def _chance(token, p):
+    """Probability of a token's bytes over all segmentations, by a plain sum over first pieces."""
+    ways = [1.0] + [0.0] * len(token)
+    for i in range(len(token)):
+        for j in range(i + 1, len(token) + 1):
+            ways[j] += ways[i] * p.get(token[i:j], 0.0)
+    return ways[-1]
+
+
+def test_lattice_of_long_tokens_and_expected_uses(monkeypatch):
+    """Windows and plain steps against one table; expected uses against all segmentations."""
+    from lectern.llm import lattice as L
+
+    pieces = [b"ab", b"a", b"bca", b"abc"] + [bytes([b]) for b in range(256)]
+    p = np.r_[0.2, 0.1, 0.2, 0.1, np.full(256, 0.4 / 256)]
+    logp, lattice, rng = np.log(p), L.Lattice(pieces), np.random.default_rng(1)
+    text = rng.choice(np.frombuffer(b"abcx", np.uint8), 3000)
+    edge = np.array([0, 3000])
+    got = lattice.forward(lattice.arcs(text, edge), edge, logp)[-1]
+    monkeypatch.setattr(L, "FEW", 0)
+    assert got == pytest.approx(lattice.forward(lattice.arcs(text, edge), edge, logp)[-1], rel=1e-12)
+    assert got == pytest.approx(lattice.walk(text, logp, window=7), rel=1e-12) == pytest.approx(lattice.walk(text, logp), rel=1e-12)
+
+    def splits(rest):
+        return [[]] if not rest else [[n, *more] for n, q in enumerate(pieces) if rest.startswith(q) for more in splits(rest[len(q) :])]
+
+    tokens, times, want = [b"abca", b"x", b"bcab"], [2.0, 1.0, 3.0], np.zeros(len(pieces))
+    for token, k in zip(tokens, times):
+        ways = splits(token)
+        chance = np.array([np.prod(p[w]) for w in ways])
+        for w, c in zip(ways, chance / chance.sum()):
+            np.add.at(want, w, k * c)
+    data, edge = np.frombuffer(b"".join(tokens), np.uint8), np.r_[0, np.cumsum([len(t) for t in tokens])]
+    assert lattice.expected(data, edge, logp, np.array(times)) == pytest.approx(want, abs=1e-9)
+
+
+def test_lattice_scores_as_brute_force(spark):
+    """Every column of the query's operator over whole texts, the vocabulary's prior alone: nulls, repeated rows, clashing columns, a long token."""
+    import zlib
+    from lectern.llm import lattice as L
+    from lectern.llm.queries import TOKENIZERS
+
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    rows = [(i, t) for i, t in enumerate([None, "", "The cat  sat\ton", "the CAT été", " \n ", "zz" * 30, _prose(70, 50), _prose(71, 60)] * 3)] + [(2, "The cat  sat\ton"), (None, "x y")]
+    rows.append((501, "ab1" * 60_000))
+    table = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, n long, h string")
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [None]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    count = Counter(t for i, text in rows if not held(i) for t in tokens(text))
+    n, v = sum(count.values()), len(count)
+    pieces, prior = L.load_pieces(model)
+    p = {}
+    for piece, q in zip(pieces, prior * (1 - 1e-3)):
+        p[piece] = p.get(piece, 0.0) + q
+    long = [r for r in L.score(table, model, rounds=0).collect() if r["doc_id"] == 501]
+    got = sorted((r for r in L.score(table, model, rounds=0).collect() if r["doc_id"] != 501), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"]))
+    assert len(got) == len(rows) - 1 and any(held(i) for i, _ in rows)
+    for r, (i, text) in zip(got, sorted(rows[:-1], key=lambda r: (r[0] is None, r[0], len(tokens(r[1]))))):
+        ts = tokens(text)
+        base = sum(np.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
+        score = sum(np.log10(1e-3 if t is None else _chance("▁".encode() + t.encode(), p)) for t in ts)
+        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, held(i), len(ts), sum(count[t] > 0 for t in ts), n)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score, rel=1e-9)
+    assert long[0]["n_tokens"] == 2 and -1e6 < long[0]["score"] < -1e5
+    assert L.score(table.limit(0), model).count() == 0
+    adapted = {r["doc_id"]: r["score"] for r in L.score(table, model).collect()}
+    assert sum(v for k, v in adapted.items() if not held(k)) > sum(r["score"] for r in [*got, *long] if not held(r["doc_id"]))
+
+
 def test_language_network_gradients_and_accuracy(spark):
     from lectern.llm.langid import Network, identify, train
 
