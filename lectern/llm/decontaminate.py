@@ -15,8 +15,8 @@ from . import staging
 
 WINDOW = 13
 SHINGLE = 3
-#: Rows of benchmark shingles that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a benchmark table (shingles, windows, windows' items) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -48,17 +48,14 @@ def shingle_hashes(array: str, size: int) -> str:
     return f"transform(slice({array}, 1, greatest(size({array}) - {size - 1}, 0)), (x, i) -> xxhash64(x{rest}))"
 
 
-def windows(items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per distinct window: win (its words joined), n, item ids and its shingles' hashes with offsets.
+def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """One row per window of an item: win (a hash of its words), w (its words) and item_id.
 
     An item of fewer words than ``size``, but not none, is a window of its own.
     """
     split = staging.only(items, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w"))
     starts = split.where("size(w) > 0").select("item_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")).alias("at"))
-    cut = starts.select("item_id", F.expr(f"slice(w, at + 1, {size})").alias("w"))
-    one = cut.groupBy("w").agg(F.collect_set("item_id").alias("item_ids"))
-    hashes = F.expr("case " + " ".join(f"when size(w) = {n} then {shingle_hashes('w', n)}" for n in range(1, shingle)) + f" else {shingle_hashes('w', shingle)} end")
-    return one.select(F.xxhash64("w").alias("win"), F.size("w").alias("n"), "w", "item_ids", F.least(F.size("w"), F.lit(shingle)).alias("k"), hashes.alias("hashes"))
+    return starts.select("item_id", F.expr(f"slice(w, at + 1, {size})").alias("w")).select(F.xxhash64("w").alias("win"), "w", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: float = 0.05, with_key: bool = False) -> DataFrame:
@@ -73,34 +70,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     ignored.  An empty benchmark leaves every document clean.
     """
     texts = staging.only(docs, "doc_id", "text").select(doc_key().alias("key"), "doc_id", "text")
-    wins = staging.stage(windows(items, size), "windows")
+    of_items = staging.stage(windows(items, size), "windows")
+    hashes = F.expr("case " + " ".join(f"when size(w) = {n} then {shingle_hashes('w', n)}" for n in range(1, SHINGLE)) + f" else {shingle_hashes('w', SHINGLE)} end")
+    wins = of_items.select("win", "w").dropDuplicates(["win"]).select("win", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), hashes.alias("hashes"))
+    wins = staging.stage(wins, "distinct-windows")
     grams = wins.select("win", "n", "k", F.posexplode("hashes").alias("offset", "gram"))
     lengths = [r["k"] for r in grams.select("k").distinct().collect()]
-    n_grams = grams.select("gram").distinct().count()
-    small = F.broadcast if n_grams <= BROADCAST_ROWS else lambda df: df
+    some = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = lambda df, few: F.broadcast(df) if few else df
+    few_wins = some(wins)
 
     # All positions where a benchmark shingle stands; the rest of the corpus goes no further.
     split = texts.select("key", words(F.col("text")).alias("w"))
-    seen = staging.stage(positions(split, lengths or [SHINGLE]).join(small(grams.select("gram").distinct()), "gram", "left_semi"), "postings")
+    seen = staging.stage(positions(split, lengths or [SHINGLE]).join(small(grams.select("gram").distinct(), some(grams)), "gram", "left_semi"), "postings")
 
     # Rarity order; the prefix of a window is its first shingle in that order.
     rarity = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     ordered = grams.join(rarity, "gram", "left").withColumn("nth", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("freq", F.lit(0)), "gram", "offset")))
     prefix = ordered.where("nth = 1 and freq is not null").select("gram", "win", "n", "offset")
     fits = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("n") <= F.col("n_words"))
-    candidates = seen.join(small(prefix), "gram").where(fits).select("key", "win", (F.col("pos") - F.col("offset")).alias("at")).distinct()
+    candidates = seen.join(small(prefix, few_wins), "gram").where(fits).select("key", "win", (F.col("pos") - F.col("offset")).alias("at")).distinct()
 
     # Exact check of the words, document by document.
     per_doc = staging.stage(candidates.groupBy("key").agg(F.collect_list(F.struct("win", "at")).alias("found")), "candidates")
     both = staging.join_found(texts.select("key", "text"), per_doc)
     slices = both.select("key", "found", words(F.col("text")).alias("w")).select("key", F.expr(f"inline(transform(found, f -> struct(f.win as win, f.at as at, slice(w, f.at + 1, {size}) as here)))"))
-    known = wins.select("win", "n", F.col("w").alias("wanted"), "item_ids")
-    hits = slices.join(small(known), "win").where(F.expr("slice(here, 1, n) = wanted")).select("key", "at", (F.col("at") + F.col("n")).alias("upto"), "item_ids")
+    known = wins.select("win", "n", F.col("w").alias("wanted"))
+    hits = slices.join(small(known, few_wins), "win").where(F.expr("slice(here, 1, n) = wanted")).select("key", "win", "at", (F.col("at") + F.col("n")).alias("upto"))
     hits = staging.stage(hits, "hits")
 
     before = F.max("upto").over(Window.partitionBy("key").orderBy("at", "upto").rowsBetween(Window.unboundedPreceding, -1))
     covered = hits.withColumn("new", F.greatest(F.lit(0), F.col("upto") - F.greatest("at", F.coalesce(before, F.lit(0))))).groupBy("key").agg(F.sum("new").alias("n_hit"))
-    named = hits.select("key", F.explode("item_ids").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("item_list"))
+    owners = of_items.select("win", F.col("item_id").alias("item"))
+    named = hits.select("key", "win").distinct().join(small(owners, some(owners)), "win").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("item_list"))
     out = texts.select("key", "doc_id", word_count().alias("n_words")).join(covered.join(named, "key"), "key", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("item_list", F.array().cast("array<string>"))
     return out.select(

@@ -27,26 +27,37 @@ def _prose(seed, n, vocabulary=400):
     return " ".join(rng.choice(words, n))
 
 
-def test_decontaminate_as_brute_force(spark):
-    from lectern.llm.decontaminate import decontaminate
-
+def _hits(text, items):
+    """Words, hit words and occurring items of a text by the contract, by trying every window everywhere."""
+    w, hit, ids = _words(text), set(), set()
+    for name, t in items:
+        iw = _words(t)
+        n = min(13, len(iw))
+        wins = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
+        for j in range(len(w) - n + 1):
+            if tuple(w[j : j + n]) in wins:
+                hit |= set(range(j, j + n))
+                ids.add(name)
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_decontaminate_as_brute_force(spark, monkeypatch, few):
+    """By broadcast and by shuffle: nulls, empty and very long texts, repeated rows and items, an item that many share."""
+    from lectern.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "BROADCAST_ROWS", few)
     item, short = _prose(1, 20), "two words"
-    docs = [None, "", _prose(2, 300) + " " + item + " " + _prose(3, 40), f"here Two Words, stand {_prose(4, 10)}", _prose(5, 50), _prose(5, 50)]
-    items = spark.createDataFrame([("a", item), ("b", short), ("c", None), ("d", "?!")], "item_id string, text string")
-    for r, text in zip(decontaminate(_docs(spark, docs), items).orderBy("doc_id").collect(), docs, strict=True):
-        w, hit, ids = _words(text), set(), set()
-        for name, t in (("a", item), ("b", short)):
-            iw = _words(t)
-            n = min(13, len(iw))
-            for i in range(len(iw) - n + 1):
-                for j in range(len(w) - n + 1):
-                    if w[j : j + n] == iw[i : i + n]:
-                        hit |= set(range(j, j + n))
-                        ids.add(name)
-        want = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want
-    assert decontaminate(_docs(spark, docs), items.limit(0)).where("contaminated").count() == 0
-    assert decontaminate(_docs(spark, docs).limit(0), items).count() == 0
+    docs = [None, "", _prose(2, 300) + " " + item + " " + _prose(3, 40), f"here Two Words, stand {_prose(4, 10)}", _prose(5, 50), _prose(5, 50), f"{_prose(6, 40_000)} {item}"]
+    items = [("a", item), ("b", short), ("c", None), ("d", "?!"), ("a", item), *((f"same{i}", item + " tail") for i in range(40))]
+    table = spark.createDataFrame(items, "item_id string, text string").withColumns({"win": F.lit(1), "gram": F.lit("x")})
+    both = _docs(spark, docs).unionByName(_docs(spark, docs).where("doc_id = 2")).withColumns({"win": F.lit(1), "item_id": F.lit("x"), "at": F.lit(2)})
+    got = D.decontaminate(both, table).collect()
+    assert len(got) == len(docs) + 1
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == _hits(docs[r["doc_id"]], items)
+    assert D.decontaminate(both, table.limit(0)).where("contaminated").count() == 0
+    assert D.decontaminate(both.limit(0), table).count() == 0
 
 
 def test_suffix_dedup_as_brute_force(spark):
@@ -229,6 +240,29 @@ def test_license_scan_as_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({v for _, v in found})))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     assert scan(_docs(spark, texts[3:4])).first()["labels"] == "gpl,mit"
+    assert scan(_docs(spark, texts).limit(0)).count() == 0
+
+
+def test_license_texts_in_order(spark):
+    """Whole texts, edited, cut, twice, in a very long text; the same words out of order are no license."""
+    from lectern.llm import license_texts as T
+    from lectern.llm.license_scan import scan
+
+    rng = np.random.default_rng(6)
+    mit, long = T.MIT.split(), _prose(80, 30_000)
+    edited = " ".join(w if i % 25 else "changed" for i, w in enumerate(mit)) + " and more"
+    inserted = " ".join(mit[:60] + ["some", "added"] + mit[60:])
+    shuffled = " ".join(rng.permutation(mit))
+    blocks = " ".join(w for i in rng.permutation(len(mit) // 4) for w in mit[4 * i : 4 * i + 4])
+    texts = [T.MIT, edited, inserted, shuffled, blocks, " ".join(mit[: len(mit) // 3]), f"{long} {T.ISC} {long}", f"{T.ZLIB} {T.ZLIB}", T.GPL, T.LGPL]
+    got = {r["doc_id"]: r for r in scan(_docs(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == ["mit", "mit", "mit", "", "", "", "isc", "zlib", "gpl", "gpl,lgpl"]
+    assert got[0]["score"] == 1 and 0.9 < got[1]["score"] < 1 and got[2]["score"] == 1 and got[3]["score"] == 0
+    import json
+
+    spans = [(x["lo"], x["hi"]) for x in json.loads(got[7]["spans"])]
+    n = len(_words(T.ZLIB))
+    assert spans == [(0, n), (n, 2 * n)]
 
 
 def test_warc_round_trip(spark, tmp_path):
