@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions.text import shard_key, with_stem, words
 
-#: Characters of a two-letter shard beyond which it is split by three letters.
+# Fixed value: characters of a two-letter shard beyond which it is split by three letters.
 DEEP = 96 * 1024
+#: Units whose postings of a stem stand in one string; a frequent stem has many.
+BLOCK = 4096
 
 
 def tokens(verses: DataFrame) -> DataFrame:
@@ -32,21 +34,22 @@ def postings(verses: DataFrame) -> DataFrame:
     return stemmed.groupBy("stem", "unit").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(verse, cast(n as int))")))).alias("verses"))
 
 
-def encoded(post: DataFrame) -> DataFrame:
-    """One string per stem: units as base-36 steps from the one before, each with its verses in base 36."""
+def encoded(post: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A string for each stem and block of units: units as base-36 steps from the one before (the first from the block's start), each with its verses in base 36."""
     b36 = lambda c: F.lower(F.conv(c.cast("string"), 10, 36))
-    step = F.col("unit") - F.lag("unit", 1, 0).over(Window.partitionBy("stem").orderBy("unit"))
+    own = post.withColumn("block", F.floor(F.col("unit") / block))
+    step = F.col("unit") - F.coalesce(F.lag("unit").over(Window.partitionBy("stem", "block").orderBy("unit")), F.col("block") * block)
     piece = F.concat(b36(step), F.lit(":"), F.array_join(F.transform("verses", b36), "."))
-    listed = post.withColumn("piece", piece).groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("unit", "piece"))).alias("pieces"))
-    return listed.select("stem", F.array_join(F.col("pieces.piece"), ",").alias("encoded"))
+    listed = own.withColumn("piece", piece).groupBy("stem", "block").agg(F.sort_array(F.collect_list(F.struct("unit", "piece"))).alias("pieces"))
+    return listed.select("stem", "block", F.array_join(F.col("pieces.piece"), ",").alias("encoded"))
 
 
-def decoded(strings: DataFrame) -> DataFrame:
+def decoded(strings: DataFrame, block: int = BLOCK) -> DataFrame:
     """The postings of encoded strings."""
-    parts = strings.select("stem", F.posexplode(F.split("encoded", ",")).alias("at", "piece"))
+    parts = strings.select("stem", "block", F.posexplode(F.split("encoded", ",")).alias("at", "piece"))
     back = lambda c: F.conv(c, 36, 10).cast("int")
-    unit = F.sum(back(F.substring_index("piece", ":", 1))).over(Window.partitionBy("stem").orderBy("at"))
-    return parts.select("stem", unit.alias("unit"), F.transform(F.split(F.substring_index("piece", ":", -1), r"\."), back).alias("verses"))
+    unit = F.col("block") * block + F.sum(back(F.substring_index("piece", ":", 1))).over(Window.partitionBy("stem", "block").orderBy("at"))
+    return parts.select("stem", unit.cast("int").alias("unit"), F.transform(F.split(F.substring_index("piece", ":", -1), r"\."), back).alias("verses"))
 
 
 def deep_prefixes(strings: DataFrame, limit: int = DEEP) -> DataFrame:
@@ -54,20 +57,46 @@ def deep_prefixes(strings: DataFrame, limit: int = DEEP) -> DataFrame:
     return strings.groupBy(F.rpad(F.substring("stem", 1, 2), 2, "_").alias("prefix")).agg(F.sum(F.length("encoded") + F.length("stem")).alias("size")).where(F.col("size") > limit)
 
 
-def sharded(strings: DataFrame, limit: int = DEEP) -> DataFrame:
-    """Encoded postings with their shard; deep prefixes, few and bounded by the letters, split by three."""
-    deep = deep_prefixes(strings, limit).select("prefix", F.lit(3).alias("depth"))
-    own = strings.withColumn("prefix", F.rpad(F.substring("stem", 1, 2), 2, "_")).join(F.broadcast(deep), "prefix", "left")
-    return own.select("stem", "encoded", shard_key(F.col("stem"), F.coalesce("depth", F.lit(2))).alias("shard"))
+def sharded(strings: DataFrame, deep: DataFrame) -> DataFrame:
+    """Encoded postings with their shard; ``deep`` prefixes, few and bounded by the letters, are split by three."""
+    own = strings.withColumn("prefix", F.rpad(F.substring("stem", 1, 2), 2, "_")).join(F.broadcast(deep.select("prefix", F.lit(3).alias("depth"))), "prefix", "left")
+    return own.select("stem", "block", "encoded", shard_key(F.col("stem"), F.coalesce("depth", F.lit(2))).alias("shard"))
 
 
-def write_index(verses: DataFrame, path: str) -> None:
-    """Write postings by shard and vocabulary by letter, replacing what is there."""
-    sharded(encoded(postings(verses))).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    vocabulary(verses).repartition("letter").sortWithinPartitions(F.desc("cnt"), "word").write.mode("overwrite").partitionBy("letter").parquet(f"{path}/vocabulary")
+def write_index(verses: DataFrame, path: str, limit: int = DEEP) -> None:
+    """Write the index, replacing what is there: postings by shard, deep prefixes, units, and words with their stems by letter.
+
+    Strings are written once and read again to be dealt to shards.  A shard's
+    blocks are spread over tasks, so that a frequent stem is no task's alone.
+    """
+    spark = verses.sparkSession
+    counted = tokens(verses).groupBy("word", "unit", "verse").agg(F.count(F.lit(1)).alias("n"))
+    counted.write.mode("overwrite").parquet(f"{path}/counted")
+    counted = spark.read.parquet(f"{path}/counted")
+    words_ = counted.groupBy("word").agg(F.sum("n").alias("cnt")).withColumn("letter", F.substring("word", 1, 1))
+    with_stem(words_).repartition("letter").sortWithinPartitions(F.desc("cnt"), "word").write.mode("overwrite").partitionBy("letter").parquet(f"{path}/vocabulary")
+    stemmed = counted.join(spark.read.parquet(f"{path}/vocabulary").select("word", "stem"), "word")
+    post = stemmed.groupBy("stem", "unit").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(verse, cast(n as int))")))).alias("verses"))
+    encoded(post).write.mode("overwrite").parquet(f"{path}/strings")
+    strings = spark.read.parquet(f"{path}/strings")
+    deep_prefixes(strings, limit).select("prefix").write.mode("overwrite").parquet(f"{path}/deep")
+    sharded(strings, spark.read.parquet(f"{path}/deep")).repartition("shard", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    verses.groupBy("volume_id", "book", "unit").agg(F.count(F.lit(1)).cast("long").alias("verse_count")).write.mode("overwrite").parquet(f"{path}/units")
+
+
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    """Units of the index: volume_id, book, unit, verse_count."""
+    return spark.read.parquet(f"{path}/units")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Words of the index: word, cnt, stem, letter."""
+    return spark.read.parquet(f"{path}/vocabulary")
 
 
 def read_postings(spark: SparkSession, path: str, found: list[str]) -> DataFrame:
-    """Postings of some stems; only their shards are read, a shard that is absent has no rows."""
-    keys = sorted({(s + "__")[:d].ljust(d, "_") for s in found for d in (2, 3)})
+    """Postings of some stems (stem, unit, verses); only their shards are read, a shard that is absent has no rows."""
+    deep = {r["prefix"] for r in spark.read.parquet(f"{path}/deep").collect()}
+    pad = lambda s, n: s[:n].ljust(n, "_")
+    keys = sorted({pad(s, 3 if pad(s, 2) in deep else 2) for s in found})
     return decoded(spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(keys) & F.col("stem").isin(found)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import text as T
 from lectern.operators import index, search as S
 from lectern.sources.corpus import document_verses, units
+from lectern.sources.stored import once
 
 from .registry import query, table
 
@@ -38,12 +41,13 @@ def word_freq(spark, sf_dir):
     return index.vocabulary(_verses(spark, sf_dir)).select("word", "cnt")
 
 
-@query(f"with {TOKENS}, c as (select word, count(*) cnt, substr(word, 1, 1) letter from tok group by word) select letter, word, cnt, row_number() over (partition by letter order by cnt desc, word) nth from c qualify nth <= 20")
+@query(f"with {TOKENS}, c as (select word, count(*) cnt, substr(word, 1, 1) letter from tok group by word) select letter, word, cnt, row_number() over (partition by letter order by cnt desc, word) nth from c")
 def vocab_by_letter(spark, sf_dir):
+    """The whole vocabulary of each letter, most frequent first."""
     from pyspark.sql import Window
 
-    vocab = index.vocabulary(_verses(spark, sf_dir))
-    return vocab.withColumn("nth", F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("cnt"), "word"))).where("nth <= 20").select("letter", "word", "cnt", "nth")
+    vocab = index.read_vocabulary(spark, _index(spark, sf_dir))
+    return vocab.withColumn("nth", F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("cnt"), "word"))).select("letter", "word", "cnt", "nth")
 
 
 @query(f"with {LINES}, u as (select volume_id, book, unit, count(*) verse_count from verses group by all) select *, row_number() over (order by volume_id, book, unit) - 1 unit_no from u")
@@ -86,11 +90,18 @@ def shard_sizes(spark, sf_dir):
     return sizes.orderBy(F.desc("postings"), "shard").limit(20)
 
 
-@query(f"with {POSTS}, p as (select rpad(substr(stem, 1, 2), 2, '_') prefix, count(*) n from post group by 1) select prefix, n from p where n > 1000")
+#: Digits of a number in base 36.
+_DIGITS = "case when {0} < 36 then 1 when {0} < 1296 then 2 when {0} < 46656 then 3 when {0} < 1679616 then 4 else 5 end"
+_LIMIT = 2048
+
+
+@query(f"""with {POSTS}, b as (select *, unit // {index.BLOCK} block from post), d as (select stem, block, vs, unit - coalesce(lag(unit) over (partition by stem, block order by unit), block * {index.BLOCK}) step from b),
+e as (select stem, block, sum({_DIGITS.format('step')} + 1 + list_sum(list_transform(vs, lambda v: {_DIGITS.format('v')})) + len(vs) - 1) + count(*) - 1 n from d group by all)
+select rpad(substr(stem, 1, 2), 2, '_') prefix, cast(sum(n + length(stem)) as bigint) size from e group by 1 having size > {_LIMIT}""")
 def deep_prefixes(spark, sf_dir):
-    """Prefixes with more than 1000 postings: those whose shards are split."""
-    post = index.postings(_verses(spark, sf_dir)).groupBy(T.shard_key(F.col("stem"), F.lit(2)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    return post.where("n > 1000")
+    """Prefixes whose encoded postings are long, at a limit that the small tables reach."""
+    strings = index.encoded(index.postings(_verses(spark, sf_dir)))
+    return index.deep_prefixes(strings, _LIMIT).select("prefix", F.col("size").cast("long").alias("size"))
 
 
 def _search_sql(query_: str, extra: str = "", order: str = "score desc, unit", size: int | None = 25) -> str:
@@ -98,40 +109,45 @@ def _search_sql(query_: str, extra: str = "", order: str = "score desc, unit", s
     return f"""with {TOKENS}, qw(word) as (values {terms}), {_stem_sql('select distinct word from tok union select word from qw')},
 q as (select distinct stem from qw join stemmed using (word)),
 h as (select volume_id, unit, verse, count(*) n, list(distinct stem) s from tok join stemmed using (word) join q using (stem) group by all),
-u as (select volume_id, unit, sum(n) hits, len(list_distinct(flatten(list(s)))) k, list(verse order by verse) vs, count(*) filter (len(s) = (select count(*) from q)) shared from h group by all),
+u as (select volume_id, unit, sum(n) hits, len(list_distinct(flatten(list(s)))) k, list(verse order by verse) vs, count(*) filter (len(s) = (select count(*) from q)) shared, min(verse) filter (len(s) = (select count(*) from q)) first_shared from h group by all),
 z as (select volume_id, book, unit, count(*) verse_count from verses group by all)
 select volume_id, book, unit, cast(hits as bigint) hits, verse_count, cast(shared as int) shared, array_to_string(vs, ' ') verses,
-round(hits / sqrt(verse_count) * (case when (select count(*) from q) > 1 then 1 + shared else 1 end), 6) score
+coalesce(first_shared, vs[1]) first_verse, round(hits / sqrt(verse_count) * (case when (select count(*) from q) > 1 then 1 + shared else 1 end), 6) score
 from u join z using (volume_id, unit) where k = (select count(*) from q) {extra} order by {order} {f'limit {size}' if size else ''}"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index of a folder's documents, written at the first search in it."""
+    return once(spark, f"index of {sf_dir}", lambda path: index.write_index(_verses(spark, sf_dir), path))
+
+
 def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("verses", F.array_join(F.transform("verses", lambda v: v.cast("string")), " "))
 
 
 @query(_search_sql(ONE, size=None))
 def search_one(spark, sf_dir):
-    return _flat(S.search(_verses(spark, sf_dir), ONE))
+    return _flat(S.search(spark, _index(spark, sf_dir), ONE))
 
 
 @query(_search_sql(TWO))
 def search_and(spark, sf_dir):
-    return _flat(S.ranked(S.search(_verses(spark, sf_dir), TWO)))
+    return _flat(S.ranked(S.search(spark, _index(spark, sf_dir), TWO)))
 
 
 @query(_search_sql(TWO, "and volume_id in ('en', 'fr')"))
 def search_volume_filter(spark, sf_dir):
-    return _flat(S.ranked(S.search(_verses(spark, sf_dir), TWO, VOLUMES)))
+    return _flat(S.ranked(S.search(spark, _index(spark, sf_dir), TWO, VOLUMES)))
 
 
 @query(_search_sql(TWO, order="unit"))
 def search_scripture_order(spark, sf_dir):
-    return _flat(S.search(_verses(spark, sf_dir), TWO).orderBy("unit").limit(25))
+    return _flat(S.search(spark, _index(spark, sf_dir), TWO).orderBy("unit").limit(25))
 
 
 @query(f"with {STEMS} select 'zzyzx' word, 'zzyzx' stem where not exists (select 1 from tok where word = 'zzyzx')")
 def search_missing(spark, sf_dir):
-    return S.missing(_verses(spark, sf_dir), S.query_terms(spark, ABSENT))
+    return S.missing(spark, _index(spark, sf_dir), ABSENT)
 
 
 @query(f"""with {STEMS}, w as (select unit, verse, regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '[a-z]+') ws from verses),
@@ -139,31 +155,35 @@ p as (select unit, verse, nth, stem from (select unit, verse, unnest(ws) word, u
 select a.unit, count(distinct a.verse) hits from p a join p b on a.unit = b.unit and a.verse = b.verse and b.nth = a.nth + 1 where a.stem = 'of' and b.stem = 'the' group by a.unit""")
 def search_phrase(spark, sf_dir):
     """Units with the phrase."""
-    return S.search(_verses(spark, sf_dir), PHRASE, phrase=True).select("unit", "hits")
+    return S.search(spark, _index(spark, sf_dir), PHRASE, verses=_verses(spark, sf_dir)).select("unit", "hits")
 
 
 @query(f"with r as ({_search_sql(TWO, size=None)}) select volume_id, count(*) n_units, cast(sum(len(string_split(verses, ' '))) as bigint) found from r group by volume_id")
 def search_totals(spark, sf_dir):
-    return S.search(_verses(spark, sf_dir), TWO).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.size("verses")).alias("found"))
+    return S.search(spark, _index(spark, sf_dir), TWO).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.size("verses")).alias("found"))
 
 
 @query()
 def snippets(spark, sf_dir):
-    """The best page of results with the first verse's snippet."""
-    verses = _verses(spark, sf_dir)
-    best = S.ranked(S.search(verses, TWO)).select("unit", "score", F.element_at("verses", 1).alias("verse"))
-    texts = verses.select("unit", "verse", "text").join(F.broadcast(best), ["unit", "verse"])
-    return S.snippets(texts, index.stems(texts.withColumn("volume_id", F.lit(""))), S.query_terms(spark, TWO)).withColumn("runs", F.to_json("runs"))
+    """The best page of results with the snippet of the first verse that holds all terms."""
+    path = _index(spark, sf_dir)
+    best = S.ranked(S.search(spark, path, TWO)).select("unit", "score", F.col("first_verse").alias("verse"))
+    texts = _verses(spark, sf_dir).select("unit", "verse", "text").join(F.broadcast(best), ["unit", "verse"])  # one page of rows
+    return S.snippets(texts, path, TWO).withColumn("runs", F.to_json("runs"))
 
 
 @query(f"with {TOKENS} select word, count(*) cnt from tok where word like 'th_%' group by word order by cnt desc, word limit 5")
 def completions(spark, sf_dir):
-    return S.completions(index.vocabulary(_verses(spark, sf_dir)), "th")
+    return S.completions(index.read_vocabulary(spark, _index(spark, sf_dir)), "th")
 
 
-@query()
+@query(f"""with {TOKENS}, v as (select word, count(*) cnt from tok where word like 'h%' and word <> 'hte' group by word), d as (select word, cnt, damerau_levenshtein(word, 'hte') distance from v where abs(length(word) - 3) <= 1)
+select 'hte' asked, word, cnt, cast(distance as int) distance from d where distance <= 1 and not exists (select 1 from tok where word = 'hte') order by distance, cnt desc, word limit 3""")
 def did_you_mean(spark, sf_dir):
-    return S.nearest(index.vocabulary(_verses(spark, sf_dir)), "hte")
+    """Words near the terms of a query that the corpus lacks; within one edit the two distances are the same."""
+    near = [f.select(F.lit(word).alias("asked"), "word", "cnt", "distance") for word, f in S.did_you_mean(spark, _index(spark, sf_dir), "the hte")]
+    none = spark.createDataFrame([], "asked string, word string, cnt long, distance int")
+    return reduce(lambda a, b: a.unionByName(b), near, none)
 
 
 @query(f"with {LINES} select unit, cast(sum((length(f) - length(replace(f, 'the', ''))) // 3) as bigint) n from (select unit, replace(lower(text), '’', '''') f from verses) q group by unit having n > 0")
