@@ -193,26 +193,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(8 * (ea + eb), 8 << 20):
             a, b = slice(ea[lo], ea[hi]), slice(eb[lo], eb[hi])
             out[lo:hi] = weighted_jaccard(ha[a], wa[a], ea[lo : hi + 1] - ea[lo], hb[b], wb[b], eb[lo : hi + 1] - eb[lo])
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("rank"), pa.array(out)], ["a", "b", "rank", "similarity"])
 
 
 def _linked(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) with a similarity of ``threshold`` or more."""
+    """Those of ``pairs`` (a, b, rank) with a similarity of ``threshold`` or more."""
     for side in ("a", "b"):
         of = sets.select(F.col("node").alias(side), F.col("total").alias(f"t{side}"), F.col("hashes").alias(f"h{side}"), F.col("weights").alias(f"w{side}"))
-        heavy = staging.heavy_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), [side], "n") if side == "b" else []
+        heavy = staging.heavy_rows(pairs, [side]) if side == "b" else []
         pairs = staging.join_skewed(pairs, of, [side], heavy)
     can = pairs.where(F.least("ta", "tb") >= (threshold - _SLACK) * F.greatest("ta", "tb"))
-    checked = can.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compare, "a string, b string, similarity double")
-    return staging.stage(checked.where(F.col("similarity") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "linked")
+    checked = can.select("a", "b", "rank", "ha", "wa", "hb", "wb").mapInArrow(_compare, "a string, b string, rank double, similarity double")
+    return staging.stage(checked.where(F.col("similarity") >= threshold), "linked")
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, edge = text_buffers(batch.column("hashes"))
         weight = text_buffers(batch.column("weights"))[0].view(np.float32)
-        node = batch.column("node").take(pa.array(np.repeat(np.arange(len(batch)), np.diff(edge) // 8)))
-        yield pa.RecordBatch.from_arrays([node, pa.array(hashes.view(np.int64)), pa.array(weight.astype(float))], ["node", "shingle", "weight"])
+        row = pa.array(np.repeat(np.arange(len(batch)), np.diff(edge) // 8))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("node", "root", "total")), pa.array(hashes.view(np.int64)), pa.array(weight.astype(float))], ["node", "root", "total", "shingle", "weight"])
 
 
 def _apart(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -222,14 +222,12 @@ def _apart(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     the weight left cannot reach the threshold.  Similar texts share a shingle of
     both prefixes, and from the first such on enough weight is left in each.
     """
-    some = sets.join(members.select("node"), "node").select("node", "hashes", "weights")
-    each = staging.stage(some.mapInArrow(_weights, "node string, shingle bigint, weight double"), "weights")
+    some = sets.join(members, "node").select("node", "root", "total", "hashes", "weights")
+    each = staging.stage(some.mapInArrow(_weights, "node string, root string, total double, shingle bigint, weight double"), "weights")
     counted = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
-    of = Window.partitionBy("node")
-    left = F.sum("weight").over(of.orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    prefix = counted.select("node", "shingle", "df", left.alias("rest"), F.sum("weight").over(of).alias("total"))
+    order = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slack = 1 - _SLACK
-    prefix = prefix.where((F.col("df") > 1) & (F.col("rest") >= threshold * slack * F.col("total"))).join(members, "node")
+    prefix = counted.withColumn("rest", F.sum("weight").over(order)).where((F.col("df") > 1) & (F.col("rest") >= threshold * slack * F.col("total")))
     prefix = staging.stage(prefix.select("shingle", "root", "node", "rest", "total"), "prefixes")
     staging.drop(each)
     # Roots meet before their members, so that members of one root never do.
@@ -237,7 +235,7 @@ def _apart(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     can = lambda a, b: F.least(f"rest{a}", f"rest{b}") >= share * (F.col(f"total{a}") + F.col(f"total{b}"))
     side = lambda df, s: df.select("shingle", *[F.col(c).alias(c + s) for c in df.columns if c != "shingle"])
     groups = staging.stage(prefix.groupBy("shingle", "root").agg(F.max("rest").alias("rest"), F.min("total").alias("total"), F.count(F.lit(1)).alias("n")), "prefix-roots")
-    heavy = staging.heavy_keys(groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), ["shingle"], "n")
+    heavy = staging.heavy_rows(groups, ["shingle"])
     meet = staging.join_skewed(side(groups, "_a"), side(groups, "_b"), ["shingle"], heavy).where((F.col("root_a") < F.col("root_b")) & can("_a", "_b"))
     meet = staging.stage(meet.select("shingle", "root_a", "root_b"), "prefix-meetings")
     heavy = staging.heavy_keys(groups, ["shingle", "root"], "n")
@@ -269,36 +267,35 @@ def links(texts: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, D
     heavy = staging.heavy_keys(crowded, ["bucket"], "n")
     buckets = staging.stage(staging.join_skewed(every, crowded.select("bucket", "pivot"), ["bucket"], heavy).select("bucket", "node", "pivot"), "buckets")
 
-    pairs = staging.stage(buckets.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
+    pairs = staging.stage(buckets.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("pivot.alone").alias("rank")).distinct(), "pairs")
     linked = _linked(sets, pairs, threshold)
-    roots = components(linked)
 
-    named = staging.stage(_rooted(buckets.select("bucket", "node"), roots, "node", "root"), "named")
+    # Here the most central of the texts that a text is linked to names its class; components follow when all links are known.
+    joined = linked.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("rank", "b")).alias("first")).select("node", F.col("first.b").alias("root"))
+    named = staging.stage(_rooted(buckets.select("bucket", "node"), joined, "node", "root"), "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     members = staging.stage(staging.join_skewed(named, mixed, ["bucket"], heavy).select("node", "root").distinct(), "mixed")
     n_members = members.count()
     if not n_members:
-        return linked, roots
+        return linked, components(linked)
     compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = staging.stage(_apart(sets, members, threshold).join(compared, ["a", "b"], "left_anti"), "apart")
     # Where the pairs are many, the likeliest come first: a link joins two classes and spares the rest of their pairs.
     n_apart, most = apart.count(), OFFERED
-    while n_apart:
-        pairs = apart
-        if n_apart > OFFERED * n_members:
-            rooted = _rooted(_rooted(apart, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
-            nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
-            ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
-            pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b"), "pairs")
-        more = _linked(sets, pairs.select("a", "b"), threshold)
-        if more.take(1):
-            linked = staging.stage(linked.unionByName(more), "linked")
-            roots = components(linked)
-        if pairs is apart or not pairs.take(1):
-            break
-        apart, most = staging.stage(apart.join(pairs, ["a", "b"], "left_anti"), "apart"), 16 * most
+    while n_apart > OFFERED * n_members:
+        roots = components(linked)
+        rooted = _rooted(_rooted(apart, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+        nth = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("bound"), "a", "b"))
+        ranked = rooted.withColumns({"na": nth("a", "rb"), "nb": nth("b", "ra")})
+        pairs = staging.stage(ranked.where(F.least("na", "nb") <= most).select("a", "b", F.lit(1.0).alias("rank")), "pairs")
+        if not pairs.take(1):
+            return linked, roots
+        linked = staging.stage(linked.unionByName(_linked(sets, pairs, threshold)), "linked")
+        apart, most = staging.stage(rooted.select("a", "b", "bound").join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "apart"), 16 * most
         n_apart = apart.count()
-    return linked, roots
+    if n_apart:
+        linked = staging.stage(linked.unionByName(_linked(sets, apart.select("a", "b", F.lit(1.0).alias("rank")), threshold)), "linked")
+    return linked, components(linked)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

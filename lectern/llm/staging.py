@@ -103,6 +103,8 @@ def join_found(texts: DataFrame, found: DataFrame, bound: int = 100_000) -> Data
 
 #: Rows that make a key heavy, the heaviest keys that are dealt out anew, and the tasks over which each is dealt.
 LIGHT, HEAVIEST, DEALT = 1000, 1000, 256
+#: Rows of a written table within which no key is sought out.
+FEW = 20_000
 
 
 def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> list[int]:
@@ -110,6 +112,13 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> list[int]:
     return [r[0] for r in counts.where(F.col(n) > LIGHT).select(F.xxhash64(*keys).alias("h"), F.col(n).alias("n")).orderBy(F.desc("n"), "h").limit(HEAVIEST).collect()]
 
 
+def heavy_rows(table: DataFrame, keys: list[str]) -> list[int]:
+    """As :func:`heavy_keys` for a written table; one of few rows has no key that would be worth dealing out."""
+    if table.limit(FEW + 1).count() <= FEW:
+        return []
+    return heavy_keys(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n")
+
+
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner") -> DataFrame:
     """Inner or left join on ``keys``; rows of ``left`` with a heavy key are dealt over ``DEALT`` tasks, to each of which ``right`` sends a copy."""
     if not heavy:
