@@ -225,6 +225,14 @@ def parse_citations(rows: DataFrame, key: str, text: str) -> DataFrame:
     return out.where("book is not null and chapter is not null").select(key, "at", "book", "chapter", verses.alias("verses"))
 
 
+def chapter_refs(rows: DataFrame, key: str, spec: str) -> DataFrame:
+    """A row for each chapter of ``Alma 5, 7, 12–13``: key, at, book, chapter, label; what names no book gives none."""
+    form = r"^(.+?)\s+([\d\s,–—-]+)$"
+    cut = rows.select(key, F.regexp_extract(spec, form, 1).alias("raw"), F.regexp_extract(spec, form, 2).alias("list"))
+    each = resolved(cut.where("raw <> ''"), "raw").where("book is not null").select(key, "book", F.posexplode(expand_verses(F.col("list"))).alias("at", "chapter"))
+    return each.withColumn("label", F.concat_ws(" ", "book", F.col("chapter").cast("string")))
+
+
 def citation_pattern() -> str:
     """A citation with all it goes on to list: book, chapter, verses, further chapters and verses."""
     spelled = sorted((s for s, _ in spellings()), key=lambda s: (-len(s), s))

@@ -88,3 +88,29 @@ def recent(events: DataFrame, user: str, what: str, when: str, size: int = 5) ->
     last = events.groupBy(user, F.lower(what).alias("folded")).agg(F.max(F.struct(when, what)).alias("m"))
     order = Window.partitionBy(user).orderBy(F.desc(f"m.{when}"), "folded")
     return last.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select(user, "folded", "nth")
+
+
+def agreement(placed: DataFrame, group: str, low: float = 0.9) -> DataFrame:
+    """Rows of each group, mean similarity of the placed ones (three places), how many lie below ``low``, and how many are not placed."""
+    return placed.groupBy(group).agg(
+        F.count(F.lit(1)).alias("verses"), F.round(F.avg("similarity"), 3).alias("mean"), F.count(F.when(F.col("similarity") < low, 1)).alias("below"), F.count(F.when(F.col("similarity").isNull(), 1)).alias("missing"))
+
+
+def sections(references: DataFrame, group: str, reference: str) -> DataFrame:
+    """Different sections of each group: what stands before the colon of its references."""
+    return references.groupBy(group).agg(F.count_distinct(F.substring_index(reference, ":", 1)).alias("sections"))
+
+
+def most_frequent(rows: DataFrame, value: str, size: int = 10) -> DataFrame:
+    """The ``size`` most frequent values with their count, ties by value; nulls are no value."""
+    return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(size)
+
+
+def misnamed(files: DataFrame, content: DataFrame, key: list[str]) -> DataFrame:
+    """Files (file and the keys that its name states) whose content states other keys, with both; for a warning."""
+    stated = content.select("file", *[F.col(k).alias(f"stated_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"stated_{k}")) for k in key]
+    wrong = ~same[0]
+    for test in same[1:]:
+        wrong = wrong | ~test
+    return files.join(stated, "file").where(wrong)

@@ -45,6 +45,16 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return whole
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Names of a folder's files in order (file, nth), none of them read; a folder that is absent has none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], "file string, nth int")
+    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+    # The files of a folder that are listed here are few; their order is one window.
+    return names.withColumn("nth", F.row_number().over(Window.orderBy("file")))
+
+
 def units(verses: DataFrame) -> DataFrame:
     """One row per unit with its number in reading order (volume, book, unit) and verse count.
 
