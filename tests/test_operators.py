@@ -182,3 +182,87 @@ def test_span_labels(spark):
 
     rows = spark.createDataFrame([("c. 600–592 B.C.", "A.D. 1—4"), ("A.D. 34", "A.D. 34"), ("A.D. 34 · Zion", "A.D. 34"), ("10-12", "12–14 · x"), ("5–6", "7–5")], "a string, b string")
     assert [r[0] for r in rows.select(dims.span_label(rows["a"], rows["b"])).collect()] == ["c. 600–4", "A.D. 34", "A.D. 34", "10-12–14", "5–5"]
+
+
+def _porter(w, kept):
+    """The stemmer by its definition: classes of letters, measures, and steps, without patterns."""
+    if len(w) < 3:
+        return w
+
+    def classes(x):
+        out = ""
+        for i, c in enumerate(x):
+            out += "v" if c in "aeiou" or (c == "y" and i and out[-1] == "c") else "c"
+        return out
+
+    def measure(x):
+        runs = "".join(c for i, c in enumerate(classes(x)) if not i or classes(x)[i - 1] != c)
+        return runs.count("vc")
+
+    short = lambda x: classes(x)[-3:] == "cvc" and len(classes(x).lstrip("c")) == 2 and x[-1] not in "wxy"
+    double = lambda x: len(x) > 1 and x[-1] == x[-2] and x[-1] not in "aeiouylsz"
+
+    def restored(x):
+        if x.endswith(("at", "bl", "iz")):
+            return x + "e"
+        if double(x):
+            return x[:-1]
+        return x + "e" if measure(x) == 1 and short(x) else x
+
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith(("ss", "us")):
+        w = w[:-1]
+    if w not in kept:
+        for end in ("edst", "eth", "est"):
+            if w.endswith(end) and measure(w[: -len(end)]) > 0:
+                w = restored(w[: -len(end)])
+                break
+    if w.endswith("eed"):
+        w = w[:-1] if measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end):
+                w = restored(w[: -len(end)]) if "v" in classes(w[: -len(end)]) else w
+                break
+    if w.endswith("y") and "v" in classes(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (T.STEP2, T.STEP3):
+        for end, to in table.items():
+            if w.endswith(end) and measure(w[: -len(end)]) > 0:
+                w = w[: -len(end)] + to
+                break
+    for end in T.STEP4:
+        if w.endswith(end) and measure(w[: -len(end)]) > 1 and (end != "ion" or w[-4] in "st"):
+            w = w[: -len(end)]
+            break
+    if w.endswith("e") and (measure(w[:-1]) > 1 or (measure(w[:-1]) == 1 and not short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
+
+
+def test_stems_by_definition(spark):
+    """Every word of the small documents, and words of each ending."""
+    made = [a + b for a in ("relat", "condit", "sit", "hop", "fall", "tri", "agr", "b", "oper", "vietnam", "con", "adjust", "rat", "sky", "happ") for b in ("", "e", "ed", "edst", "eth", "est", "ing", "y", "ies", "sses", "ational", "tional", "ization", "fulness", "iveness", "icate", "ative", "ement", "ion", "able", "ll", "ous", "eed")]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {r["word"] for r in index.tokens(corpus.document_verses(docs)).select("word").distinct().collect()} | set(made) | set(T.NOT_A_VERB)
+    got = _stem(spark, *sorted(words))
+    assert {w: s for w, s in got.items() if s != _porter(w, T.NOT_A_VERB)} == {}
+
+
+def test_bands_by_hand(spark):
+    from lectern.operators import dims
+
+    sizes = [("v", 1, "a", 1), ("v", 2, "b", 2), ("v", 3, "c", 5), ("v", 4, "d", 1), ("v", 5, "e", 1), ("v", 6, "f", 2), ("v", 7, "g", 1), ("w", 1, "h", 3), ("w", 2, "i", 3)]
+    rows = spark.createDataFrame(sizes, "volume_id string, book_pos int, book string, n int")
+    got = sorted((r["volume_id"], r["book"], r["band"]) for r in dims.bands(rows).collect())
+    # a and b share, c ends their band and stands alone, d to f fill one of three, g opens the next; large books stand alone.
+    want = [("v", "a", 0), ("v", "b", 0), ("v", "c", 1), ("v", "d", 2), ("v", "e", 2), ("v", "f", 2), ("v", "g", 3), ("w", "h", 0), ("w", "i", 1)]
+    assert got == want
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    for name in ("b.md", "a.md", "c.json"):
+        (tmp_path / name).write_text("x")
+    assert [(r["file"], r["nth"]) for r in corpus.list_files(spark, str(tmp_path), "*.md").orderBy("nth").collect()] == [("a.md", 1), ("b.md", 2)]
+    assert corpus.list_files(spark, str(tmp_path / "none")).count() == 0
