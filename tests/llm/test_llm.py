@@ -459,14 +459,49 @@ def test_language_probabilities_pool_every_byte():
 
 
 def test_cotraining(spark):
+    """Accuracy on labelled documents that were held out; nulls, empty tables, repeated rows, clashing columns, a very long text."""
     from lectern.llm.cotrain import classify, train
+    from lectern.llm.langid import training_part
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = {r["doc_id"]: r["high_quality"] for r in classify(docs, train(docs, labels), ["doc_id"]).collect()}
-    marked = labels.collect()
-    assert sum(got[r["doc_id"]] == (r["quality"] == 1) for r in marked) >= 0.9 * len(marked)
-    odd = classify(_docs(spark, [None, ""]), train(docs, labels.limit(0)), ["doc_id"]).collect()
-    assert {r["score"] for r in odd} == {0.5}
+    model = train(docs, labels)
+    got = {r["doc_id"]: r for r in classify(docs.where(training_part()), model, ["doc_id"]).collect()}
+    marked = [r for r in labels.collect() if r["doc_id"] in got]
+    assert len(marked) > 20
+    assert sum(got[r["doc_id"]]["high_quality"] == (r["quality"] == 1) for r in marked) >= 0.9 * len(marked)
+    assert all(0 <= r[c] <= 1 for r in got.values() for c in ("text_score", "meta_score", "score"))
+    odd = _docs(spark, [None, "", "word " * 100_000]).withColumns({"score": F.lit("s"), "label": F.lit(1), "meta": F.lit(2), "content": F.lit(3)})
+    odd = odd.unionByName(odd.limit(1))
+    assert {r["score"] for r in classify(odd, train(docs, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
+    assert len(classify(odd, model, ["doc_id", "label"]).collect()) == 4 and classify(odd.limit(0), model).count() == 0
+    assert train(odd, labels) is None and train(odd.limit(0), labels) is None
+    again = train(docs.unionByName(docs).withColumns({"label": F.lit(9), "certain": F.lit(1)}), labels)
+    assert np.allclose(again.views[0].weight, model.views[0].weight)
+
+
+def test_cotraining_passes_on_the_surest_of_all_rows(spark):
+    """The distributed choice against sorting all rows, ties by key, keys already passed on left out."""
+    from lectern.llm import cotrain as C
+
+    rng, n = np.random.default_rng(2), 3000
+    content = rng.standard_normal((n, C.WORDS + C.SHAPE)).astype(np.float32)
+    content[100:140] = content[99]  # ties
+    meta = np.stack([rng.integers(0, C.SOURCES, n), C.SOURCES + rng.integers(0, C.LANGS, n), C.SOURCES + C.LANGS + rng.integers(0, C.LENGTHS, n)], 1)
+    models = [C.Logistic(rng.standard_normal(k), 0.0) for k in (C.WORDS + C.SHAPE, C.SOURCES + C.LANGS + C.LENGTHS)]
+    scales, taken = [C.Logistic(np.array([0.2]), 0.0), C.Logistic(np.array([2.0]), 0.1)], np.arange(0, n, 3)
+    rows = spark.createDataFrame([(k, content[k].tolist(), meta[k].tolist()) for k in range(n)], "key bigint, content array<float>, meta array<int>").repartition(5)
+    view, label, features, keys = C._exchange(rows, 0.7)(models, scales, taken, (40, 25))
+    best = {}
+    hot = np.zeros((n, C.SOURCES + C.LANGS + C.LENGTHS), np.float32)
+    hot[np.arange(n)[:, None], meta] = 1
+    for v, x in enumerate((content, hot)):
+        p = 1 / (1 + np.exp(-np.clip(scales[v].logit(models[v].logit(x)[:, None]), -40, 40)))
+        for y, sure, most in ((1, p, 40), (0, 1 - p, 25)):
+            able = sorted((k for k in range(n) if k % 3 and sure[k] >= 0.7), key=lambda k: (-sure[k], k))[:most]
+            for k in able:
+                best[k] = max(best.get(k, (0, 0, 0)), (float(sure[k]), v, y))
+    assert {int(k): (int(v), int(y)) for k, v, y in zip(keys, view, label)} == {k: b[1:] for k, b in best.items()}
+    assert np.allclose(features[0], content[keys]) and np.allclose(features[1], hot[keys])
 
 
 def test_image_copies(spark):
