@@ -14,7 +14,7 @@ def segments(verses: DataFrame, marks: DataFrame) -> DataFrame:
     """
     key = ["unit", "verse"]
     pieces = verses.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(r"^\s+|\S+\s*"), F.lit(0))).alias("at", "piece"))
-    w = F.sum((F.trim("piece") != "").cast("int")).over(Window.partitionBy(*key).orderBy("at"))
+    w = F.sum(F.col("piece").rlike(r"\S").cast("int")).over(Window.partitionBy(*key).orderBy("at"))
     covered = marks.select(*key, "id", F.explode(F.sequence("w1", F.greatest("w1", "w2"))).alias("w")).groupBy(*key, "w").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     told = pieces.withColumn("w", w).join(covered, [*key, "w"], "left").withColumn("ids", F.coalesce("ids", F.array().cast(covered.schema["ids"].dataType)))
     order = Window.partitionBy(*key).orderBy("at")

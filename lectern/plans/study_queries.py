@@ -91,9 +91,9 @@ def recent_searches(spark, sf_dir):
     return reports.recent(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
 
 
-@query("with " + LINES + ", t as (select volume_id, unit, verse from verses where length(text) > 100) select unit, verse, volume_id, verse || chr(cast(97 + (row_number() over (partition by unit, verse order by volume_id) - 1) as int)) letter from t")
+@query("with " + LINES + ", t as (select volume_id, unit, verse from verses) select unit, verse, volume_id, verse || chr(cast(97 + (row_number() over (partition by unit, verse order by volume_id) - 1) as int)) letter from t")
 def footnote_letters(spark, sf_dir):
-    marks = _verses(spark, sf_dir).where(F.length("text") > 100).select("unit", "verse", "volume_id")
+    marks = _verses(spark, sf_dir).select("unit", "verse", "volume_id")
     return spans.letters(marks, "volume_id")
 
 
@@ -103,10 +103,10 @@ def excerpts(spark, sf_dir):
     return v.select("unit", "verse", T.excerpt(F.col("text"), F.lit(20), F.lit(22)).alias("excerpt"))
 
 
-@query("with " + LINES + " select unit, verse, md5(text) joined, cast(case when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 5 then 3 when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 then 2 else 1 end as bigint) n from verses where text <> '' and not regexp_matches(text, '^\\s')")
+@query("with " + LINES + " select unit, verse, md5(text) joined, cast(case when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 5 then 3 when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 then 2 else 1 end as bigint) n from verses where text <> ''")
 def segments_roundtrip(spark, sf_dir):
     """Words 3 to 5 of every verse marked: the segments joined give the text again."""
-    v = _verses(spark, sf_dir).where((F.col("text") != "") & ~F.col("text").rlike(r"^\s"))
+    v = _verses(spark, sf_dir).where(F.col("text") != "")
     marks = v.select("unit", "verse", F.lit(3).alias("w1"), F.lit(5).alias("w2"), F.lit("a").alias("id"))
     cut = spans.segments(v, marks).groupBy("unit", "verse").agg(F.sort_array(F.collect_list(F.struct("seg", "text"))).alias("s"))
     return cut.select("unit", "verse", F.md5(F.array_join(F.col("s.text"), "")).alias("joined"), F.size("s").cast("long").alias("n"))
