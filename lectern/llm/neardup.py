@@ -163,9 +163,10 @@ def weighted_sets(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     n_docs, size = packed.agg(F.sum(F.size("nodes")), F.sum("size")).first()
     parts = min(1 << 24, 1 + (size or 0) // COUNTED)
     spread = packed.select("chunk", "texts").mapInArrow(lambda it: _spread(it, parts), "part int, chunk string, low binary, n binary")
-    counted = spread.groupBy("part").applyInArrow(_frequencies, "chunk string, part int, at binary, df binary")
-    found = counted.groupBy("chunk").agg(F.collect_list(F.struct("part", "at", "df")).alias("found"))
-    both = packed.select("chunk", "nodes", "texts").join(found, "chunk", "left").select("nodes", "texts", "found")
+    # As many tasks as ranges: what a task reads stays the same however large the corpus.
+    counted = spread.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, "chunk string, part int, at binary, df binary")
+    found = counted.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "at", "df")).alias("found"))
+    both = packed.select("chunk", "nodes", "texts").repartition(parts, "chunk").join(found, "chunk", "left").select("nodes", "texts", "found")
     sets = staging.stage(both.mapInArrow(lambda it: _sample(it, parts, n_docs or 0, threshold), _SETS), "sets")
     staging.drop(packed)
     return sets
