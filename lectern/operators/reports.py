@@ -74,7 +74,7 @@ def articles(rows: DataFrame, title: str, subtitle: str, typed: str, size: int =
     """Best pages, with ``strong`` for an exact title or a beginning of eight characters or more."""
     scored = rows.withColumn("score", article_score(F.col(title), F.col(subtitle), typed)).where("score is not null")
     strong = (F.col("score") == 100) | ((F.col("score") == 80) & (F.length(norm(F.lit(typed))) >= 8))
-    return scored.withColumn("strong", strong).orderBy(F.desc("score"), title).limit(size)
+    return scored.withColumn("strong", strong).orderBy(F.desc("score"), title, subtitle).limit(size)
 
 
 def places(rows: DataFrame, name: str, region: str, typed: str, size: int = 8) -> DataFrame:
