@@ -101,6 +101,16 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join cov on d.doc_id = cov.doc_id left join ids on d.doc_id = ids.doc_id"""
 
 
+OP3_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) x from pages),
+first as (select x, min(page_id) least from p group by x)
+select page_id, cast(n as bigint) payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(x, (k // 8) * 10 + 1, 10) as ubigint) >> (35 - 5 * (k % 8))) & 31 as int) + 1, 1)), '') payload_digest,
+       case when page_id is not distinct from least then 'response' else 'revisit' end record_type,
+       case when page_id is distinct from least then least end refers_to
+from p join first using (x)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_warc": OP3_SQL}

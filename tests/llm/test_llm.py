@@ -94,6 +94,37 @@ def test_near_duplicates(spark):
     assert near_duplicates(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_long_and_repeated_rows(spark):
+    """A long text with a passage of its own twice and another's, rows that repeat id and text, clashing columns."""
+    from lectern.llm.bwt_dedup import dedup
+
+    passage, other = _prose(90, 90), _prose(91, 70)
+    long = f"{_prose(92, 30_000)} {passage} {_prose(93, 200)} {passage} {other}"
+    texts = [(1, long), (2, f"{other} end"), (3, _prose(94, 120)), (3, _prose(94, 120)), (None, "short"), (None, None)]
+    raw = [(t or "").encode() for _, t in texts]
+    count = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    table = spark.createDataFrame([(*t, 1, "x") for t in texts], "doc_id long, text string, n_removed int, key string")
+    want = []
+    for (i, _), b in zip(texts, raw, strict=True):
+        gone = np.zeros(len(b) + 1, bool)
+        for at in range(len(b) - 199):
+            if count[b[at : at + 200]] > 1:
+                gone[at : at + 200] = True
+        left = np.frombuffer(b, np.uint8)[~gone[: len(b)]].tobytes()
+        want.append((i, len(b), int(gone.sum()), int((gone[:-1] & ~gone[1:]).sum()), hashlib.sha256(left).hexdigest()))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in dedup(table).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_warc"])
+def test_queries_give_the_rows_of_their_sql(spark, duck, name):
+    from conftest import SMALL, rows_of
+    from lectern.llm import queries as Q
+
+    ours, theirs = Q.queries()[name](spark, SMALL).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns) and rows_of(ours) == rows_of(theirs)
+
+
 def _tf_idf_pairs(texts, threshold):
     """Pairs of positions of different texts at ``threshold`` or more, by the weights' definition over plain counters."""
     sets = {}
