@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    told = encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import rearrange, restored
+
+    made = rearrange(_table(spark, sf_dir, "documents"))
+    again = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, flags
+
+    return audit(flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), list("ABCDE"), ["good", "toxic"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
@@ -111,6 +133,39 @@ select page_id, cast(n as bigint) payload_bytes,
 from p join first using (x)"""
 
 
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) x from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w,
+      list_transform(range(4), lambda k: cast('0x' || substr(x, 8 * k + 1, 8) as ubigint)) h from d),
+c as (select doc_id, t, w, len(w) n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end form from u),
+s as (select doc_id, t, n, form, array_to_string(w[1:a], '') p, array_to_string(w[a + 1:b], '') m, array_to_string(w[b + 1:], '') s from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
+from s"""
+
+
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+least as (select t, min(doc_id) first from d group by t),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+f as (select part, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > first, false)} v, coalesce(good, false) good, coalesce(toxic, false) toxic
+      from d join least using (t) left join l on d.doc_id = l.doc_id),
+g as (select part, good, toxic, count(*) c, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: case x when 'A' then v.A when 'B' then v.B when 'C' then v.C when 'D' then v.D else v.E end) failed
+      from f group by part, good, toxic, failed),
+x(x) as (select unnest(['A', 'B', 'C', 'D', 'E'])),
+o as (select a.x || b.x || c.x || d.x || e.x filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select part, filter_order, step, substr(filter_order, step, 1) f, c, good, toxic, failed, list_has(failed, substr(filter_order, step, 1)) fails,
+             len(list_filter(failed, lambda y: instr(filter_order, y) < step)) > 0 gone from g, o, (select unnest(range(1, 6)) step)),
+r as (select part, filter_order, step, f, coalesce(sum(c) filter (not gone and not fails), 0) kept, coalesce(sum(c) filter (not gone and fails), 0) removed, coalesce(sum(c) filter (gone and fails), 0) redundant,
+             coalesce(sum(c) filter (fails and len(failed) = 1), 0) unique_fails, coalesce(sum(c) filter (not gone and fails and good), 0) good_lost, coalesce(sum(c) filter (not gone and fails and toxic), 0) toxic_lost
+      from s group by all)
+select part, filter_order, cast(step as int) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails,
+       cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) shapley
+from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_decontaminate": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_warc": OP3_SQL, "op12_fill_in_middle": OP12_SQL, "op13_filter_audit": OP13_SQL}
