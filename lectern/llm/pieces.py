@@ -6,9 +6,11 @@ marked word (its markers and the run up to the next marker) has the same ids
 wherever it stands: each distinct one is segmented once, and the ids are joined
 back by position.
 
-Texts are read once, in blocks of about ``BLOCK`` characters or one longer text.
-A block keeps its distinct words and, for each of its positions, the number of
-the word there; from then on only words, not their occurrences, are shuffled.
+A text's words become numbers of the table's words, and all its ids are gathered
+by these numbers at once.  Each task keeps a table of its own: in natural text
+most distinct words are rare and stand in one task alone, so that a table of the
+whole corpus would shuffle nearly every word of it, there and back, to save the
+few that tasks share (see the README for what that took).
 """
 
 from __future__ import annotations
@@ -16,18 +18,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import staging
-
 #: White space marker, and a word with the markers before it.
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Characters of the texts that share a block.
-BLOCK = 1 << 22
+#: Characters of the texts whose words are told together, and words that a task's table holds at most before it begins anew.
+BLOCK, HELD = 1 << 22, 1 << 18
+#: Ids that the library decodes at once.
+PART = 1 << 20
 #: A word before each segmented one, so that the library does not take that for a text's beginning.
 LEAD = "a"
 
@@ -62,102 +65,66 @@ def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Compressed numbers below 2**32, their high bytes apart from the low ones."""
-    plain = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd").compress(plain, asbytes=True)
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    plain = pa.Codec("zstd").decompress(packed[8:], 4 * n, asbytes=True)
-    return np.frombuffer(plain, np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
-
-
-def _blocks(docs: DataFrame, model_file: str) -> DataFrame:
-    """One row a block: the documents' columns, the words in each, the packed word numbers, the distinct words."""
-    kept = [f for f in docs.schema if f.name != "text"]
-    rows = T.StructType([*kept, T.StructField("n_words", T.LongType())])
-    schema = T.StructType().add("block", "long").add("docs", T.ArrayType(rows)).add("words", T.ArrayType(T.StringType())).add("numbers", "binary")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+class Table:
+    """Ids of distinct marked words, each segmented when it is first asked for."""
+
+    def __init__(self, model_file: str) -> None:
+        self.model, self.file, self.ids = load(model_file), model_file, {}
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words in a row, and how many each has."""
+        new = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(new) > HELD:
+            self.ids, new = {}, words
+        self.ids.update(zip(new, segment(new, self.file)))
+        lists = [self.ids[w] for w in words]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all texts in a row, the offsets of each, and what the library decodes them to."""
+        known: dict[str, int] = {}
+        told = [np.fromiter((known.setdefault(m[0], len(known)) for m in WORD.finditer(self.model.normalize(t))), np.int64) for t in texts]
+        ids, sizes = self.look_up(list(known))
+        # The end id is a word more, the last of each text.
+        numbers = np.concatenate([x for one in told for x in (one, [len(known)])])
+        ids, sizes = np.append(ids, self.model.eos_id()), np.append(sizes, 1)
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[numbers]
+        edge = np.r_[0, np.cumsum(lengths)]
+        flat = ids[np.repeat(starts[numbers] - edge[:-1], lengths) + np.arange(edge[-1])]
+        ends = np.r_[0, np.cumsum([len(one) + 1 for one in told])]
+        return flat, edge[ends], [self.decode(flat, edge[a : b + 1]) for a, b in zip(ends[:-1], ends[1:])]
 
-        model, block = load(model_file), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            texts = batch.column("text").fill_null("")
-            for lo, hi in _ranges(pa.compute.utf8_length(texts).to_pylist()):
-                known: dict[str, int] = {}
-                found = [[known.setdefault(w, len(known)) for w in WORD.findall(model.normalize(t))] for t in texts[lo:hi].to_pylist()]
-                numbers = np.fromiter((i for f in found for i in f), np.int64)
-                # The most frequent words get the smallest numbers, which compress best.
-                order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                words = np.array([*known, None], object)[:-1][order]
-                carried = [batch.column(f.name)[lo:hi] for f in kept] + [pa.array(map(len, found), pa.int64())]
-                packed = pa.StructArray.from_arrays(carried, [*(f.name for f in kept), "n_words"])
-                edge = pa.array([0, hi - lo], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.ListArray.from_arrays(edge, packed), pa.array([words.tolist()], pa.list_(pa.string())), pa.array([pack(rank[numbers])])],
-                    ["block", "docs", "words", "numbers"],
-                )
-                block += 1
-
-    return docs.mapInArrow(read, schema)
+    def decode(self, flat: np.ndarray, edge: np.ndarray) -> str:
+        """The library's decode of one text's ids, given where its words end; long ones by parts that end with a word."""
+        cuts = np.unique(np.r_[0, np.searchsorted(edge - edge[0], np.arange(PART, edge[-1] - edge[0], PART)), len(edge) - 1])
+        lead = self.model.encode(LEAD)
+        parts = [flat[edge[a] : edge[b]].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        return self.model.decode(parts[0]) + "".join(self.model.decode(lead + p)[len(LEAD) :] for p in parts[1:])
 
 
 def encode(docs: DataFrame, model_file: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of (text, ...) with ``ids``, the library's ids with an end id only, and ``decoded``, its decode(ids).
 
     Null counts as empty, whose ids are the end alone.  Repeated rows, null or
-    repeated ids and ties stay rows of their own; a text of any length is one
-    row of one block; columns that are not named are left out, so that none can
-    clash.  An empty table gives none.
+    repeated ids and ties stay rows of their own; a text of any length is read
+    alone if it is longer than a block; columns that are not named are left out,
+    so that none can clash.  An empty table gives none.
     """
-    spark = docs.sparkSession
     # The operator's own names are kept off the table's.
     inner = {c: f"c{n}" for n, c in enumerate(columns)}
     plain = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
-    blocks = staging.stage(_blocks(plain, model_file), "blocks")
-
-    placed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    counted = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = segment(b.column("word").to_pylist(), model_file)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
-
-    table = staging.stage(counted.mapInArrow(segmented, "word string, n long, ids array<int>"), "words")
-    heavy = staging.heavy_keys(table, ["word"], "n")
-    told = staging.join_skewed(placed, table.select("word", "ids"), ["word"], heavy).select(F.col("block").alias("of"), "at", "ids")
-
-    carried = [T.StructField(n, docs.schema[c].dataType) for c, n in inner.items()]
+    carried = [f for f in plain.schema if f.name != "text"]
     schema = T.StructType([*carried, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = load(model_file)
-        own = left.column("docs").combine_chunks().flatten()
-        at = right.column("at").to_numpy()
-        lists = right.column("ids").combine_chunks()
-        sizes, starts = np.zeros((2, len(at)), np.int64)
-        sizes[at] = pa.compute.list_value_length(lists).to_numpy()
-        starts[at] = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
-        ids = np.append(lists.flatten().to_numpy(), model.eos_id())
-        # Every document ends with the end id, as if with a word more.
-        numbers, n_words = unpack(left.column("numbers")[0].as_py()), own.field("n_words").to_numpy()
-        ends = np.cumsum(n_words)
-        sizes, starts = np.append(sizes, 1), np.append(starts, len(ids) - 1)
-        numbers = np.insert(numbers, ends, len(at))
-        lengths = sizes[numbers]
-        edge = np.r_[0, np.cumsum(lengths)]
-        flat = ids[np.repeat(starts[numbers] - edge[:-1], lengths) + np.arange(edge[-1])]
-        offsets = np.r_[0, edge[ends + np.arange(1, len(ends) + 1)]]
-        # One text at a time: the lists of numbers that the library takes are large.
-        texts = [model.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
-        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.Table.from_arrays([*(own.field(f.name) for f in carried), found, pa.array(texts, pa.string())], [f.name for f in schema])
-
-    whole = blocks.select("block", "docs", "numbers").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(together, schema)
-    return whole.select(*[F.col(n).alias(c) for c, n in inner.items()], "ids", "decoded")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(model_file)
+        for batch in batches:
+            texts = batch.column("text").fill_null("")
+            for lo, hi in _ranges(pa.compute.utf8_length(texts).to_pylist()):
+                flat, offsets, decoded = table.encode(texts[lo:hi].to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name)[lo:hi] for f in carried), ids, pa.array(decoded, pa.string())], [f.name for f in schema])
+
+    return plain.mapInArrow(read, schema).select(*[F.col(n).alias(c) for c, n in inner.items()], "ids", "decoded")

@@ -55,16 +55,30 @@ def test_pieces_of_whole_documents(spark):
     staging.release()
 
 
-def test_hot_words_are_dealt(spark, monkeypatch):
+def test_tables_that_begin_anew_and_long_texts_by_parts(spark, monkeypatch):
+    """A table of two words, decoding by few ids at a time: the same ids and texts."""
     import sentencepiece
-    from lectern.llm import pieces, staging
+    from lectern.llm import pieces
 
-    monkeypatch.setattr(staging, "LIGHT", 2)
-    monkeypatch.setattr(pieces, "BLOCK", 1)
-    rows = [(i, f"the same words and {i}", "en") for i in range(30)]
-    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    for r in pieces.encode(_docs(spark, rows), MODEL).collect():
-        assert r["ids"] == model.encode(f"the same words and {r['doc_id']}", add_eos=True)
+    monkeypatch.setattr(pieces, "HELD", 2)
+    monkeypatch.setattr(pieces, "PART", 3)
+    model, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Table(MODEL)
+    texts = [t or "" for t in TEXTS]
+    flat, offsets, decoded = table.encode(texts)
+    for n, t in enumerate(texts):
+        ids = model.encode(t, add_eos=True)
+        assert flat[offsets[n] : offsets[n + 1]].tolist() == ids and decoded[n] == model.decode(ids)
+
+
+def test_each_distinct_word_is_segmented_once(monkeypatch):
+    from lectern.llm import pieces
+
+    asked, segment = [], pieces.segment
+    monkeypatch.setattr(pieces, "segment", lambda words, file: asked.extend(words) or segment(words, file))
+    table = pieces.Table(MODEL)
+    table.encode(["the same words", "and the same words again"])
+    table.encode(["again the same"])
+    assert sorted(asked) == sorted({f"▁{w}" for w in "the same words and again".split()})
 
 
 def test_pieces_that_cross_words_are_refused(monkeypatch):
