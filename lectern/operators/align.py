@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Fixed value: cost of leaving a block or a slot alone.
 GAP = -0.35
@@ -35,7 +34,7 @@ LINE_PATTERNS = [
 
 def classify(line: Column) -> Column:
     """``blank``, ``head``, ``apparatus`` or null (text) of a scanned line; lines of chapters and sections are text."""
-    s = F.trim(line)
+    s = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
     letters, upper = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
     more = {
         "loud bracket": (letters > 0) & (upper > 0.7 * letters),
@@ -51,30 +50,6 @@ def classify(line: Column) -> Column:
     return kind
 
 
-def tidy(text: Column) -> Column:
-    """A scanned verse without stray glyphs, hyphens before a line's end and doubled blanks."""
-    steps = [(r"[|~^*_<>\\]", ""), (r"(\p{L})-\s+(\p{Ll})", "$1$2"), (r"\b0(?=[a-z ])", "O"), (r"^\d{1,3}[.,;:]\s*", ""), (r"\s+([,.;:?!])", "$1"), (r"\s+", " ")]
-    for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
-
-
-def scan_blocks(lines: DataFrame) -> DataFrame:
-    """Verse blocks of scanned lines (file, line_no, line): file, block, number, text.
-
-    A block opens at a numbered line, closes at a heading, passes over other
-    furniture, and joins words that were divided at a line's end.
-    """
-    order = Window.partitionBy("file").orderBy("line_no")
-    kinds = lines.withColumn("kind", classify(F.col("line"))).withColumn("opens", F.col("line").rlike(r"^\d{1,3}[.,;:] ")).withColumn("closes", F.col("line").rlike(r"(?i)^\s*(CHAPTER|SECTION)\b"))
-    event = F.when(F.col("opens"), F.lit(True)).when(F.col("closes"), F.lit(False))
-    state = kinds.withColumn("open", F.last(event, True).over(order)).withColumn("block", F.sum(F.col("opens").cast("int")).over(order))
-    kept = state.where(F.col("open") & ~F.col("closes") & (F.col("kind").isNull() | F.col("opens")))
-    joined = kept.groupBy("file", "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    text = F.array_join(F.col("l.line"), " ")
-    return joined.select("file", "block", F.regexp_extract(text, r"^(\d{1,3})", 1).cast("int").alias("number"), tidy(text).alias("text"))
-
-
 def bag_similarity(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Twice the words two texts share (as bags) over all their words; 0 without any."""
     counts = lambda c, n: pairs.select(*key, F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias(n))
@@ -158,49 +133,3 @@ def align_chapters(slots: DataFrame, blocks: DataFrame, key: list[str]) -> DataF
     placed = slots.select(*key, "verse", "text").groupBy(*key).cogroup(right.groupBy(*[f"b_{k}" for k in key])).applyInPandas(one, schema)
     both = placed.join(slots.select(*key, "verse", "text"), [*key, "verse"])
     return placed.join(bag_similarity(both, [*key, "verse"], "text", "scan"), [*key, "verse"])
-
-
-def unfuse(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``text`` without footnote keys of one to three characters stuck to a known word; ordinals stay.
-
-    Words are looked up by a join, distinct ones only.
-    """
-    split = texts.select("id", F.posexplode(F.split("text", " ")).alias("at", "token"))
-    parts = split.select("token").distinct().where(F.col("token").rlike(r"^[0-9a-z]{1,3}[A-Za-z]{3,}") & F.col("token").rlike("^[0-9]") & ~F.col("token").rlike("^[0-9]+(st|nd|rd|th)$"))
-    rest = parts.withColumn("rest", F.regexp_replace("token", "^[0-9]{1,3}", "")).withColumn("word", F.lower(F.regexp_replace("rest", "[^A-Za-z]", "")))
-    known = rest.join(vocabulary.select("word").distinct(), "word").select("token", "rest")
-    mended = split.join(known, "token", "left").withColumn("token", F.coalesce("rest", "token"))
-    return mended.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("t")).select("id", F.array_join(F.col("t.token"), " ").alias("text"))
-
-
-def strip_apparatus(pairs: DataFrame, least: int = 4, gain: float = 0.02) -> DataFrame:
-    """``scan`` of (id, text, scan) without runs of ``least`` words or more whose removal brings it nearer to ``text``."""
-
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["scan"] = [_stripped(t or "", s or "", least, gain) for t, s in zip(b["text"], b["scan"])]
-            yield b
-
-    return pairs.select("id", "text", "scan").mapInPandas(strip, pairs.select("id", "text", "scan").schema)
-
-
-def _stripped(text: str, scan: str, least: int, gain: float) -> str:
-    want, words = _bag(text), scan.split()
-
-    def like(ws: list[str]) -> float:
-        have = _bag(" ".join(ws))
-        every = sum(want.values()) + sum(have.values())
-        return 2 * sum((want & have).values()) / every if every else 0.0
-
-    while len(words) > least:
-        # Words that the text lacks score one, others minus one; the best run is the largest sum.
-        cost = np.array([1 if not (_bag(w) & want) else -1 for w in words])
-        edge = np.r_[0, np.cumsum(cost)]
-        lows = np.minimum.accumulate(edge[:-1])
-        hi = int(np.argmax(edge[1:] - lows)) + 1
-        lo = int(np.flatnonzero(edge[:hi] == lows[hi - 1])[-1])
-        rest = words[:lo] + words[hi:]
-        if hi - lo < least or like(rest) - like(words) <= gain:
-            break
-        words = rest
-    return " ".join(words)

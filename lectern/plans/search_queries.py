@@ -118,7 +118,7 @@ from u join z using (volume_id, unit) where k = (select count(*) from q) {extra}
 
 def _index(spark: SparkSession, sf_dir: str) -> str:
     """The stored index of a folder's documents, written at the first search in it."""
-    return once(spark, f"index of {sf_dir}", lambda path: index.write_index(_verses(spark, sf_dir), path))
+    return once(spark, f"index of {sf_dir}", f"{sf_dir}/documents.parquet", lambda path: index.write_index(_verses(spark, sf_dir), path))
 
 
 def _flat(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from lectern.operators.joins import numbered
+
 _VERSES = "array<struct<verse:int,reference:string,text:string>>"
 BOOKS_LAYOUT = f"books array<struct<book:string,full_title:string,heading:string,chapters:array<struct<chapter:int,reference:string,verses:{_VERSES}>>>>, title string, subtitle string, sections array<struct<section:int,reference:string,verses:{_VERSES}>>"
 
@@ -56,13 +58,6 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def units(verses: DataFrame) -> DataFrame:
-    """One row per unit with its number in reading order (volume, book, unit) and verse count.
-
-    Numbers are made per volume and moved by the volumes before it, so that no
-    task holds all units.
-    """
+    """One row per unit with its number in reading order (volume, book, unit) and verse count."""
     flat = verses.groupBy("volume_id", "book", "unit").agg(F.count(F.lit(1)).alias("verse_count"))
-    before = flat.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
-    shift = before.withColumn("skip", F.coalesce(F.sum("n").over(Window.orderBy("volume_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("volume_id", "skip")
-    numbered = flat.withColumn("nth", F.row_number().over(Window.partitionBy("volume_id").orderBy("book", "unit")))
-    return numbered.join(F.broadcast(shift), "volume_id").select("volume_id", "book", "unit", (F.col("nth") - 1 + F.col("skip")).cast("long").alias("unit_no"), "verse_count")
+    return numbered(flat, ["volume_id", "book", "unit"], "unit_no").select("volume_id", "book", "unit", "unit_no", "verse_count")

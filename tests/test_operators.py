@@ -85,13 +85,8 @@ def test_citations(spark):
     assert scanned == [(3, "Ether", 5), (3, "2 Nephi", 27)]
 
 
-def test_alignment_and_repair(spark):
+def test_alignment(spark):
     assert align.align(["a b c", "d e f", "g h i"], ["a b x", "g h i"]) == [0, -1, 1]
-    assert align._stripped("in the beginning god made heaven", "in the beginning see gen x note here god made heaven", 4, 0.02) == "in the beginning god made heaven"
-    texts = spark.createDataFrame([(1, "and 26Michael on the 11th day")], "id int, text string")
-    assert align.unfuse(texts, spark.createDataFrame([("michael",)], "word string")).first()["text"] == "and Michael on the 11th day"
-    lines = spark.createDataFrame([("f", n, t) for n, t in enumerate(["CHAPTER 1", "1. In the begin-", "ning it was.", "42", "2. And so on."])], "file string, line_no int, line string")
-    assert [(r["number"], r["text"]) for r in align.scan_blocks(lines).orderBy("block").collect()] == [(1, "In the beginning it was."), (2, "And so on.")]
 
 
 def test_segments_join_to_the_text(spark):
