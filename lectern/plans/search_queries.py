@@ -155,7 +155,7 @@ p as (select unit, verse, nth, stem from (select unit, verse, unnest(ws) word, u
 select a.unit, count(distinct a.verse) hits from p a join p b on a.unit = b.unit and a.verse = b.verse and b.nth = a.nth + 1 where a.stem = 'of' and b.stem = 'the' group by a.unit""")
 def search_phrase(spark, sf_dir):
     """Units with the phrase."""
-    return S.search(spark, _index(spark, sf_dir), PHRASE, verses=_verses(spark, sf_dir)).select("unit", "hits")
+    return S.search(spark, _index(spark, sf_dir), PHRASE, phrase=True).select("unit", "hits")
 
 
 @query(f"with r as ({_search_sql(TWO, size=None)}) select volume_id, count(*) n_units, cast(sum(len(string_split(verses, ' '))) as bigint) found from r group by volume_id")

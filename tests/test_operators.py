@@ -22,18 +22,6 @@ def test_codec_and_shards(spark):
     assert post.select(T.shard_key(F.col("stem"), F.lit(2))).first()[0] == "a_"
 
 
-def test_index_files(spark, tmp_path):
-    verses = spark.createDataFrame([("v", "b", 1, 1, "Hearken'd and hearkened"), ("v", "b", 2, 1, "and atoned")], "volume_id string, book string, unit int, verse int, text string")
-    index.write_index(verses, str(tmp_path / "index"))
-    assert [(r["stem"], r["unit"]) for r in index.read_postings(spark, str(tmp_path / "index"), ["aton", "absent"]).collect()] == [("aton", 2)]
-    path = str(tmp_path / "index")
-    assert sorted((r["word"], r["cnt"], r["stem"], r["letter"]) for r in index.read_vocabulary(spark, path).collect()) == [("and", 2, "and", "a"), ("atoned", 1, "aton", "a"), ("hearkend", 1, "hearkend", "h"), ("hearkened", 1, "hearken", "h")]
-    assert sorted(tuple(r) for r in index.read_units(spark, path).collect()) == [("v", "b", 1, 1), ("v", "b", 2, 1)]
-    index.write_index(verses, path, limit=10)  # every prefix with more than ten characters is split
-    assert [(r["stem"], r["unit"], list(r["verses"])) for r in index.read_postings(spark, path, ["hearken", "and"]).orderBy("stem", "unit").collect()] == [("and", 1, [1]), ("and", 2, [1]), ("hearken", 1, [1])]
-    assert {r["prefix"] for r in spark.read.parquet(f"{path}/deep").collect()} == {"he"} | {p for p in ("an", "at") if spark.read.parquet(f"{path}/deep").where(f"prefix = '{p}'").count()}
-
-
 def test_postings_in_blocks(spark):
     rows = [("a", u, [u % 7 + 1, 9]) for u in (0, 1, 4095, 4096, 4097, 9000, 1 << 20)]
     post = spark.createDataFrame(rows, "stem string, unit int, verses array<int>")
@@ -54,8 +42,8 @@ def test_search_on_the_stored_index(spark, tmp_path):
     both = [(1, 5, 2, [1, 2], 1, round(5 / 2**0.5 * 3, 6)), (3, 2, 0, [1, 2], 1, round(2 / 2**0.5, 6))]
     assert found("faith works") == both == found("works, FAITH faith")
     assert found("faith works", ("nt",)) == both[1:] and found("faith zzz") == [] == found("")
-    assert found("works of faith", verses=verses) == [(1, 1, 1, [2], 2, round(6 / 2**0.5 * 2, 6))]
-    assert found("hope of hope", verses=verses) == [(4, 1, 1, [1], 1, round(5 * 2, 6))] and found("faith hope", verses=verses) == []
+    assert found("works of faith", phrase=True) == [(1, 1, 1, [2], 2, round(6 / 2**0.5 * 2, 6))]
+    assert found("hope of hope", phrase=True) == [(4, 1, 1, [1], 1, round(5 * 2, 6))] and found("faith hope", phrase=True) == []
     assert [(r["word"], r["stem"]) for r in search.missing(spark, path, "faith zzz").collect()] == [("zzz", "zzz")]
     assert [(w, [(r["word"], r["distance"]) for r in f.collect()]) for w, f in search.did_you_mean(spark, path, "fiath wokrs hopes")] == [("fiath", [("faith", 1)]), ("wokrs", [("works", 1)])]
     cut = search.snippets(verses.where("unit = 1 and verse = 2"), path, "faith").first()["runs"]
