@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from lectern.plans import page_queries, reference_queries, scan_queries, search_queries, study_queries  # noqa: F401
+from lectern.plans import page_queries, reference_queries, repair_queries, scan_queries, search_queries, study_queries  # noqa: F401
 from lectern.plans.registry import ORACLES, QUERIES
 
 
