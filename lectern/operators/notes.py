@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .refs import parse_citations, target_verses
+
 
 def connections(markers: DataFrame, entries: DataFrame, scopes: list[str]) -> DataFrame:
     """The entries that each marker names, with the marker's letter: letter, verse, w1, w2, pos, id, scope and the entry's other columns.
@@ -90,3 +92,77 @@ def stitched(runs: DataFrame, page: str, gap: int = 6) -> DataFrame:
     groups = ends.withColumn("n", F.sum(apart.cast("int")).over(order))
     joined = groups.groupBy(page, "n").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.sort_array(F.collect_list(F.struct("start", "text"))).alias("t"))
     return joined.select(page, "start", "end", F.array_join(F.col("t.text"), " ").alias("text"))
+
+
+def _label(verses: Column) -> Column:
+    """``verse 3``, ``verses 1–3`` for a run, ``verses 1, 3`` for a list."""
+    n, text = F.size(verses), F.transform(verses, lambda v: v.cast("string"))
+    run = F.element_at(verses, -1) - F.element_at(verses, 1) == n - 1
+    ends = F.concat_ws("–", F.element_at(text, 1), F.element_at(text, -1))
+    return F.when(n == 1, F.concat(F.lit("verse "), F.element_at(text, 1))).otherwise(F.concat(F.lit("verses "), F.when(run, ends).otherwise(F.array_join(text, ", "))))
+
+
+def note_runs(notes: DataFrame) -> DataFrame:
+    """Notes (note, text, marks) cut into runs: note, nth, text, and the mark of each that has one.
+
+    Marks are structs with ``start`` and ``end`` (code points from 0, the end
+    outside).  They are taken by start, then in the order given; one that begins
+    before the last one taken has ended, or is empty or outside the text, is
+    passed over.  The runs of a note, one after the other, are its text.
+    """
+    size = F.length("text")
+    listed = F.transform(F.coalesce("marks", F.array().cast(notes.schema["marks"].dataType)), lambda m, i: F.struct(m["start"].alias("s"), i.alias("i"), m.alias("mark")))
+    mark = notes.schema["marks"].dataType.elementType.simpleString()
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<lo:int,hi:int,mark:{mark}>>").alias("out"))
+    lo, hi = (lambda m: m["mark"]["start"].cast("int")), (lambda m: m["mark"]["end"].cast("int"))
+    take = lambda a, m: (lo(m) >= a["at"]) & (hi(m) > lo(m)) & (hi(m) <= size)
+    step = lambda a, m: F.when(take(a, m), F.struct(hi(m).alias("at"), F.concat(a["out"], F.array(F.struct(lo(m).alias("lo"), hi(m).alias("hi"), m["mark"].alias("mark")))).alias("out"))).otherwise(a)
+    taken = notes.select("note", "text", F.aggregate(F.array_sort(listed), begin, step)["out"].alias("taken")).where(size > 0)
+    # Each mark, and the plain text before it and at the end.
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("taken", i - 1)["hi"])
+    plain = F.lit(None).cast(mark)
+    pieces = F.flatten(F.transform("taken", lambda m, i: F.array(F.struct(before(i).alias("lo"), m["lo"].alias("hi"), plain.alias("mark")), m)))
+    rest = F.struct(F.coalesce(F.get("taken", F.size("taken") - 1)["hi"], F.lit(0)).alias("lo"), size.alias("hi"), plain.alias("mark"))
+    runs = F.filter(F.concat(pieces, F.array(rest)), lambda p: p["hi"] > p["lo"])
+    each = taken.select("note", "text", F.posexplode(runs).alias("nth", "run"))
+    return each.select("note", "nth", F.substr("text", F.col("run.lo") + 1, F.col("run.hi") - F.col("run.lo")).alias("text"), F.col("run.mark").alias("mark"))
+
+
+def doors(notes: DataFrame, verses: DataFrame) -> DataFrame:
+    """The runs of notes, and the door that each opens: note, nth, text, door, verses, book, chapter, title.
+
+    ``notes`` are (note, book, chapter, text, marks); a mark has ``kind``,
+    ``start``, ``end``, ``verse``, ``verse_start``, ``verse_end`` and
+    ``ch_start``.  ``verses`` (book, chapter, verse) are those there are.  A
+    ``cite`` or ``verse`` mark opens the verses of the note's own chapter that
+    exist; ``chapter`` that chapter of the note's book, if it exists;
+    ``scripture`` the first citation that its text is read as.  Any other run
+    and a mark whose target does not exist stay plain: no door.
+    """
+    runs = note_runs(notes).join(notes.select("note", F.col("book").alias("own_book"), F.col("chapter").alias("own_chapter")), "note")
+    low = F.when(F.col("mark.kind") == "cite", F.col("mark.verse")).when(F.col("mark.kind") == "verse", F.col("mark.verse_start"))
+    high = F.when(F.col("mark.kind") == "cite", F.col("mark.verse")).when(F.col("mark.kind") == "verse", F.coalesce("mark.verse_end", "mark.verse_start"))
+    asked = runs.where(low <= high).select("note", "nth", F.col("own_book").alias("book"), F.col("own_chapter").alias("chapter"), F.explode(F.sequence(low, high)).alias("verse"))
+    here = asked.join(verses.select("book", "chapter", "verse").distinct(), ["book", "chapter", "verse"]).groupBy("note", "nth").agg(F.sort_array(F.collect_list("verse")).alias("verses"))
+    chapters = verses.select(F.col("book").alias("own_book"), F.col("chapter").alias("to")).distinct()
+    whole = runs.where("mark.kind = 'chapter'").withColumn("to", F.col("mark.ch_start")).join(chapters, ["own_book", "to"]).select("note", "nth", F.col("own_book").alias("c_book"), F.col("to").alias("c_chapter"), F.array().cast("array<int>").alias("c_verses"))
+    read = runs.where("mark.kind = 'scripture'").select(F.struct("note", "nth").alias("id"), "text")
+    first = parse_citations(read, "id", "text").groupBy("id").agg(F.min_by(F.struct("book", "chapter", "verses"), "at").alias("c"))
+    cited = first.select("id.note", "id.nth", F.col("c.book").alias("c_book"), F.col("c.chapter").alias("c_chapter"), F.col("c.verses").alias("c_verses"))
+    both = runs.join(here, ["note", "nth"], "left").join(whole.unionByName(cited), ["note", "nth"], "left")
+    door = F.when(F.col("verses").isNotNull(), "verses").when(F.col("c_book").isNotNull(), "cite")
+    spelled = F.concat(F.col("c_book"), F.lit(" "), F.col("c_chapter"), F.when(F.size("c_verses") > 0, F.concat(F.lit(":"), F.array_join(F.transform("c_verses", lambda v: v.cast("string")), ","))).otherwise(""))
+    title = F.when(door == "verses", F.concat(F.lit("Go to "), _label(F.col("verses")))).when(door == "cite", F.concat(F.lit("Open "), spelled))
+    return both.select("note", "nth", "text", door.alias("door"), F.coalesce("verses", "c_verses").alias("verses"), F.when(door == "verses", F.col("own_book")).otherwise(F.col("c_book")).alias("book"), F.when(door == "verses", F.col("own_chapter")).otherwise(F.col("c_chapter")).alias("chapter"), title.alias("title"))
+
+
+def by_target(entries: DataFrame, chapter: int) -> DataFrame:
+    """Connections at the verses of a chapter: verse, ids.
+
+    ``entries`` are (id, chapter, verse, target).  An entry with a verse stands
+    there if that is of the chapter; one without stands once at each verse of the
+    chapter that its target (``34:11–12, 14; 35:2``) names.
+    """
+    own = entries.where(F.col("verse").isNotNull() & (F.col("chapter") == chapter)).select("id", "verse")
+    others = entries.where("verse is null").select("id", F.explode(target_verses(F.col("target"), chapter)).alias("verse"))
+    return own.unionByName(others).groupBy("verse").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -206,6 +206,14 @@ def expand_verses(spec: Column) -> Column:
     return F.flatten(F.transform(part, lambda p: F.when(lo(p).isNull() | (lo(p) > hi(p)), none).otherwise(F.sequence(lo(p), F.greatest(hi(p), lo(p))))))
 
 
+def target_verses(target: Column, chapter: int) -> Column:
+    """Verses of a chapter that a target (``34:11–12; 35:2``) names, in order, each once."""
+    form = F.lit(r"(\d+)\s*:\s*([\d\s,–—-]+)")
+    groups = F.arrays_zip(F.regexp_extract_all(target, form, F.lit(1)).alias("c"), F.regexp_extract_all(target, form, F.lit(2)).alias("v"))
+    mine = F.filter(groups, lambda g: g["c"].try_cast("int") == chapter)
+    return F.array_distinct(F.flatten(F.transform(mine, lambda g: expand_verses(g["v"]))))
+
+
 def parse_citations(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Citations of ``text``: key, at, book, chapter, verses.
 
@@ -276,11 +284,27 @@ def passages(citations: DataFrame, verses: DataFrame, key: list[str], size: int
 
 def match_books(dim: DataFrame, typed: str) -> DataFrame:
     """Books that a typed beginning may mean: by name, without blanks, by alias, or word by word."""
-    one = dim.sparkSession.range(1).select(norm_reference(F.lit(typed)).alias("q"))
-    rows = dim.join(F.broadcast(one)).withColumn("n", norm_reference(F.col("book"))).withColumn("tight", F.replace("q", F.lit(" "), F.lit("")))
-    by_word = (F.size(F.split("q", " ")) > 1) & (F.size(F.split("q", " ")) <= F.size(F.split("n", " "))) & F.forall(F.arrays_zip(F.split("q", " ").alias("a"), F.slice(F.split("n", " "), F.lit(1), F.size(F.split("q", " "))).alias("b")), lambda z: z["b"].startswith(z["a"]))
-    meant = F.col("n").startswith(F.col("q")) | F.replace("n", F.lit(" "), F.lit("")).startswith(F.col("tight")) | F.exists("aliases", lambda a: a.startswith(F.col("tight"))) | by_word
-    return rows.where((F.col("q") != "") & meant).select(*dim.columns)
+    asked = dim.withColumn("q", norm_reference(F.lit(typed)))
+    return asked.where(_meant(F.struct(norm_reference(F.col("book")).alias("n"), "aliases"), F.col("q"))).select(*dim.columns)
+
+
+def _meant(book: Column, q: Column) -> Column:
+    """Whether a typed beginning may mean a book (n, aliases)."""
+    tight, name = F.replace(q, F.lit(" "), F.lit("")), F.split(book["n"], " ")
+    heads = F.arrays_zip(F.split(q, " ").alias("a"), F.slice(name, F.lit(1), F.size(F.split(q, " "))).alias("b"))
+    by_word = (F.size(F.split(q, " ")) > 1) & (F.size(F.split(q, " ")) <= F.size(name)) & F.forall(heads, lambda z: z["b"].startswith(z["a"]))
+    return (q != "") & (book["n"].startswith(q) | F.replace(book["n"], F.lit(" "), F.lit("")).startswith(tight) | F.exists(book["aliases"], lambda a: a.startswith(tight)) | by_word)
+
+
+def meant_books(rows: DataFrame, typed: str) -> DataFrame:
+    """Rows with ``books``, the names of the books that their typed beginning may mean, in order.
+
+    The books are a list within the expression, so that no table is joined.
+    """
+    none = F.array().cast("array<string>")
+    known = F.array(*[F.struct(F.lit(b).alias("book"), norm_reference(F.lit(b)).alias("n"), (F.array(*map(F.lit, a)) if a else none).alias("aliases")) for _, b, _, _, a in book_rows()])
+    q = norm_reference(F.col(typed))
+    return rows.withColumn("books", F.transform(F.filter(known, lambda b: _meant(b, q)), lambda b: b["book"]))
 
 
 def suggestions(dim: DataFrame, chapters: DataFrame, typed: str, size: int = 8) -> DataFrame:

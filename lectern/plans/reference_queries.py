@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import refs
@@ -74,18 +76,28 @@ def margin_marks(spark, sf_dir):
     return refs.margin(_index(spark, sf_dir), "page").withColumn("verse", F.col("verse").cast("long"))
 
 
-_SPELLED = "s(raw, book) as (values ('1 Ne.', '1 Nephi'), ('matt', 'Matthew'), ('D&C', 'Doctrine and Covenants'), ('Solomon’s  Song', 'Solomon''s Song'), ('Nobody', null))"
+@query(f"with {_CITED} select k, case k % 4 when 2 then null else book end book from cited")
+def resolve_books(spark, sf_dir):
+    """The book that each order spells: as it is, in capitals with a stop, not at all, with blanks about."""
+    forms = F.array(F.col("book"), F.concat(F.upper("book"), F.lit(".")), F.concat(F.lit("No "), "book"), F.concat(F.lit("  "), F.replace("book", F.lit(" "), F.lit("  "))))
+    raw = _cited(spark, sf_dir).select("k", F.element_at(forms, (F.col("k") % 4 + 1).cast("int")).alias("raw"))
+    return refs.resolved(raw, "raw").select("k", "book")
 
 
-@query(f"with {_SPELLED} select * from s")
-def resolve_books(spark, sf_dir):
-    raw = spark.createDataFrame([("1 Ne.",), ("matt",), ("D&C",), ("Solomon’s  Song",), ("Nobody",)], "raw string")
-    return refs.resolved(raw, "raw").select("raw", "book")
+_NAMED = "named(book_pos, book, n, aliases) as (values " + ", ".join(f"({p}, '{b.replace(chr(39), chr(39) * 2)}', '{re.sub(' +', ' ', re.sub('[&.’,]', '', re.sub('[—–-]', ' ', b.lower()))).strip().replace(chr(39), chr(39) * 2)}', [{', '.join(repr(a) for a in al)}]::varchar[])" for p, b, _, _, al in refs.book_rows()) + ")"
 
 
-@query(f"with {_BOOKS} select book from books where lower(book) like 'jo%' or lower(book) like 'jo%'")
+@query(f"""with {_CITED}, {_NAMED}, t as (select k, case k % 3 when 0 then lower(substr(book, 1, 3)) when 1 then substr(book, 1, 5) else replace(substr(book, 1, 6), ' ', '') end typed from cited),
+q as (select k, typed, trim(regexp_replace(regexp_replace(regexp_replace(lower(typed), '[—–-]', ' ', 'g'), '[&.’,]', '', 'g'), ' +', ' ', 'g')) q from t),
+m as (select k, book, book_pos from q, named where q <> '' and (starts_with(n, q) or starts_with(replace(n, ' ', ''), replace(q, ' ', '')) or len(list_filter(aliases, lambda a: starts_with(a, replace(q, ' ', '')))) > 0
+or (contains(q, ' ') and len(string_split(q, ' ')) <= len(string_split(n, ' ')) and len(list_filter(range(1, len(string_split(q, ' ')) + 1), lambda i: not starts_with(string_split(n, ' ')[i], string_split(q, ' ')[i]))) = 0)))
+select k, string_agg(book, ';' order by book_pos) books from m group by k""")
 def match_books(spark, sf_dir):
-    return refs.match_books(refs.books(spark), "jo").select("book")
+    """The books that each order's first letters may mean."""
+    n = F.col("k") % 3
+    typed = F.when(n == 0, F.lower(F.substring("book", 1, 3))).when(n == 1, F.substring("book", 1, 5)).otherwise(F.replace(F.substring("book", 1, 6), F.lit(" "), F.lit("")))
+    made = refs.meant_books(_cited(spark, sf_dir).select("k", typed.alias("typed")), "typed")
+    return made.where(F.size("books") > 0).select("k", F.array_join("books", ";").alias("books"))
 
 
 @query(f"with {_CITED} select k, (v + 9 <= 20) as valid from cited")
@@ -100,9 +112,14 @@ def _chapters(spark):
     return refs.books(spark).select("book", F.explode(F.sequence(F.lit(1), "chapters")).alias("chapter")).withColumn("verse_count", F.lit(20))
 
 
-@query("select * from (values ('Micah 2:3', 'Micah', 2, 3), ('Malachi 2:3', 'Malachi', 2, 3), ('Matthew 2:3', 'Matthew', 2, 3), ('Matthew 23', 'Matthew', 23, null), ('Mark 2:3', 'Mark', 2, 3), ('Mosiah 2:3', 'Mosiah', 2, 3), ('Mosiah 23', 'Mosiah', 23, null), ('Mormon 2:3', 'Mormon', 2, 3)) t(label, book, chapter, verse)")
+@query(f"""with {_CITED}, d as (select book, chapter, least(count(*), 40) n from cited group by book, chapter), m as (select * from books where lower(book) like 'm%'),
+c as (select book_pos, 0 as nth, book || ' 2:3' as label, book, 2 chapter, 3 verse from m where exists (select 1 from d where d.book = m.book and d.chapter = 2 and n >= 3) and chapters > 1
+union all select book_pos, 1, book || ' 23', book, 23, null from m where chapters >= 23)
+select label, book, chapter, verse from c order by book_pos, nth limit 8""")
 def suggest_refs(spark, sf_dir):
-    return refs.suggestions(refs.books(spark), _chapters(spark), "m 2 3")
+    """What ``m 2 3`` may mean, where a chapter has as many verses as orders cite it."""
+    counted = _cited(spark, sf_dir).groupBy("book", "chapter").agg(F.least(F.count(F.lit(1)), F.lit(40)).cast("int").alias("verse_count"))
+    return refs.suggestions(refs.books(spark), counted, "m 2 3")
 
 
 @query(_PARSED + ", w as (select k, nth, unnest(vs) verse from listed) select k, nth, verse from w where verse <= 20 qualify row_number() over (partition by k, nth order by verse) <= 2")
