@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.sources.stored import staged
+
+from .joins import carried, numbered, running
+
 #: Chapters that close a band, and books that may share one.
 COLS, SHARED = 3, 3
 
@@ -17,18 +21,17 @@ def stops(units: DataFrame, captions: DataFrame, dates: DataFrame | None = None)
     known = units.join(captions.select("book").distinct(), "book", "left_semi").join(captions, ["book", "chapter"], "left")
     if dates is not None:
         known = known.join(dates, ["book", "chapter"], "left")
-    order = Window.partitionBy("volume_id").orderBy("book_pos", "chapter")
-    last = F.last("section", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens_book = F.row_number().over(Window.partitionBy("volume_id", "book_pos").orderBy("chapter")) == 1
-    return known.withColumn("opens_section", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(last)).withColumn("opens_book", opens_book)
+    first = known.groupBy("volume_id", "book_pos").agg(F.min("chapter").alias("__first"))
+    told = carried(known, "volume_id", ["book_pos", "chapter"], "section", "__last").alias("k").join(first.alias("f"), F.expr("k.volume_id <=> f.volume_id and k.book_pos <=> f.book_pos"))
+    own = [F.col(f"k.`{c}`") for c in known.columns]
+    return told.select(*own, (F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.col("__last"))).alias("opens_section"), (F.col("chapter") == F.col("__first")).alias("opens_book"))
 
 
 def runs(stop_rows: DataFrame) -> DataFrame:
     """Runs of stops between openings: volume_id, book, run, first and last chapter, stops, section, head date."""
-    order = Window.partitionBy("volume_id").orderBy("book_pos", "chapter")
-    numbered = stop_rows.withColumn("run", F.sum((F.col("opens_section") | F.col("opens_book")).cast("int")).over(order))
+    told = running(stop_rows, "volume_id", ["book_pos", "chapter"], (F.col("opens_section") | F.col("opens_book")).cast("int"), "run")
     head = [F.min_by("date_label", "chapter").alias("date_label")] if "date_label" in stop_rows.columns else []
-    return numbered.groupBy("volume_id", "run").agg(F.first("book").alias("book"), F.min("chapter").alias("first"), F.max("chapter").alias("last"), F.count(F.lit(1)).alias("stops"), F.min_by("section", "chapter").alias("section"), *head)
+    return told.groupBy("volume_id", "run").agg(F.first("book").alias("book"), F.min("chapter").alias("first"), F.max("chapter").alias("last"), F.count(F.lit(1)).alias("stops"), F.min_by("section", "chapter").alias("section"), *head)
 
 
 def bands(book_sizes: DataFrame) -> DataFrame:
@@ -62,8 +65,11 @@ def span_label(first: Column, last: Column) -> Column:
 
 def neighbours(units: DataFrame) -> DataFrame:
     """Each unit with the one before and after it in reading order; null at a volume's ends."""
-    order = Window.partitionBy("volume_id").orderBy("book", "unit")
-    return units.withColumn("previous", F.lag("unit").over(order)).withColumn("next", F.lead("unit").over(order))
+    own = numbers = staged(numbered(units, ["volume_id", "book", "unit"], "__n"), "neighbours")
+    for into, step in (("previous", 1), ("next", -1)):
+        other = numbers.select(F.col("volume_id").alias("__v"), (F.col("__n") + step).alias("__m"), F.col("unit").alias(into))
+        own = own.join(other, F.col("volume_id").eqNullSafe(F.col("__v")) & (F.col("__n") == F.col("__m")), "left").drop("__v", "__m")
+    return own.drop("__n")
 
 
 def range_explode(rows: DataFrame, spec: str, into: str = "chapter") -> DataFrame:
@@ -96,3 +102,22 @@ def matching(rows: DataFrame, **wanted) -> DataFrame:
         elif v is not None:
             rows = rows.where(F.col(c) == v)
     return rows
+
+
+def year_changes(rows: DataFrame, thread: str, order: str, year: str) -> DataFrame:
+    """Figures of each thread in order, with ``opens``: whether the year is another than that of the figure before."""
+    before = F.lag(year).over(Window.partitionBy(thread).orderBy(order))
+    return rows.withColumn("opens", ~F.col(year).eqNullSafe(before))
+
+
+def year_span(rows: DataFrame, thread: str, order: str, year: str) -> DataFrame:
+    """First and last year of each thread, as its order has them: thread, span."""
+    ends = rows.groupBy(thread).agg(F.min_by(year, order).cast("string").alias("a"), F.max_by(year, order).cast("string").alias("b"))
+    return ends.select(thread, F.concat_ws("–", "a", "b").alias("span"))
+
+
+def summary(units: DataFrame, own: DataFrame, bundled: DataFrame, volume: str) -> DataFrame:
+    """Units (volume_id, book, chapter) with the summary (book, chapter, text) that is one's own, else in one volume the bundled one; empty texts are none."""
+    some = lambda df, into: df.where("text <> ''").groupBy("book", "chapter").agg(F.min("text").alias(into))
+    both = units.join(some(own, "mine"), ["book", "chapter"], "left").join(some(bundled, "theirs"), ["book", "chapter"], "left")
+    return both.withColumn("text", F.coalesce("mine", F.when(F.col("volume_id") == volume, F.col("theirs")))).drop("mine", "theirs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.sources.stored import staged
 
@@ -28,6 +28,12 @@ def look_up(asking: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     return dealt.join(every, [*keys, "__deal"], how).drop("__deal")
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` written in ranges of the order, with ``__range`` and the place ``__at`` in it; nulls come first."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(ranges.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS))}), "ranges")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with its rows' numbers from 0 in the order of some columns; nulls come first.
 
@@ -35,9 +41,30 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     begin after the rows of those before it, of which only the counts, one a
     range, meet in a window.  No task holds a group of rows.
     """
-    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges = ranges.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS))})
-    made = staged(ranges, "numbered")
+    made = _ranged(df, order)
     before = F.sum("rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     skip = made.groupBy("__range").agg(F.count(F.lit(1)).alias("rows")).select("__range", F.coalesce(before, F.lit(0)).alias("__skip"))
     return made.join(F.broadcast(skip), "__range").withColumn(name, F.col("__at") + F.col("__skip")).drop("__range", "__at", "__skip")
+
+
+def _over_ranges(df: DataFrame, group: str, order: list[str], within: Column, of_range: Column, before: Column, both: Column, into: str) -> DataFrame:
+    """A window over each group in an order, without a task that holds a group: within ranges, and over what each range gives to those after it."""
+    made = _ranged(df, [group, *order]).withColumn("__within", within)
+    each = made.groupBy("__range", group).agg(of_range.alias("__gives")).withColumn("__before", before)
+    told = made.alias("m").join(each.select("__range", group, "__before").alias("e"), (F.col("m.__range") == F.col("e.__range")) & F.col(f"m.{group}").eqNullSafe(F.col(f"e.{group}")))
+    return told.withColumn("__both", both).select(*[f"m.`{c}`" for c in df.columns], F.col("__both").alias(into))
+
+
+def carried(df: DataFrame, group: str, order: list[str], value: str, into: str) -> DataFrame:
+    """The last ``value`` that is not null of the rows before, in each group's order."""
+    upto = Window.partitionBy("__range", group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("__at")))
+    return _over_ranges(df, group, order, F.last(value, True).over(upto), last, F.last("__gives", True).over(ranges), F.coalesce("__within", "__before"), into)
+
+
+def running(df: DataFrame, group: str, order: list[str], value: Column, into: str) -> DataFrame:
+    """The sum of ``value`` up to each row, in each group's order."""
+    upto = Window.partitionBy("__range", group).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return _over_ranges(df, group, order, F.sum(value).over(upto), F.sum(value), F.sum("__gives").over(ranges), F.col("__within") + F.coalesce("__before", F.lit(0)), into)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import numbered
 from .refs import parse_citations, target_verses
 
 
@@ -24,12 +25,7 @@ def connections(markers: DataFrame, entries: DataFrame, scopes: list[str]) -> Da
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Connections in reading order (``nth``): by verse and first word, those of no verse left out."""
-    numbered = rows.where("verse is not null")
-    # The order within a verse is numbered, and verses are shifted by those before them.
-    own = numbered.withColumn("__in", F.row_number().over(Window.partitionBy("verse").orderBy("w1", "pos", "id")))
-    sizes = numbered.groupBy("verse").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("verse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return own.join(before, "verse").withColumn("nth", (F.col("__in") + F.col("__before")).cast("long")).drop("__in", "__before")
+    return numbered(rows.where("verse is not null"), ["verse", "w1", "pos", "id"], "__n").withColumn("nth", F.col("__n") + 1).drop("__n")
 
 
 def by_scope(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lectern.sources.stored import staged
+
+from .joins import numbered
 
 #: Place of a page that names none.
 LAST = 999
@@ -24,8 +28,9 @@ def shelf(parts: dict[str, DataFrame]) -> DataFrame:
 
 def in_order(pages: DataFrame, order: str = "order") -> DataFrame:
     """Pages with their place ``nth`` on their shelf: by ``order``, none last, then by title and slug."""
-    place = Window.partitionBy("kind").orderBy(F.coalesce(order, F.lit(LAST)), "title", "slug")
-    return pages.withColumn("nth", F.row_number().over(place))
+    own = staged(numbered(pages.withColumn("__order", F.coalesce(order, F.lit(LAST))), ["kind", "__order", "title", "slug"], "__n"), "shelves")
+    first = own.groupBy("kind").agg(F.min("__n").alias("__first"))
+    return own.join(F.broadcast(first), "kind").withColumn("nth", F.col("__n") - F.col("__first") + 1).select(*[F.col(f"`{c}`") for c in pages.columns], "nth")  # a kind is a shelf
 
 
 def page_titles(sections: DataFrame, pages: DataFrame, shelves: dict[str, list[str]]) -> DataFrame:

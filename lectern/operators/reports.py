@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.text import flatten_title, norm
+from lectern.functions.text import flatten_title, norm, speaker_name
+
+from .joins import look_up
 
 
 def coverage(expected: DataFrame, present: DataFrame, group: str, key: list[str]) -> DataFrame:
@@ -51,6 +53,41 @@ def unique_core(left: DataFrame, right: DataFrame, name: str, place: str) -> Dat
     return both.withColumn(place, F.coalesce("__exact", "__core")).drop("__n", "__c", "__exact", "__core")
 
 
+# Fixed value: what kind of place a name may say it is.
+QUALIFIER = r"(?i)^(?:the\s+)?(?:(?:land|city|waters|valley|wilderness|plains|place|borders|hill|mount)\s+of\s+|(?:hill|mount)\s+)"
+
+
+def _fold(name: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "")
+
+
+def prophet_named(rows: DataFrame, prophets: DataFrame, name: str, into: str = "prophet") -> DataFrame:
+    """Rows with the prophet (name, pos) that ``name`` names: as it is, else without the parenthesis at its end; null if none.
+
+    Case and punctuation aside; of two prophets of one name the first by ``pos``.
+    """
+    known = prophets.select(_fold(F.col("name")).alias("__fold"), "name", "pos").where("__fold <> ''").groupBy("__fold").agg(F.min_by("name", "pos").alias("__name"))
+    told = rows.withColumns({"__whole": _fold(F.col(name)), "__bare": _fold(speaker_name(F.col(name)))})
+    for key, found in (("__whole", "__first"), ("__bare", "__second")):
+        told = look_up(told, known.select(F.col("__fold").alias(key), F.col("__name").alias(found)), [key], "left")
+    return told.withColumn(into, F.coalesce("__first", "__second")).drop("__whole", "__bare", "__first", "__second")
+
+
+def place_named(rows: DataFrame, places: DataFrame, name: str, into: str = "place") -> DataFrame:
+    """Rows with the place (id, name, alt_name, pos) that ``name`` names, by either of its names; null if none.
+
+    First by the whole name, of several the first by ``pos``; then by what is
+    left without the kind of place, if that is one place's alone.
+    """
+    both = places.select("id", "pos", F.explode(F.array("name", "alt_name")).alias("n"))
+    core = lambda c: _fold(F.regexp_replace(F.coalesce(c, F.lit("")), QUALIFIER, ""))
+    exact = both.select(_fold(F.col("n")).alias("__whole"), "id", "pos").where("__whole <> ''").groupBy("__whole").agg(F.min_by("id", "pos").alias("__exact"))
+    alone = both.select(core(F.col("n")).alias("__core"), "id").where("__core <> ''").distinct().groupBy("__core").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("__alone")).where("k = 1").drop("k")
+    told = rows.withColumns({"__whole": _fold(F.col(name)), "__core": core(F.col(name))})
+    told = look_up(look_up(told, exact, ["__whole"], "left"), alone, ["__core"], "left")
+    return told.withColumn(into, F.coalesce("__exact", F.when(F.col("__whole") != "", F.col("__alone")))).drop("__whole", "__core", "__exact", "__alone")
+
+
 def article_score(title: Column, subtitle: Column, typed: str) -> Column:
     """How well a page answers what was typed, punctuation and case aside; null if not, or for fewer than three characters.
 

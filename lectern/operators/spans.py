@@ -46,3 +46,20 @@ def commentary(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def markers(entries: DataFrame) -> DataFrame:
     """One marker for each anchored span, with the ids that share it."""
     return entries.where("verse is not null").groupBy("verse", "w1", "w2").agg(F.first("quote").alias("quote"), F.sort_array(F.collect_list("id")).alias("entries")).orderBy("verse", "w1")
+
+
+def chapter_files(files: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The file that holds each chapter (book, chapter), by its name: book, chapter, file, the first by name.
+
+    A name is a book, a dash and a number (``alma-34.json``), perhaps after an
+    order (``09-``, ``09_``), with leading zeros, and before a note that begins
+    with a separator (``-notes``).  Dashes within a book's name count for nothing.
+    A name is read in every way it can be; readings are joined to the chapters.
+    """
+    stem = F.regexp_extract("file", r"([^/]+)\.json$", 1)
+    names = F.array_distinct(F.array(stem, F.regexp_replace(stem, r"^\d+[-_]", "")))
+    parts = files.select("file", F.explode(names).alias("name")).select("file", F.split("name", "-", -1).alias("p"))
+    spots = parts.select("file", "p", F.posexplode("p").alias("at", "token")).where(F.col("at") > 0).where(F.col("token").rlike(r"^\d+(_.*)?$"))
+    read = spots.select("file", F.array_join(F.slice("p", F.lit(1), F.col("at")), "").alias("key"), F.regexp_extract("token", r"^(\d+)", 1).try_cast("int").alias("chapter"))
+    known = chapters.select("book", "chapter", F.regexp_replace(F.lower("book"), "[^a-z0-9]+", "").alias("key"))
+    return known.join(read, ["key", "chapter"]).groupBy("book", "chapter").agg(F.min("file").alias("file"))

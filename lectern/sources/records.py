@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.functions.text import credited, source_note, split_lead, split_ref
+
 #: Place of a page that names none.
 LAST = 999
 FACT = r"^\*\s*([A-Za-z]+)\s*:\s*(.+)$"
@@ -156,17 +158,15 @@ def essays(lines: DataFrame) -> DataFrame:
     first = F.coalesce(_count(F.col("h2").isNotNull() | F.col("block_line")).over(_before()), F.lit(0)) == 0
     own = own.withColumn("part", _count(F.col("h2").isNotNull() | (F.col("block_line") & first)).over(_upto())).withColumn("nth", _count(F.col("block_line")).over(_upto()))
     shown = F.when(summary, _trim(F.regexp_replace(F.regexp_extract("line", "^<summary>(.*)</summary>$", 1), r"\s*<em>\(.*?\)</em>\s*$", "")))
-    credit, source = r"^(.*)\s+—\s+(.+)$", "^(.*[.!?”\"'’])\\s+\\(([^)]+)\\)$"
     said = F.col("line").rlike("^>")
     words = _trim(F.regexp_replace("line", r"^>\s?", ""))
-    bare, cited = F.regexp_extract(words, source, 1), F.regexp_extract(words, source, 2)
     none = F.lit(None).cast("string")
-    piece = F.when(said, F.struct(F.lit("said").alias("kind"), F.when(words.rlike(source), _trim(bare)).otherwise(words).alias("text"), _trim(cited).alias("source"))).otherwise(F.struct(F.lit("note").alias("kind"), F.col("line").alias("text"), none.alias("source")))
+    piece = F.when(said, F.struct(F.lit("said").alias("kind"), source_note(words)["text"].alias("text"), source_note(words)["source"].alias("source"))).otherwise(F.struct(F.lit("note").alias("kind"), F.col("line").alias("text"), none.alias("source")))
     within = F.col("quoting") & ~opens & ~closes & ~head & ~summary
     own = own.withColumn("shown", shown).withColumn("piece", F.when(within, piece)).withColumn("plain", F.when(F.col("block_line") & ~opens, F.col("line"))).withColumn("opens", opens)
     blocks = own.where("part > 0").groupBy("file", "part", "nth").agg(F.max("opens").alias("quote"), F.max("block_line").alias("is_block"), _last(F.col("plain")).alias("plain"), _last(F.col("shown")).alias("shown"), _ordered(F.col("piece")).alias("pieces")).where("is_block")
-    text = F.when(~F.col("quote"), F.col("plain")).when(F.col("shown").rlike(credit), _trim(F.regexp_extract("shown", credit, 1))).otherwise(F.coalesce("shown", F.lit("")))
-    who = F.when(F.col("quote"), F.coalesce(_trim(F.regexp_extract("shown", credit, 2)), F.lit("")))
+    shown = credited(F.coalesce("shown", F.lit("")))
+    text, who = F.when(F.col("quote"), shown["text"]).otherwise(F.col("plain")), F.when(F.col("quote"), shown["who"])
     block = F.struct(F.col("nth"), F.when(F.col("quote"), "quote").otherwise("text").alias("kind"), text.alias("text"), who.alias("who"), F.col("pieces").alias("parts"))
     strip = lambda b: F.struct(*[b[c].alias(c) for c in ("kind", "text", "who", "parts")])
     filled = blocks.groupBy("file", "part").agg(F.transform(F.array_sort(F.collect_list(block)), strip).alias("blocks"))
@@ -199,15 +199,13 @@ def prophets(lines: DataFrame) -> DataFrame:
     bullet = r"^[*-]\s+(.+)$"
     text = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", bullet, 1), r"\*\*(.+?)\*\*", "$1"), "`([^`]+)`", "$1")
     held = own.where(F.col("h1").isNull() & F.col("h2").isNull() & F.col("line").rlike(bullet) & (F.col("key") != "")).withColumn("text", text)
-    cite, lead = r"^(.*?)\s*\(([^()]*\d[^()]*)\)\s*(?:—\s*(.+))?$", r"(?s)^([^:]{2,60}):\s+(.+)$"
-    is_cite, is_lead = F.col("text").rlike(cite), F.col("text").rlike(lead)
-    got = lambda test, pattern, n: F.when(test, F.nullif(_trim(F.regexp_extract("text", pattern, n)), F.lit("")))
-    unquoted = _trim(F.regexp_replace(F.when(is_cite, _trim(F.regexp_extract("text", cite, 1))).otherwise(_trim(F.col("text"))), '^["“]|["”]$', ""))
+    cited, led = split_ref(F.col("text")), split_lead(F.col("text"))
+    unquoted = _trim(F.regexp_replace(cited["text"], '^["“]|["”]$', ""))
     at = lambda key, value: F.when(F.col("key") == key, value)
     rows = held.groupBy("file", "nth").agg(
-        _ordered(at("quotes", F.struct(unquoted.alias("text"), got(is_cite, cite, 2).alias("ref"), got(is_cite, cite, 3).alias("said")))).alias("quotes"),
+        _ordered(at("quotes", F.struct(unquoted.alias("text"), cited["ref"].alias("ref"), cited["said"].alias("said")))).alias("quotes"),
         *[_ordered(at(k, F.col("text"))).alias(k) for k in ("roles", "teachings", "chapters")],
-        _ordered(at("timeline", F.struct(got(is_lead, lead, 1).alias("lead"), F.when(is_lead, _trim(F.regexp_extract("text", lead, 2))).otherwise(F.col("text")).alias("rest")))).alias("timeline"),
+        _ordered(at("timeline", led)).alias("timeline"),
     )
     names = own.where("h1 is not null").select("file", "nth", F.col("h1").alias("name"))
     return names.join(rows, ["file", "nth"])
