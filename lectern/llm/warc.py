@@ -223,4 +223,6 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     again = revisits.select(F.col("page").cast(kind).alias("page_id"), F.col("digest").alias("payload_digest"), F.col("refers_to").cast(kind).alias("refers_to"))
     sizes = back.join(again.select("payload_digest").distinct(), "payload_digest", "left_semi").dropDuplicates(["payload_digest"]).select("payload_digest", "payload_bytes")
     out = back.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(kind))
-    return out.unionByName(again.join(sizes, "payload_digest").withColumn("record_type", F.lit("revisit")).select(*out.columns))
+    # Many pages may have one payload: they are dealt over tasks.
+    told = staging.join_skewed(again, sizes, ["payload_digest"], staging.heavy_rows(again, ["payload_digest"]))
+    return out.unionByName(told.withColumn("record_type", F.lit("revisit")).select(*out.columns))
