@@ -29,6 +29,8 @@ from .textkit import LOWER, WORD, chunks, mix, prefix_hash, span_hash, spans, te
 LABELLED = 6000
 #: Rounds, documents that a view passes on in each, and how sure it must be of them.
 ROUNDS, PASSED, SURE = 4, 400, 0.95
+#: Deals of each view's and label's surest rows, so that no task ranks those of all tasks.
+DEALS = 64
 #: Buckets of the hashed words, sources, languages and lengths.
 WORDS, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
 #: Byte classes: upper case, lower case, digit, blank, line feed, sentence mark, other mark, beyond ASCII.
@@ -183,8 +185,10 @@ def _exchange(rows: DataFrame, sure: float) -> Surest:
 
     def surest(models, scales, taken, wanted):
         told = rows.mapInArrow(lambda it: _confident(it, models, scales, taken, wanted, sure), "view bigint, label bigint, certain double, key bigint")
-        nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certain"), "key"))
-        best = told.distinct().withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("label") == 1, wanted[0]).otherwise(wanted[1]))
+        nth = lambda *by: F.row_number().over(Window.partitionBy("view", "label", *by).orderBy(F.desc("certain"), "key"))
+        # Every task gives its surest; first the surest of each deal are kept, then those of all deals, few by then.
+        dealt = told.distinct().withColumn("deal", F.pmod("key", F.lit(DEALS))).withColumn("nth", nth("deal")).where(F.col("nth") <= max(wanted)).drop("deal", "nth")
+        best = dealt.withColumn("nth", nth()).where(F.col("nth") <= F.when(F.col("label") == 1, wanted[0]).otherwise(wanted[1]))
         picked = best.groupBy("key").agg(F.max(F.struct("certain", "view", "label")).alias("p")).select("key", "p.view", "p.label")
         picked = staging.stage(picked, "picked")  # at most 2 * PASSED rows and two
         found = rows.join(F.broadcast(picked), "key").groupBy("key").agg(F.first("view").alias("view"), F.first("label").alias("label"), F.min_by("content", "meta").alias("content"), F.min("meta").alias("meta")).orderBy("key").toArrow()
