@@ -95,10 +95,15 @@ def join_bounded(left: DataFrame, right: DataFrame, key: str, rows: int, bound:
     return left.withColumn("__salt", spread).join(salted, [key, "__salt"], how).drop("__salt")
 
 
-def join_found(texts: DataFrame, found: DataFrame, bound: int = 100_000) -> DataFrame:
-    """Texts of the documents in ``found``, on ``key``: by broadcast while few were found, else by shuffle."""
-    few = found.limit(bound + 1).count() <= bound
-    return texts.join(F.broadcast(found) if few else found, "key")
+#: Rows, and entries of their lists, up to which what was found is broadcast.
+FOUND_ROWS, FOUND_ENTRIES = 100_000, 1_000_000
+
+
+def join_found(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts of the documents in ``found``, on ``key``: by broadcast while few were found and their lists are short in all, else by shuffle."""
+    entries = sum((F.coalesce(F.size(f.name), F.lit(0)) for f in found.schema if f.dataType.typeName() == "array"), F.lit(0))
+    rows, total = found.limit(FOUND_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(entries), F.lit(0))).first()
+    return texts.join(F.broadcast(found) if rows <= FOUND_ROWS and total <= FOUND_ENTRIES else found, "key")
 
 
 #: Rows that make a key heavy, the heaviest keys that are dealt out anew, and the tasks over which each is dealt.

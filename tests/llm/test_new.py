@@ -196,3 +196,28 @@ def test_new_queries_by_sql(spark, duck, name):
     ours, theirs = getattr(queries, name)(spark, SMALL).toPandas(), duck.execute(queries.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours) == rows_of(theirs)
+
+
+def test_pages_of_one_payload_are_dealt(spark, tmp_path, monkeypatch):
+    """Most pages with one payload, dealt over tasks on both ways, as well as repeated rows and a null id."""
+    from lectern.llm import staging, warc
+
+    rows = [(i, f"http://h/{i}", "the same page" if i % 4 else f"page {i}") for i in range(60)] + [(7, "http://h/7", "the same page"), (None, "http://h/x", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, warc.round_trip(table, str(tmp_path / "a")).collect()))
+    monkeypatch.setattr(staging, "LIGHT", 2)
+    monkeypatch.setattr(staging, "FEW", 0)
+    assert sorted(map(str, warc.round_trip(table, str(tmp_path / "b")).collect())) == want and len(want) == len(rows)
+
+
+@pytest.mark.parametrize("rows, entries", [(100_000, 1_000_000), (100_000, 5), (2, 1_000_000)])
+def test_found_is_broadcast_only_if_short(spark, monkeypatch, rows, entries):
+    from lectern.llm import staging
+
+    monkeypatch.setattr(staging, "FOUND_ROWS", rows)
+    monkeypatch.setattr(staging, "FOUND_ENTRIES", entries)
+    texts = spark.createDataFrame([(k, f"t{k}") for k in range(9)], "key long, text string")
+    found = staging.stage(spark.createDataFrame([(k, [1] * k) for k in range(4)], "key long, found array<int>"), "found")
+    both = staging.join_found(texts, found)
+    assert sorted((r["key"], len(r["found"])) for r in both.collect()) == [(k, k) for k in range(4)]
+    assert ("BroadcastHashJoin" in both._jdf.queryExecution().optimizedPlan().toString() or "strategy=broadcast" in both._jdf.queryExecution().optimizedPlan().toString()) == (rows > 3 and entries > 6)
