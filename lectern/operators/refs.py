@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions.text import norm_book, norm_reference
 
+from .joins import look_up
+
 # Books in order with their volume, number of chapters and aliases.
 BOOKS = [
     ("Genesis", "ot", 50, []),
@@ -233,6 +235,13 @@ def parse_citations(rows: DataFrame, key: str, text: str) -> DataFrame:
     return out.where("book is not null and chapter is not null").select(key, "at", "book", "chapter", verses.alias("verses"))
 
 
+def valid(rows: DataFrame, chapters: DataFrame, into: str = "valid") -> DataFrame:
+    """Rows (book, chapter, verse) and whether there is that verse; no verse asks for the chapter alone.  ``chapters`` are (book, chapter, verse_count)."""
+    known = chapters.groupBy("book", "chapter").agg(F.max("verse_count").alias("__n"))
+    told = look_up(rows, known, ["book", "chapter"], "left")
+    return told.withColumn(into, F.col("__n").isNotNull() & (F.col("verse").isNull() | F.coalesce(F.col("verse").between(1, F.col("__n")), F.lit(False)))).drop("__n")
+
+
 def chapter_refs(rows: DataFrame, key: str, spec: str) -> DataFrame:
     """A row for each chapter of ``Alma 5, 7, 12–13``: key, at, book, chapter, label; what names no book gives none."""
     form = r"^(.+?)\s+([\d\s,–—-]+)$"

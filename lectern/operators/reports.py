@@ -10,10 +10,25 @@ from .joins import look_up
 
 
 def coverage(expected: DataFrame, present: DataFrame, group: str, key: list[str]) -> DataFrame:
-    """Expected and matched keys of each group, percent and a bar of twenty cells."""
+    """Expected and matched keys of each group, percent to the nearest whole, and a bar of twenty cells, one for each five percent."""
     found = expected.join(present.select(*key).distinct().withColumn("__has", F.lit(1)), key, "left")
     counted = found.groupBy(group).agg(F.count(F.lit(1)).alias("expected"), F.count("__has").alias("matched"))
-    return counted.withColumn("percent", F.round(100.0 * F.col("matched") / F.col("expected"), 1)).withColumn("bar", F.rpad(F.repeat(F.lit("█"), F.floor(20 * F.col("matched") / F.col("expected")).cast("int")), 20, "·"))
+    percent = F.floor(100.0 * F.col("matched") / F.col("expected") + 0.5).cast("int")
+    return counted.withColumn("percent", percent).withColumn("bar", F.rpad(F.repeat(F.lit("█"), F.floor(F.col("percent") / 5.0 + 0.5).cast("int")), 20, "·"))
+
+
+def supplied(summaries: DataFrame, books: DataFrame) -> DataFrame:
+    """Summaries (book, chapter as text, text) with what is wrong with each: ``unknown`` book, ``range``, ``empty``, or null; volume_id of known books.
+
+    ``books`` are (book, volume_id, chapters).  A chapter that is no whole
+    number of the book's is out of range; a text of blanks is empty.
+    """
+    number = F.when(F.col("chapter").rlike(r"^\s*[0-9]+\s*$"), F.trim("chapter").try_cast("int"))
+    told = look_up(summaries, books.select("book", "volume_id", "chapters"), ["book"], "left")
+    fits = F.coalesce(number.between(1, F.col("chapters")), F.lit(False))
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"(?U)\S")
+    wrong = F.when(F.col("chapters").isNull(), "unknown").when(~fits, "range").when(blank, "empty")
+    return told.withColumn("wrong", wrong).drop("chapters")
 
 
 def gaps(expected: DataFrame, placed: DataFrame, key: list[str]) -> DataFrame:

@@ -51,7 +51,10 @@ def runs(spark, sf_dir):
     return dims.runs(_stops(spark, sf_dir)).select("volume_id", "run", "book", "first", "last", "stops", "date_label")
 
 
-@query()
+@query("with recursive " + _UNITS + """, g as (select volume_id, book, count(*) n, row_number() over (partition by volume_id order by book_pos) i from c group by volume_id, book, book_pos),
+r as (select volume_id, book, i, 0 band, case when n >= 3 then 3 else 1 end held from g where i = 1
+union all select g.volume_id, g.book, g.i, r.band + case when n >= 3 or held >= 3 then 1 else 0 end, case when n >= 3 then 3 when held >= 3 then 1 else held + 1 end from r join g on g.volume_id is not distinct from r.volume_id and g.i = r.i + 1)
+select volume_id, book, cast(band as int) band from r""")
 def bands(spark, sf_dir):
     own, _, _ = _dims(spark, sf_dir)
     return dims.bands(own.groupBy("volume_id", "book_pos", "book").agg(F.count(F.lit(1)).cast("int").alias("n")))
@@ -112,10 +115,11 @@ def segments_roundtrip(spark, sf_dir):
     return cut.select("unit", "verse", F.md5(F.array_join(F.col("s.text"), "")).alias("joined"), F.size("s").cast("long").alias("n"))
 
 
-@query("select volume_id, expected, matched, round(100.0 * matched / expected, 1) percent from (select lang volume_id, count(*) expected, count(l.doc_id) matched from documents d left join (select distinct doc_id from labels) l using (doc_id) group by lang) q")
+@query("""with q as (select lang volume_id, count(*) expected, count(l.doc_id) matched, cast(floor(100.0 * count(l.doc_id) / count(*) + 0.5) as int) percent from documents d left join (select distinct doc_id from labels) l using (doc_id) group by lang)
+select *, rpad(repeat('█', cast(floor(percent / 5.0 + 0.5) as int)), 20, '·') bar from q""")
 def coverage_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("volume_id"), "doc_id")
-    return reports.coverage(docs, table(spark, sf_dir, "labels"), "volume_id", ["doc_id"]).drop("bar")
+    return reports.coverage(docs, table(spark, sf_dir, "labels"), "volume_id", ["doc_id"])
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.text import credited, source_note, split_lead, split_ref
+from lectern.functions.text import credited, source_note, split_lead, split_ref, split_title
 
 #: Place of a page that names none.
 LAST = 999
@@ -209,3 +209,26 @@ def prophets(lines: DataFrame) -> DataFrame:
     )
     names = own.where("h1 is not null").select("file", "nth", F.col("h1").alias("name"))
     return names.join(rows, ["file", "nth"])
+
+
+def samples(evidence: DataFrame) -> DataFrame:
+    """What stands for each form of evidences: slug, nth, form, lines (text, ref), ref, one_quote.
+
+    A ladder shows four rungs of its first group with the reference of its
+    title, a chart two items of its first group that has several, else of its
+    first, a wordplay the first item of its first group, the others their first
+    item.  A form without any gives nothing.
+    """
+    forms = evidence.select("slug", F.posexplode("forms").alias("nth", "f"))
+    group, item = F.get("f.groups", F.lit(0)), lambda items: F.transform(items, lambda i: F.struct(i["text"].alias("text"), i["ref"].alias("ref")))
+    several = F.coalesce(F.get(F.filter("f.groups", lambda g: F.size(g["items"]) > 1), F.lit(0)), group)
+    none = F.lit(None).cast("string")
+    lines = (
+        F.when(F.col("f.form") == "ladder", F.transform(F.slice(group["lines"], 1, 4), lambda t: F.struct(t.alias("text"), none.alias("ref"))))
+        .when(F.col("f.form") == "tchart", item(F.slice(several["items"], 1, 2)))
+        .when(F.col("f.form") == "wordplay", item(F.slice(group["items"], 1, 1)))
+        .otherwise(item(F.slice("f.items", 1, 1)))
+    )
+    ladder = F.col("f.form") == "ladder"
+    shown = forms.where(group.isNotNull() | ~F.col("f.form").isin("ladder", "tchart")).select("slug", "nth", F.col("f.form").alias("form"), lines.alias("lines"), F.when(ladder, split_title(group["title"])["ref"]).alias("ref"), ladder.alias("one_quote"))
+    return shown.where(F.col("form").isin("ladder", "tchart") | (F.size("lines") > 0))
