@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions.text import norm_book, norm_reference
+from lectern.sources.stored import staged
 
 from .joins import look_up
 
@@ -308,12 +309,13 @@ def _meant(book: Column, q: Column) -> Column:
 def meant_books(rows: DataFrame, typed: str) -> DataFrame:
     """Rows with ``books``, the names of the books that their typed beginning may mean, in order.
 
-    The books are a list within the expression, so that no table is joined.
+    The books are a list within the expression; each distinct text is asked once.
     """
     none = F.array().cast("array<string>")
     known = F.array(*[F.struct(F.lit(b).alias("book"), norm_reference(F.lit(b)).alias("n"), (F.array(*map(F.lit, a)) if a else none).alias("aliases")) for _, b, _, _, a in book_rows()])
     q = norm_reference(F.col(typed))
-    return rows.withColumn("books", F.transform(F.filter(known, lambda b: _meant(b, q)), lambda b: b["book"]))
+    asked = staged(rows.select(typed).where(F.col(typed).isNotNull()).distinct().withColumn("books", F.transform(F.filter(known, lambda b: _meant(b, q)), lambda b: b["book"])), "asked")
+    return look_up(rows, asked, [typed], "left").withColumn("books", F.coalesce("books", none))
 
 
 def suggestions(dim: DataFrame, chapters: DataFrame, typed: str, size: int = 8) -> DataFrame:
