@@ -51,6 +51,21 @@ def test_search_on_the_stored_index(spark, tmp_path):
     assert search.ranked(search.search(spark, path, "faith works"), size=1, page=1).first()["unit"] == 3
 
 
+def test_snippets_of_any_text():
+    """A window of the width around the first hit, cut where it ends; joined it is the text."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    for _ in range(300):
+        text = " ".join(rng.choice(["faith", "works", "FAITH's", "a", "and", "unfaithful"]) for _ in range(rng.randrange(30)))
+        runs = [(r["text"], r["hit"]) for r in search._marked(re, text, {"faith", "faiths"}, 40, 15)]
+        hits = [m.start() for m in re.finditer(r"(?i)\bfaith('s)?(?![a-z'])", text)]
+        begin = max(0, hits[0] - 15) if hits else 0
+        assert "".join(t for t, _ in runs) == "…" * (begin > 0) + text[begin : begin + 40] + "…" * (begin + 40 < len(text))
+        assert sum(h for _, h in runs) == sum(begin - 1 < h < begin + 40 for h in hits)
+
+
 def test_osa_is_restricted():
     assert search.osa("atnoement", "atonement") == 1
     assert search.osa("ca", "abc") == 3
