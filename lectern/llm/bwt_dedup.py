@@ -287,7 +287,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     counted = staging.join_skewed(kinds, different, ["anchor"], staging.heavy_keys(different, ["anchor"], "different"))
     listed = F.collect_list(F.struct("anchor", "content", "times", "different", F.col("r.first").alias("first"), F.col("r.last").alias("last"), F.col("r.at").alias("at")))
     per_doc = staging.stage(counted.groupBy(F.col("r.key").alias("key")).agg(listed.alias("found")), "per-doc")
-    one_each = staging.join_found(texts, per_doc).select("text", "found")
+    # Most texts share something with another: a join by shuffle at any size.
+    one_each = texts.join(per_doc, "key").select("text", "found")
     pieces = staging.stage(one_each.mapInArrow(lambda it: _cut(it, length), "anchor bigint, content bigint, times bigint, different bigint, at int, bytes binary"), "pieces").dropDuplicates(["anchor", "content"])
 
     buckets = max(1, kinds.count() // BUCKET)
