@@ -6,10 +6,17 @@ them.  A file is one window partition; files are pages of prose, so that bounds
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.text import facet, norm, split_lead, split_title, year_heading
+from lectern.functions.text import norm, split_lead, split_title, year_heading
 from lectern.operators.dims import range_explode
+from lectern.operators.joins import look_up
+from lectern.operators.refs import resolved
+
+
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
 
 def _order():
     return Window.partitionBy("file").orderBy("line_no")
@@ -24,44 +31,98 @@ def headed(lines: DataFrame, stop: str | None = None) -> DataFrame:
     return out.where(~F.col("line").rlike(r"^#{1,3}\s"))
 
 
-def pipe_rows(lines: DataFrame, stop: str | None = None) -> DataFrame:
-    """Cells of the pipe tables with their heading; rules and header rows (no digit in the first cell, none bold) go."""
-    rows = headed(lines, stop).where(F.col("line").rlike(r"^\s*\|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    return rows.withColumn("cells", cells).where(F.col("cells")[0].rlike(r"\d|\*\*")).select("file", "line_no", "heading", "cells")
+def _latest(rows: DataFrame, key: list[str], *values: str) -> DataFrame:
+    """One row for each key: the values of its last line."""
+    last = F.max_by(F.struct(*values), F.struct("file", "line_no"))
+    return rows.groupBy(*key).agg(last.alias("__v")).select(*key, "__v.*")
+
+
+def pipe_rows(lines: DataFrame, piped: bool = True) -> DataFrame:
+    """Cells of the rows of tables under a ``##`` heading: file, line_no, heading, book, cells, begun, newest.
+
+    A row begins with a pipe; ``piped=False`` takes any line with one.  ``book``
+    is the heading's key, ``begun`` the line of the heading, ``newest`` that of
+    the last heading in the file with the same key.
+    """
+    own = lines.select("file", "line_no", _trim(F.col("line")).alias("line"))
+    head = F.when(F.col("line").rlike(r"^##\s+.+$"), _trim(F.regexp_extract("line", r"^##\s+(.+)$", 1)))
+    own = own.withColumn("own", head).withColumn("heading", F.last("own", True).over(_order()))
+    own = own.withColumn("book", norm(F.col("heading"))).withColumn("begun", F.last(F.when(F.col("own").isNotNull(), F.col("line_no")), True).over(_order()))
+    own = own.withColumn("newest", F.max("begun").over(Window.partitionBy("file", "book")))
+    cells = F.transform(F.split("line", r"\|", -1), _trim)
+    cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
+    rows = own.where(F.col("heading").isNotNull() & F.col("own").isNull() & (F.col("line").startswith("|") if piped else F.col("line").contains("|"))).withColumn("cells", cells)
+    ended = F.when(F.try_element_at("cells", F.lit(-1)) == "", F.slice("cells", F.lit(1), F.greatest(F.size("cells") - 1, F.lit(0)))).otherwise(F.col("cells"))
+    return rows.select("file", "line_no", "heading", "book", ended.alias("cells"), "begun", "newest")
+
+
+def _cell(n: int) -> Column:
+    """A row's cell, null where it is empty or absent."""
+    return F.nullif(F.get("cells", F.lit(n)), F.lit(""))
+
+
+def _chapter(text: Column) -> Column:
+    return F.when(text.rlike(r"^\d{1,9}$"), text).try_cast("int")
 
 
 def captions(lines: DataFrame) -> DataFrame:
-    """``| Ch | Caption | Section |`` under the book's heading; the section may be absent."""
-    r = pipe_rows(lines)
-    section = F.get("cells", F.lit(2))
-    return r.select("file", norm(F.col("heading")).alias("book"), F.col("cells")[0].try_cast("int").alias("chapter"), F.get("cells", F.lit(1)).alias("caption"), F.when(section != "", section).alias("section")).where("chapter is not null")
+    """``| Ch | Caption | Section |`` under a book's heading: book, chapter, caption (may be empty), section (null: none).
+
+    Within a file the last table of a book counts, among files the last one that
+    has the chapter.
+    """
+    rows = pipe_rows(lines, piped=False).select("*", _chapter(_cell(0)).alias("chapter"), F.coalesce(_cell(1), F.lit("")).alias("caption"), _cell(2).alias("section")).where("chapter is not null")
+    last = rows.withColumn("newest", F.max("begun").over(Window.partitionBy("file", "book"))).where("begun = newest")
+    return _latest(last, ["book", "chapter"], "caption", "section")
 
 
 def dates(lines: DataFrame) -> DataFrame:
-    """``| 2–3 | … |``: a row for each chapter of the range."""
-    r = pipe_rows(lines).select("file", norm(F.col("heading")).alias("book"), F.col("cells")[0].alias("spec"), F.get("cells", F.lit(1)).alias("date_label"))
-    return range_explode(r, "spec").drop("spec")
+    """``| 2–3 | … |``: file, book, chapter, date_label for each chapter of the run; a book's last heading in a file, and of a chapter the last row, count."""
+    rows = pipe_rows(lines).where("begun = newest").select("file", "line_no", "book", _cell(0).alias("spec"), _cell(1).alias("date_label"))
+    runs = rows.where(F.col("spec").rlike(r"^\d{1,9}(\s*[–—-]\s*\d{1,9})?$") & F.col("date_label").isNotNull())
+    return _latest(range_explode(runs, "spec"), ["file", "book", "chapter"], "date_label")
+
+
+def _voiced(lines: DataFrame) -> DataFrame:
+    past = F.max(F.col("line").contains("## Judgment calls")).over(_order())
+    rows = pipe_rows(lines.withColumn("__past", past).where(~F.col("__past")).drop("__past")).withColumn("at", _cell(0)).withColumn("voice", _cell(1)).where("voice is not null")
+    form = r"^(.*?)\s+(\d{1,9})$"
+    alone = F.col("at").rlike(r"^\d{1,9}$")
+    return rows.where(alone | F.col("at").rlike(form)).select(
+        "file", "line_no", F.when(alone, F.col("book")).otherwise(norm(F.regexp_extract("at", form, 1))).alias("book"), F.when(alone, _chapter(F.col("at"))).otherwise(F.regexp_extract("at", form, 2).try_cast("int")).alias("chapter"), "voice"
+    )
 
 
 def voices(lines: DataFrame) -> DataFrame:
-    """``| 5 | Name |`` or ``| Book 1 | Name |``, up to the heading of judgment calls, with first-seen position."""
-    r = pipe_rows(lines, r"^##\s+Judgment calls")
-    named = F.regexp_extract(F.col("cells")[0], r"^(.*?)\s*\d+$", 1)
-    return r.select("file", norm(F.when(named != "", named).otherwise(F.col("heading"))).alias("book"), F.regexp_extract(F.col("cells")[0], r"(\d+)$", 1).try_cast("int").alias("chapter"), F.get("cells", F.lit(1)).alias("voice"), F.col("line_no").alias("pos"))
+    """``| 5 | Name |`` or ``| Book 1 | Name |``, up to the heading of judgment calls: file, book, chapter, voice, pos; of a chapter the last row counts."""
+    return _latest(_voiced(lines).withColumn("pos", F.col("line_no")), ["file", "book", "chapter"], "voice", "pos")
+
+
+def voices_in_order(lines: DataFrame) -> DataFrame:
+    """The voices of each file where they are first named: file, voice, pos."""
+    return _voiced(lines).groupBy("file", "voice").agg(F.min("line_no").alias("pos"))
 
 
 def categories(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """``| 8 | Category |`` of the known categories (name, …); others go."""
-    r = pipe_rows(lines).select("file", norm(F.col("heading")).alias("book"), F.col("cells")[0].try_cast("int").alias("chapter"), F.get("cells", F.lit(1)).alias("name"))
-    return r.join(F.broadcast(known), "name")
+    """``| 8 | Category |``: file, line_no, book, chapter and the columns of ``known`` (name, …), whose names are met by their keys; others go.
+
+    A book's last heading in a file counts, and there every row.
+    """
+    rows = pipe_rows(lines).where("begun = newest").select("file", "line_no", "book", _chapter(_cell(0)).alias("chapter"), norm(_cell(1)).alias("__key")).where("chapter is not null")
+    return look_up(rows, known.withColumn("__key", norm(F.col("name"))), ["__key"]).drop("__key")
 
 
 def related(lines: DataFrame) -> DataFrame:
-    """``| **Book 12–14** | A · B |``: labels for each chapter."""
-    r = pipe_rows(lines).withColumn("source", F.regexp_extract(F.col("cells")[0], r"\*\*(.+?)\*\*", 1))
-    both = r.select("file", norm(F.regexp_extract("source", r"^(.*?)\s*\d+(?:[–-]\d+)?$", 1)).alias("book"), F.regexp_extract("source", r"(\d+(?:[–-]\d+)?)$", 1).alias("spec"), F.split(facet(F.get("cells", F.lit(1))), " · ").alias("labels"))
-    return range_explode(both, "spec").drop("spec")
+    """``| **Book 12–14** | A · B |``: book, chapter, labels for each chapter of the run; of a chapter the last row of the last file counts.
+
+    ``book`` is the key of the book that the spelling names, else of the spelling itself.
+    """
+    form, run = r"^\|\s*\*\*(.+?)\*\*\s*\|\s*(.+?)\s*\|$", r"^(.+?)\s+(\d{1,9}(?:\s*[–—-]\s*\d{1,9})?)$"
+    own = lines.select("file", "line_no", _trim(F.col("line")).alias("line")).where(F.col("line").rlike(form))
+    cut = own.select("file", "line_no", _trim(F.regexp_extract("line", form, 1)).alias("of"), F.filter(F.transform(F.split(F.regexp_extract("line", form, 2), "·", -1), _trim), lambda x: x != "").alias("labels"))
+    named = cut.where(F.col("of").rlike(run) & (F.size("labels") > 0)).withColumn("raw", F.regexp_extract("of", run, 1)).withColumn("spec", F.regexp_extract("of", run, 2))
+    keyed = resolved(named, "raw", "known").withColumn("book", norm(F.coalesce("known", "raw")))
+    return _latest(range_explode(keyed, "spec"), ["book", "chapter"], "labels")
 
 
 def facts(lines: DataFrame) -> DataFrame:
@@ -87,6 +148,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def figures(lines: DataFrame) -> DataFrame:
-    """``# 1830 · Name`` pages: year, name, and the facts below as a map."""
-    told = facts(lines).groupBy("file", "title").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("facts"))
-    return told.select("file", year_heading(F.col("title")).alias("h"), "facts").select("file", "h.year", "h.name", "facts")
+    """``# 1830 · Name`` pages: year, name, and the facts below as a map; of equal facts the last counts.  See ``records.figures`` for whole ones."""
+    told = facts(lines).groupBy("file", "title", "key").agg(F.max_by("value", "line_no").alias("value"))
+    mapped = told.groupBy("file", "title").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("facts"))
+    return mapped.select("file", year_heading(F.col("title")).alias("h"), "facts").select("file", "h.year", "h.name", "facts")

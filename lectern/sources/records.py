@@ -1,4 +1,4 @@
-"""Written pages as nested records, one a page: charts, evidences, essays and prophets.
+"""Written pages as nested records, one a page: charts, evidences, essays, prophets, shelves of works and figures.
 
 Lines come as ``corpus.read_markdown`` gives them (file, line_no, line).  What a
 line means depends on the lines above it; that state is carried by windows over a
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.text import credited, source_note, split_lead, split_ref, split_title
+from lectern.functions.text import credited, source_note, split_lead, split_ref, split_title, year_heading
 
 #: Place of a page that names none.
 LAST = 999
@@ -211,6 +211,45 @@ def prophets(lines: DataFrame) -> DataFrame:
     return names.join(rows, ["file", "nth"])
 
 
+def resources(lines: DataFrame) -> DataFrame:
+    """Shelves of works: slug, shelves of (title, works of (title, author, detail, cover, links of (label, href), body)).
+
+    ``##`` opens a shelf, ``###`` a work on it; what stands outside a work goes, as
+    do shelves without one and links that lead nowhere.  Links may repeat, of the
+    other facts the last counts.  A file without a work gives no row.
+    """
+    own = _with_facts(_lines(lines), "author detail cover link")
+    own = own.withColumn("shelf", _count(F.col("h2").isNotNull()).over(_upto()))
+    title = F.when(F.col("line").rlike(r"^###\s+.+$") & (F.col("shelf") > 0), _trim(F.regexp_extract("line", r"^###\s+(.+)$", 1)))
+    own = own.withColumn("title", title).withColumn("work", F.coalesce(_count(F.col("title").isNotNull()).over(_upto("shelf")), F.lit(0)))
+    pieces = F.transform(F.split("value", r"\|", -1), _trim)
+    link = F.when((F.col("key") == "link") & (F.get(pieces, F.lit(1)) != ""), F.struct(F.get(pieces, F.lit(0)).alias("label"), F.get(pieces, F.lit(1)).alias("href")))
+    body = F.when(F.col("title").isNull() & F.col("key").isNull() & (F.col("line") != ""), F.col("line"))
+    own = own.withColumns({"link": link, "body": body})
+    works = own.where("shelf > 0 and work > 0").groupBy("file", "slug", "shelf", "work").agg(
+        _last(F.col("title")).alias("title"), *[F.coalesce(_last(_fact(k)), F.lit("")).alias(k) for k in ("author", "detail", "cover")], _ordered(F.col("link")).alias("links"), F.array_join(_ordered(F.col("body")), " ").alias("body")
+    )
+    fields = ["title", "author", "detail", "cover", "links", "body"]
+    shelved = works.groupBy("file", "slug", "shelf").agg(F.transform(F.array_sort(F.collect_list(F.struct("work", *fields))), lambda w: F.struct(*[w[c].alias(c) for c in fields])).alias("works"))
+    named = own.where("h2 is not null").select("file", "shelf", F.col("h2").alias("title")).join(shelved, ["file", "shelf"])
+    return named.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("shelf", "title", "works"))), lambda s: F.struct(s["title"].alias("title"), s["works"].alias("works"))).alias("shelves"))
+
+
+def figures(lines: DataFrame) -> DataFrame:
+    """Figures: file, nth, year, name, years, role, image, body.
+
+    ``# 1830 · Name`` opens one, any other ``#`` heading ends it; rules go.  One
+    without a body is none.  ``nth`` counts the file's headings.
+    """
+    own = _with_facts(_lines(lines), "years role image").withColumn("nth", _count(F.col("h1").isNotNull()).over(_upto())).where("nth > 0")
+    own = own.withColumn("h", year_heading(F.col("h1")))
+    body = F.when(F.col("h1").isNull() & F.col("key").isNull() & (F.col("line") != "---"), F.col("line"))
+    told = own.groupBy("file", "nth").agg(
+        F.max("h.year").alias("year"), F.max("h.name").alias("name"), *[F.coalesce(_last(_fact(k)), F.lit("")).alias(k) for k in ("years", "role", "image")], _trim(F.array_join(_ordered(body), "\n")).alias("body")
+    )
+    return told.where("year is not null and name is not null and body <> ''")
+
+
 def samples(evidence: DataFrame) -> DataFrame:
     """What stands for each form of evidences: slug, nth, form, lines (text, ref), ref, one_quote.
 

@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from lectern.plans import page_queries, record_queries, reference_queries, repair_queries, scan_queries, search_queries, sink_queries, study_queries, text_queries  # noqa: F401
+from lectern.plans import dialect_queries, page_queries, record_queries, reference_queries, repair_queries, scan_queries, search_queries, sink_queries, study_queries, text_queries  # noqa: F401
 from lectern.plans.registry import ORACLES, QUERIES
 
 

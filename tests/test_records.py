@@ -1,4 +1,4 @@
-"""Pages of four dialects as nested records, traced by hand."""
+"""Pages of six dialects as nested records, traced by hand."""
 
 from lectern.sources import corpus, records
 
@@ -89,3 +89,20 @@ def test_prophets(spark, tmp_path):
         "Abinadi": {"file": "old.md", "nth": 2, "name": "Abinadi", "quotes": [{"text": "Now I say", "ref": "Mosiah 13:3–4", "said": "the Lord"}, {"text": "plain words", "ref": None, "said": None}], "roles": ["a prophet"], "teachings": [], "chapters": [], "timeline": [{"lead": "In the land", "rest": "he came (Mosiah 11:20)"}, {"lead": None, "rest": "went"}]},
         "Alma": {"file": "old.md", "nth": 3, "name": "Alma", "quotes": [], "roles": [], "teachings": ["faith"], "chapters": ["Alma 5"], "timeline": []},
     }
+
+
+def test_resources(spark, tmp_path):
+    md = "# File\nintro\n### No shelf yet\n## Empty\nlost\n## Books\nlost too\n### A Guide\n* Author: Ann\n* author: Bea\n* cover: a.jpg\n* link: Shop | http://a | more\n* link: Nowhere |\n* link: None\n* LINK: Two|http://b\n\nThe first\n  line.\n* hue: red\n#### deep\n###none\n### Bare\n## Books\n### Third\n"
+    got = {r["slug"]: _plain(r["shelves"]) for r in records.resources(_read(spark, tmp_path, nt=md, none="## Shelf\n")).collect()}
+    bare = lambda title: {"title": title, "author": "", "detail": "", "cover": "", "links": [], "body": ""}
+    guide = bare("A Guide") | {"author": "Bea", "cover": "a.jpg", "links": [{"label": "Shop", "href": "http://a"}, {"label": "Two", "href": "http://b"}], "body": "The first line. * hue: red #### deep ###none"}
+    assert got == {"nt": [{"title": "Books", "works": [guide, bare("Bare")]}, {"title": "Books", "works": [bare("Third")]}]}
+
+
+def test_figures(spark, tmp_path):
+    md = "lost\n# Those who came\nlost\n# 1830 · Ann Lee\n* Years: 1802–1895\n* role: scribe\n* role: printer\n* hue: red\n\nShe came.\n---\n## and\n\nwent.\n\n# 1831 - Bea\n* image: bea\n\n# 31 · Cy\nbody\n# 1830 | Di\nx\n"
+    got = [_plain(r) for r in records.figures(_read(spark, tmp_path, nt=md)).orderBy("nth").collect()]
+    assert got == [
+        {"file": "nt.md", "nth": 2, "year": 1830, "name": "Ann Lee", "years": "1802–1895", "role": "printer", "image": "", "body": "* hue: red\n\nShe came.\n## and\n\nwent."},
+        {"file": "nt.md", "nth": 5, "year": 1830, "name": "Di", "years": "", "role": "", "image": "", "body": "x"},
+    ]
