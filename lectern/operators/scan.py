@@ -6,7 +6,7 @@ a block belongs and what is a word, none of it is written out.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,7 +50,7 @@ MISSING, ABSENT = "[not legible in the page scan]", "[not in this edition]"
 # Blocks beyond a chapter's verses that are looked at; a run's least words and what its removal must gain.
 SPARE, LEAST, GAIN = 6, 4, 0.02
 
-#: Chapters that one task places in a row, and chapters before them that it places to find its first block.
+#: Chapters that a cursor lets wait before it places them.  ``WARM`` is no longer read; tests set it.
 SPLIT, WARM = 32, 2
 
 
@@ -248,64 +248,46 @@ def _chapters(guide: DataFrame) -> DataFrame:
     return look_up(places, first, ["volume"]).select("volume", "chapter", (F.col("place") - F.col("first")).alias("pos"), "n", (F.col("slot") - F.col("first_slot")).alias("before"))
 
 
-def _guesses(guide: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The block at which each split's first chapter seems to begin: volume, split, start.
+def _cursor(batches: Iterator[pd.DataFrame], spare: int, gap: float) -> Iterator[pd.DataFrame]:
+    """Slots with their blocks, from rows of both in the order of their volume: a chapter is placed as soon as all that it may see has come."""
+    columns = ["volume", "chapter", "verse", "block"]
+    volume, waiting, texts, at, seen, out = None, deque(), {}, 0, 0, []
 
-    Words that stand once in the volume's guide and once in its scan tell how
-    far the two have moved apart; the median of a split's first chapters, else
-    of all its chapters, moves its first verse.
-    """
-    word = lambda df, *at: df.select("volume", *at, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    alone = lambda df, at: df.groupBy("volume", "word").agg(F.count(F.lit(1)).alias("k"), F.first(at).alias(at)).where("k = 1").drop("k")
-    nth = F.row_number().over(Window.partitionBy("volume", "chapter").orderBy("verse")) - 1
-    placed = guide.withColumn("nth", nth).join(chapters, ["volume", "chapter"])
-    placed = placed.withColumn("spot", F.struct("pos", (F.col("before") + F.col("nth")).alias("at")))
-    shared = alone(word(placed, "spot"), "spot").join(alone(word(blocks, "block"), "block"), ["volume", "word"])
-    first = _split_of(chapters)
-    moved = shared.select("volume", "spot.pos", (F.col("block") - F.col("spot.at")).alias("moved"))
-    by_split = first.select("volume", "split", "pos", "before").join(moved, ["volume", "pos"], "left")
-    lead = F.min("pos").over(Window.partitionBy("volume", "split"))
-    near = by_split.withColumn("lead", lead).groupBy("volume", "split").agg(F.min("before").alias("before"), F.percentile_approx(F.when(F.col("pos") < F.col("lead") + 2, F.col("moved")), 0.5).alias("a"), F.percentile_approx("moved", 0.5).alias("b"))
-    return near.select("volume", "split", F.when(F.col("split") == 0, 0).otherwise(F.greatest(F.col("before") + F.coalesce("a", "b", F.lit(0)), F.lit(0))).cast("long").alias("start"))
-
-
-def _split_of(chapters: DataFrame, warm: bool = True) -> DataFrame:
-    """Chapters by split; the last of a split are also those with which the next one warms up."""
-    own = F.floor(F.col("pos") / SPLIT)
-    leads = F.array(F.struct(own.alias("split"), F.lit(False).alias("warm")))
-    if warm:
-        leads = F.when(F.col("pos") % SPLIT >= SPLIT - WARM, F.concat(leads, F.array(F.struct((own + 1).alias("split"), F.lit(True).alias("warm"))))).otherwise(leads)
-    return chapters.select("*", F.inline(leads))
-
-
-def _run(guide: DataFrame, chapters: DataFrame, blocks: DataFrame, starts: DataFrame, spare: int, gap: float) -> DataFrame:
-    """Splits placed from their starts: each chapter sees its verses and ``spare`` blocks more from where the one before it ended."""
-    own = chapters.join(starts, ["volume", "split"])
-    reach = own.groupBy("volume", "split").agg(F.first("start").alias("start"), F.sum(F.col("n") + spare).alias("reach"))
-    seen = reach.select("volume", "split", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("reach") - 1)).alias("block"))
-    near = seen.join(blocks.select("volume", F.col("block").cast("long").alias("block"), F.col("text").alias("b_text")), ["volume", "block"]).select(F.col("volume").alias("b_volume"), F.col("split").alias("b_split"), "block", "b_text")
-    slots = guide.select("volume", "chapter", "verse", "text").join(own.select("volume", "chapter", "split", "pos", "warm", "start"), ["volume", "chapter"])
-    fields = {f.name: f for f in slots.schema}
-    schema = T.StructType([fields["volume"], fields["chapter"], fields["verse"], fields["split"], *(T.StructField(c, T.LongType()) for c in ("block", "begin", "end"))])
-
-    def cursor(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left["warm"].all():  # also without any row
-            return pd.DataFrame(columns=[f.name for f in schema])
-        texts = dict(zip(right["block"], right["b_text"].fillna("")))
-        at, begin, out = int(left["start"].iloc[0]), None, []
-        for _, verses in left.sort_values(["pos", "verse"]).groupby("pos"):
+    def placed(whole: bool) -> None:
+        """Chapters that wait, without the last, which may have more verses to come, unless the volume is whole."""
+        nonlocal at
+        while waiting and (whole or (len(waiting) > 1 and at + len(waiting[0][1]) + spare <= seen)):
+            chapter, verses = waiting.popleft()
             window = []
             while len(window) < len(verses) + spare and at + len(window) in texts:
                 window.append(texts[at + len(window)])
-            got = align(verses["text"].fillna("").tolist(), window, gap)
-            warm = bool(verses["warm"].iloc[0])
-            if not warm:
-                begin = at if begin is None else begin
-                out.append(verses.assign(block=pd.array([at + j if j >= 0 else None for j in got], "Int64")))
-            at += max(got, default=-1) + 1
-        return pd.concat(out).assign(begin=begin, end=at)[[f.name for f in schema]]
-
-    return slots.groupBy("volume", "split").cogroup(near.groupBy("b_volume", "b_split")).applyInPandas(cursor, schema)
+            got = align([t for _, t in verses], window, gap)
+            out.extend((volume, chapter, v, at + j if j >= 0 else None) for (v, _), j in zip(verses, got))
+            for _ in range(max(got, default=-1) + 1):
+                del texts[at]
+                at += 1
+
+    frame = lambda: pd.DataFrame(out, columns=columns).astype({"block": "Int64"})
+    for b in batches:
+        for of, chapter, verse, block, text in zip(b["volume"], b["chapter"], b["verse"], b["block"].astype("Int64"), b["text"]):
+            if of != volume:
+                placed(True)
+                volume, waiting, texts, at, seen = of, deque(), {}, 0, 0
+            if block is not pd.NA:
+                if block >= at:
+                    texts[block] = text or ""
+                seen = block + 1
+            elif waiting and waiting[-1][0] == chapter:
+                waiting[-1][1].append((verse, text or ""))
+            else:
+                waiting.append((chapter, [(verse, text or "")]))
+                if len(waiting) > SPLIT:
+                    placed(False)
+        placed(False)
+        yield frame()
+        out.clear()
+    placed(True)
+    yield frame()
 
 
 def place(guide: DataFrame, blocks: DataFrame, spare: int = SPARE, gap: float = GAP) -> DataFrame:
@@ -314,22 +296,23 @@ def place(guide: DataFrame, blocks: DataFrame, spare: int = SPARE, gap: float =
     ``guide`` is (volume, chapter, verse, text), ``blocks`` (volume, block from
     0, text).  A cursor runs over a volume's blocks: each chapter is aligned with
     those from where the chapter before it ended, as many as its verses and
-    ``spare`` more.  Splits of ``SPLIT`` chapters run at once, each from a
-    guessed block and ``WARM`` chapters before its own; where a split did not
-    begin at the very block at which the one before it ended, it is run again
-    from there, until all agree.  The result is that of one cursor over all.
+    ``spare`` more.  Where a chapter begins hangs on all before it, so a volume
+    is read once, by one task, as a stream in which slots and blocks come in
+    step: the task holds the blocks that came and that the cursor has not passed.
     """
     chapters = staged(_chapters(guide), "chapters")
-    starts = _guesses(guide, chapters, blocks)
-    placed = staged(_run(guide, _split_of(chapters), blocks, starts, spare, gap), "placed")
-    while True:
-        ends = placed.select("volume", "split", "begin", "end").distinct()
-        before = ends.select("volume", (F.col("split") + 1).alias("split"), F.col("end").alias("start"))
-        wrong = staged(ends.join(before, ["volume", "split"]).where("begin <> start").select("volume", "split", "start"), "wrong")
-        if not wrong.take(1):
-            return placed.select("volume", "chapter", "verse", "block")
-        again = _run(guide, _split_of(chapters, warm=False), blocks, wrong, spare, gap)
-        placed = staged(placed.join(wrong, ["volume", "split"], "left_anti").select(*placed.columns).unionByName(again), "placed")
+    sizes = chapters.groupBy("volume").agg(F.sum("n").alias("slots")).join(blocks.groupBy("volume").agg((F.max("block") + 1).alias("blocks")), "volume", "left")
+    volumes = sizes.count()
+    if not volumes:
+        return guide.select("volume", "chapter", "verse", F.lit(None).cast("long").alias("block"))
+    types = {f.name: f.dataType for f in guide.schema}
+    none = lambda name: F.lit(None).cast(types[name]).alias(name)
+    slots = guide.join(chapters, ["volume", "chapter"]).select("volume", F.col("before").cast("double").alias("step"), "chapter", "verse", F.lit(None).cast("long").alias("block"), "text")
+    step = F.col("block") * F.col("slots") / F.col("blocks")
+    found = look_up(blocks, sizes, ["volume"]).select("volume", step.cast("double").alias("step"), none("chapter"), none("verse"), F.col("block").cast("long").alias("block"), "text")
+    stream = slots.unionByName(found).repartitionByRange(volumes, "volume").sortWithinPartitions("volume", "step", F.col("block").isNull(), "verse", "block")
+    schema = T.StructType([*(guide.schema[c] for c in ("volume", "chapter", "verse")), T.StructField("block", T.LongType())])
+    return stream.mapInPandas(lambda batches: _cursor(batches, spare, gap), schema)
 
 
 def edition(guide: DataFrame, blocks: DataFrame, sections: bool = False, spare: int = SPARE) -> DataFrame:
