@@ -68,3 +68,23 @@ def running(df: DataFrame, group: str, order: list[str], value: Column, into: st
     upto = Window.partitionBy("__range", group).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     ranges = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     return _over_ranges(df, group, order, F.sum(value).over(upto), F.sum(value), F.sum("__gives").over(ranges), F.col("__within") + F.coalesce("__before", F.lit(0)), into)
+
+
+def upto(df: DataFrame, group: str, order: list[str], last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with columns of the rows up to each one in its group's order: the last values that are not null, and sums (0 of nulls).
+
+    Ranges of the order are dealt over all tasks; what each gives to those
+    after it is one row a range and group.
+    """
+    last, sums = last or {}, {k: F.coalesce(v.cast("long"), F.lit(0)) for k, v in (sums or {}).items()}
+    made = _ranged(df, [group, *order])
+    within = Window.partitionBy("__range", group).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # The last of a range and group has what the whole gives.
+    own = made.select("*", *[F.last(v, True).over(within).alias(f"__v_{k}") for k, v in last.items()], *[F.sum(v).over(within).alias(f"__v_{k}") for k, v in sums.items()])
+    gives = made.groupBy("__range", group).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("__at"))).alias(f"__g_{k}") for k, v in last.items()], *[F.sum(v).alias(f"__g_{k}") for k, v in sums.items()])
+    before = gives.select(F.col("__range").alias("__r"), F.col(group).alias("__group"), *[F.last(f"__g_{k}", True).over(ranges).alias(f"__b_{k}") for k in last], *[F.sum(f"__g_{k}").over(ranges).alias(f"__b_{k}") for k in sums])
+    told = own.join(before, (F.col("__range") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__group")))
+    return told.select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"__v_{k}", f"__b_{k}").alias(k) for k in last], *[(F.col(f"__v_{k}") + F.coalesce(f"__b_{k}", F.lit(0))).alias(k) for k in sums]
+    )

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lectern.operators.joins import upto
 from lectern.sources import markdown, records
 
 from .registry import query, table
 
 
 def _written(rows: DataFrame, file, at, *lines) -> DataFrame:
-    """Pages (file, line_no, line) of rows that each give some lines, in the order of ``at``; a null line is left out."""
-    each = rows.select(file.alias("file"), F.struct(at.alias("at"), F.filter(F.array(*lines), lambda x: x.isNotNull()).alias("lines")).alias("piece"))
-    pages = each.groupBy("file").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    return pages.select("file", F.posexplode(F.flatten(F.transform("pieces", lambda p: p["lines"]))).alias("line_no", "line"))
+    """Pages (file, line_no, line) of rows that each give some lines, in the order of ``at``; a null line is left out.
+
+    A page's lines are numbered by ranges of its rows: no row or task holds a page.
+    """
+    each = rows.select(file.alias("file"), at.alias("at"), F.filter(F.array(*lines), lambda x: x.isNotNull()).alias("lines"))
+    ended = upto(each, "file", ["at"], sums={"end": F.size("lines")})
+    return ended.select("file", (F.col("end") - F.size("lines")).alias("first"), F.posexplode("lines").alias("nth", "line")).select("file", (F.col("first") + F.col("nth")).cast("int").alias("line_no"), "line")
 
 
 def _text(*parts):

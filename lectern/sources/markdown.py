@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import norm, split_lead, split_title, year_heading
 from lectern.operators.dims import range_explode
-from lectern.operators.joins import look_up
+from lectern.operators.joins import look_up, upto
 from lectern.operators.refs import resolved
 
 
@@ -46,14 +46,15 @@ def pipe_rows(lines: DataFrame, piped: bool = True) -> DataFrame:
     """
     own = lines.select("file", "line_no", _trim(F.col("line")).alias("line"))
     head = F.when(F.col("line").rlike(r"^##\s+.+$"), _trim(F.regexp_extract("line", r"^##\s+(.+)$", 1)))
-    own = own.withColumn("own", head).withColumn("heading", F.last("own", True).over(_order()))
-    own = own.withColumn("book", norm(F.col("heading"))).withColumn("begun", F.last(F.when(F.col("own").isNotNull(), F.col("line_no")), True).over(_order()))
-    own = own.withColumn("newest", F.max("begun").over(Window.partitionBy("file", "book")))
+    own = own.withColumn("own", head)
+    own = upto(own, "file", ["line_no"], {"heading": F.col("own"), "begun": F.when(F.col("own").isNotNull(), F.col("line_no"))})
+    own = own.withColumn("book", norm(F.col("heading")))
+    newest = own.where("own is not null").groupBy("file", "book").agg(F.max("begun").alias("newest"))
     cells = F.transform(F.split("line", r"\|", -1), _trim)
     cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
     rows = own.where(F.col("heading").isNotNull() & F.col("own").isNull() & (F.col("line").startswith("|") if piped else F.col("line").contains("|"))).withColumn("cells", cells)
     ended = F.when(F.try_element_at("cells", F.lit(-1)) == "", F.slice("cells", F.lit(1), F.greatest(F.size("cells") - 1, F.lit(0)))).otherwise(F.col("cells"))
-    return rows.select("file", "line_no", "heading", "book", ended.alias("cells"), "begun", "newest")
+    return rows.select("file", "line_no", "heading", "book", ended.alias("cells"), "begun").join(newest, ["file", "book"])
 
 
 def _cell(n: int) -> Column:
@@ -84,8 +85,9 @@ def dates(lines: DataFrame) -> DataFrame:
 
 
 def _voiced(lines: DataFrame) -> DataFrame:
-    past = F.max(F.col("line").contains("## Judgment calls")).over(_order())
-    rows = pipe_rows(lines.withColumn("__past", past).where(~F.col("__past")).drop("__past")).withColumn("at", _cell(0)).withColumn("voice", _cell(1)).where("voice is not null")
+    end = lines.where(F.col("line").contains("## Judgment calls")).groupBy("file").agg(F.min("line_no").alias("__end"))
+    told = lines.join(end, "file", "left")
+    rows = pipe_rows(told.where(F.col("__end").isNull() | (F.col("line_no") < F.col("__end"))).drop("__end")).withColumn("at", _cell(0)).withColumn("voice", _cell(1)).where("voice is not null")
     form = r"^(.*?)\s+(\d{1,9})$"
     alone = F.col("at").rlike(r"^\d{1,9}$")
     return rows.where(alone | F.col("at").rlike(form)).select(

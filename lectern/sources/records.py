@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import credited, source_note, split_lead, split_ref, split_title, year_heading
+from lectern.operators.joins import upto
 
 #: Place of a page that names none.
 LAST = 999
@@ -241,7 +242,7 @@ def figures(lines: DataFrame) -> DataFrame:
     ``# 1830 · Name`` opens one, any other ``#`` heading ends it; rules go.  One
     without a body is none.  ``nth`` counts the file's headings.
     """
-    own = _with_facts(_lines(lines), "years role image").withColumn("nth", _count(F.col("h1").isNotNull()).over(_upto())).where("nth > 0")
+    own = upto(_with_facts(_lines(lines), "years role image"), "file", ["line_no"], sums={"nth": F.col("h1").isNotNull().cast("int")}).where("nth > 0")
     own = own.withColumn("h", year_heading(F.col("h1")))
     body = F.when(F.col("h1").isNull() & F.col("key").isNull() & (F.col("line") != "---"), F.col("line"))
     told = own.groupBy("file", "nth").agg(

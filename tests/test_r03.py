@@ -1,8 +1,12 @@
 """Steps that grew faster than their input, or ran in one task."""
 
-from pyspark.sql import functions as F
+import re
 
-from lectern.operators import align, scan
+from pyspark.sql import Window, functions as F
+
+from lectern.operators import align, joins, scan
+from lectern.plans import dialect_queries
+from lectern.sources import markdown, records
 
 
 def test_one_cursor_reads_a_volume_once(spark, monkeypatch):
@@ -38,3 +42,27 @@ def test_likeness_by_parts(monkeypatch):
     whole = align._likeness(*sides).tolist()
     monkeypatch.setattr(align, "CELLS", 1)
     assert align._likeness(*sides).tolist() == whole
+
+
+def test_values_up_to_a_row_as_windows(spark):
+    rows = spark.range(200).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("h"), (F.col("id") * 37 % 200).alias("at"))
+    rows = rows.withColumn("v", F.when(F.col("at") % 5 == 0, F.col("at").cast("string"))).withColumn("h", F.nullif("h", F.lit(1)))
+    for group in ("g", "h"):
+        w = Window.partitionBy(group).orderBy("at")
+        want = rows.select("at", F.last("v", True).over(w), F.coalesce(F.sum(F.col("v").cast("long")).over(w), F.lit(0)))
+        got = joins.upto(rows, group, ["at"], {"l": F.col("v")}, {"s": F.col("v")}).select("at", "l", "s")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_pages_are_held_by_no_row_or_task(spark):
+    """One file of many rows: its lines are numbered, read and headed by several tasks (before: one row, one task)."""
+    rows = spark.range(4000).select(F.col("id").alias("k"))
+    made = dialect_queries._written(rows, F.lit("a.md"), F.col("k"), F.concat(F.lit("## Book "), F.col("k") % 50), F.when(F.col("k") % 3 > 0, F.concat(F.lit("| 1 | c"), "k", F.lit(" |"))))
+    for df in (made, markdown.pipe_rows(made), records.figures(made)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"collect_list\(piece|windowspecdefinition\(file#\d+, (line_no|begun)", plan)
+    want, n = [], 0
+    for k in range(4000):
+        n += 2 if k % 3 else 1
+        want += [(n - 1, f"c{k}")] if k % 3 else []
+    assert [(r["line_no"], r["cells"][1]) for r in markdown.pipe_rows(made).orderBy("line_no").collect()] == want
