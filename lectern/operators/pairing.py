@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import upto
 from .notes import stitched
 from .refs import book_rows
 
@@ -81,8 +82,9 @@ def book_of_title(title: Column) -> Column:
 
 def page_books(pages: DataFrame) -> DataFrame:
     """Pages (file, page, head) with the books of their heads, and ``book``: their own, else that of the next page that has one."""
-    ahead = Window.partitionBy("file").orderBy("page").rowsBetween(0, Window.unboundedFollowing)
-    return parse_heads(pages).withColumn("book", F.first("first", True).over(ahead))
+    # Backwards, so that what is ahead of a page has come before it: a frame to the end of a file would be read anew for each page.
+    back = parse_heads(pages).withColumn("__back", -F.col("page"))
+    return upto(back, "file", ["__back"], {"book": F.col("first")}).drop("__back")
 
 
 def unmatched_heads(pages: DataFrame, size: int = 8) -> DataFrame:

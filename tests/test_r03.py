@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import Window, functions as F
 
-from lectern.operators import align, joins, scan
+from lectern.operators import align, index, joins, pairing, scan
 from lectern.plans import dialect_queries
 from lectern.sources import markdown, records
 
@@ -66,3 +66,20 @@ def test_pages_are_held_by_no_row_or_task(spark):
         n += 2 if k % 3 else 1
         want += [(n - 1, f"c{k}")] if k % 3 else []
     assert [(r["line_no"], r["cells"][1]) for r in markdown.pipe_rows(made).orderBy("line_no").collect()] == want
+
+
+def test_postings_are_dealt_once(spark):
+    """By stem and block, for units and for blocks alike (before: a shuffle each)."""
+    rows = spark.createDataFrame([("a", u, [1]) for u in (1, 2, 5000)], "stem string, unit long, verses array<int>")
+    post = index._by_block(rows).groupBy("stem", "block", "unit").agg(F.flatten(F.collect_list("verses")).alias("verses"))
+    strings = index.encoded(post)
+    assert strings._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    assert sorted((r["unit"], list(r["verses"])) for r in index.decoded(strings).collect()) == [(1, [1]), (2, [1]), (5000, [1])]
+
+
+def test_books_ahead_without_a_frame_to_the_end(spark):
+    """A frame from a page to its file's end is read anew for each page: the square of a file's pages."""
+    pages = spark.createDataFrame([("f", n, "ALMA 1:3–9" if n == 4 else None) for n in range(7)] + [("g", 1, None)], "file string, page int, head string")
+    made = pairing.page_books(pages)
+    assert "unboundedfollowing" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["file"], r["page"]): r["book"] for r in made.collect()} == {("f", n): "Alma" if n <= 4 else None for n in range(7)} | {("g", 1): None}
