@@ -85,3 +85,12 @@ def test_summaries(spark):
     }
     assert [tuple(r) for r in pairing.unmatched_heads(pages).collect()] == [("Some Thing", 2)]
     assert pairing.unpaired(pairs).first()["unpaired"] == 1
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_filter_of_fixed_size(spark, monkeypatch, bits):
+    """The dictionary is never broadcast, a filter is; a full one changes nothing.  Words after letters that are no ASCII are asked for too."""
+    monkeypatch.setattr(repair, "FILTER", bits)
+    cases = {"the chil dren b held t he an d verses": "the children b held the and verses", "éunder-qwer a-b chil- dren xqw-tyu": "éunder-qwer a-b children xqwtyu", "smi thin qw er": "smithin qw er"}
+    got = {r["id"]: r["text"] for r in repair.repair(spark.createDataFrame([*enumerate(cases)], "id int, text string"), spark.createDataFrame([(w,) for w in WORDS], "word string")).collect()}
+    assert got == dict(enumerate(cases.values()))
