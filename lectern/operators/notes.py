@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import numbered
+from lectern.sources.stored import staged
+
+from .joins import look_up, numbered
 from .refs import parse_citations, target_verses
 
 
@@ -98,13 +100,14 @@ def _label(verses: Column) -> Column:
     return F.when(n == 1, F.concat(F.lit("verse "), F.element_at(text, 1))).otherwise(F.concat(F.lit("verses "), F.when(run, ends).otherwise(F.array_join(text, ", "))))
 
 
-def note_runs(notes: DataFrame) -> DataFrame:
+def note_runs(notes: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Notes (note, text, marks) cut into runs: note, nth, text, and the mark of each that has one.
 
     Marks are structs with ``start`` and ``end`` (code points from 0, the end
     outside).  They are taken by start, then in the order given; one that begins
     before the last one taken has ended, or is empty or outside the text, is
     passed over.  The runs of a note, one after the other, are its text.
+    Columns named in ``also`` are kept.
     """
     size = F.length("text")
     listed = F.transform(F.coalesce("marks", F.array().cast(notes.schema["marks"].dataType)), lambda m, i: F.struct(m["start"].alias("s"), i.alias("i"), m.alias("mark")))
@@ -113,15 +116,15 @@ def note_runs(notes: DataFrame) -> DataFrame:
     lo, hi = (lambda m: m["mark"]["start"].cast("int")), (lambda m: m["mark"]["end"].cast("int"))
     take = lambda a, m: (lo(m) >= a["at"]) & (hi(m) > lo(m)) & (hi(m) <= size)
     step = lambda a, m: F.when(take(a, m), F.struct(hi(m).alias("at"), F.concat(a["out"], F.array(F.struct(lo(m).alias("lo"), hi(m).alias("hi"), m["mark"].alias("mark")))).alias("out"))).otherwise(a)
-    taken = notes.select("note", "text", F.aggregate(F.array_sort(listed), begin, step)["out"].alias("taken")).where(size > 0)
+    taken = notes.select("note", *also, "text", F.aggregate(F.array_sort(listed), begin, step)["out"].alias("taken")).where(size > 0)
     # Each mark, and the plain text before it and at the end.
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("taken", i - 1)["hi"])
     plain = F.lit(None).cast(mark)
     pieces = F.flatten(F.transform("taken", lambda m, i: F.array(F.struct(before(i).alias("lo"), m["lo"].alias("hi"), plain.alias("mark")), m)))
     rest = F.struct(F.coalesce(F.get("taken", F.size("taken") - 1)["hi"], F.lit(0)).alias("lo"), size.alias("hi"), plain.alias("mark"))
     runs = F.filter(F.concat(pieces, F.array(rest)), lambda p: p["hi"] > p["lo"])
-    each = taken.select("note", "text", F.posexplode(runs).alias("nth", "run"))
-    return each.select("note", "nth", F.substr("text", F.col("run.lo") + 1, F.col("run.hi") - F.col("run.lo")).alias("text"), F.col("run.mark").alias("mark"))
+    each = taken.select("note", *also, "text", F.posexplode(runs).alias("nth", "run"))
+    return each.select("note", *also, "nth", F.substr("text", F.col("run.lo") + 1, F.col("run.hi") - F.col("run.lo")).alias("text"), F.col("run.mark").alias("mark"))
 
 
 def doors(notes: DataFrame, verses: DataFrame) -> DataFrame:
@@ -135,17 +138,23 @@ def doors(notes: DataFrame, verses: DataFrame) -> DataFrame:
     ``scripture`` the first citation that its text is read as.  Any other run
     and a mark whose target does not exist stay plain: no door.
     """
-    runs = note_runs(notes).join(notes.select("note", F.col("book").alias("own_book"), F.col("chapter").alias("own_chapter")), "note")
+    own = notes.where("note is not null").select("note", "text", "marks", F.col("book").alias("own_book"), F.col("chapter").alias("own_chapter")).repartition("note")
+    runs = staged(note_runs(own, ("own_book", "own_chapter")), "runs")
     low = F.when(F.col("mark.kind") == "cite", F.col("mark.verse")).when(F.col("mark.kind") == "verse", F.col("mark.verse_start"))
     high = F.when(F.col("mark.kind") == "cite", F.col("mark.verse")).when(F.col("mark.kind") == "verse", F.coalesce("mark.verse_end", "mark.verse_start"))
-    asked = runs.where(low <= high).select("note", "nth", F.col("own_book").alias("book"), F.col("own_chapter").alias("chapter"), F.explode(F.sequence(low, high)).alias("verse"))
-    here = asked.join(verses.select("book", "chapter", "verse").distinct(), ["book", "chapter", "verse"]).groupBy("note", "nth").agg(F.sort_array(F.collect_list("verse")).alias("verses"))
-    chapters = verses.select(F.col("book").alias("own_book"), F.col("chapter").alias("to")).distinct()
-    whole = runs.where("mark.kind = 'chapter'").withColumn("to", F.col("mark.ch_start")).join(chapters, ["own_book", "to"]).select("note", "nth", F.col("own_book").alias("c_book"), F.col("to").alias("c_chapter"), F.array().cast("array<int>").alias("c_verses"))
-    read = runs.where("mark.kind = 'scripture'").select(F.struct("note", "nth").alias("id"), "text")
-    first = parse_citations(read, "id", "text").groupBy("id").agg(F.min_by(F.struct("book", "chapter", "verses"), "at").alias("c"))
-    cited = first.select("id.note", "id.nth", F.col("c.book").alias("c_book"), F.col("c.chapter").alias("c_chapter"), F.col("c.verses").alias("c_verses"))
-    both = runs.join(here, ["note", "nth"], "left").join(whole.unionByName(cited), ["note", "nth"], "left")
+    # A chapter's verses are one row, so that a run needs no rows of its own to ask for them; equal texts are read once.
+    chapters = staged(verses.groupBy("book", "chapter").agg(F.sort_array(F.collect_set("verse")).alias("there")), "chapters")
+    here = look_up(runs, chapters.select(F.col("book").alias("own_book"), F.col("chapter").alias("own_chapter"), "there"), ["own_book", "own_chapter"], "left")
+    asked = F.filter("there", lambda v: v.between(low, high))
+    here = here.withColumn("verses", F.when(F.size(asked) > 0, asked)).drop("there").withColumn("to", F.when(F.col("mark.kind") == "chapter", F.col("mark.ch_start")))
+    whole = look_up(here, chapters.select(F.col("book").alias("own_book"), F.col("chapter").alias("to"), F.lit(True).alias("is_chapter")), ["own_book", "to"], "left")
+    texts = runs.where("mark.kind = 'scripture'").select("text").distinct()
+    first = parse_citations(texts.select(F.col("text").alias("id"), "text"), "id", "text").groupBy("id").agg(F.min_by(F.struct("book", "chapter", "verses"), "at").alias("c"))
+    read = whole.withColumn("id", F.when(F.col("mark.kind") == "scripture", F.col("text")))
+    both = look_up(read, staged(first, "citations"), ["id"], "left").select(
+        "note", "nth", "text", "own_book", "own_chapter", "verses", F.when(F.col("is_chapter"), F.col("own_book")).otherwise(F.col("c.book")).alias("c_book"),
+        F.when(F.col("is_chapter"), F.col("to")).otherwise(F.col("c.chapter")).alias("c_chapter"), F.when(F.col("is_chapter"), F.array().cast("array<int>")).otherwise(F.col("c.verses")).alias("c_verses"),
+    )
     door = F.when(F.col("verses").isNotNull(), "verses").when(F.col("c_book").isNotNull(), "cite")
     spelled = F.concat(F.col("c_book"), F.lit(" "), F.col("c_chapter"), F.when(F.size("c_verses") > 0, F.concat(F.lit(":"), F.array_join(F.transform("c_verses", lambda v: v.cast("string")), ","))).otherwise(""))
     title = F.when(door == "verses", F.concat(F.lit("Go to "), _label(F.col("verses")))).when(door == "cite", F.concat(F.lit("Open "), spelled))

@@ -16,3 +16,7 @@ def test_a_line_is_trimmed_once(spark):
     told = lines.select("line", align.classify(F.col("line")).alias("kind"))
     assert _plan(told).count("regexp_replace") == 1
     assert {r["line"]: r["kind"] for r in told.collect()} == {" see 3, x ": "apparatus", "12": "head", "some text": None}
+
+
+def test_runs_of_notes_are_not_shuffled_again(spark):
+    assert "Exchange hashpartitioning(note" not in record_queries.note_doors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
