@@ -20,3 +20,8 @@ def test_a_line_is_trimmed_once(spark):
 
 def test_runs_of_notes_are_not_shuffled_again(spark):
     assert "Exchange hashpartitioning(note" not in record_queries.note_doors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_letters_are_no_task(spark):
+    assert "partitionBy" not in _plan(search_queries.vocab_by_letter(spark, SMALL)) and "windowspecdefinition(letter" not in _plan(search_queries.vocab_by_letter(spark, SMALL))
