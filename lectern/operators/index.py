@@ -93,6 +93,24 @@ def decoded(strings: DataFrame, block: int = BLOCK) -> DataFrame:
     return parts.select("stem", unit.cast("long").alias("unit"), F.transform(F.split(F.substring_index("piece", ":", -1), r"\."), lambda v: back(v).cast("int")).alias("verses"))
 
 
+def steps(strings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of encoded strings each unit's step from the one before, a stem's first from 0: stem, unit, step, n (occurrences).
+
+    Within a block the steps are those encoded; only over a block's first unit
+    the blocks' last units, one row a string, meet in a window.
+    """
+    own = staged(strings, "strings")
+    back = lambda c: F.conv(F.substring_index(c, ":", 1), 36, 10).cast("long")
+    last = F.col("block") * block + F.aggregate(F.split("encoded", ","), F.lit(0).cast("long"), lambda a, p: a + back(p))
+    ends = own.select("stem", "block", last.alias("last"))
+    before = ends.select("stem", "block", F.lag("last", 1, 0).over(Window.partitionBy("stem").orderBy("block")).alias("before"))
+    parts = own.select("stem", "block", F.posexplode(F.split("encoded", ",")).alias("at", "piece")).withColumn("from", back(F.col("piece")))
+    unit = F.col("block") * block + F.sum("from").over(Window.partitionBy("stem", "block").orderBy("at"))
+    told = parts.withColumn("unit", unit.cast("long")).join(before, ["stem", "block"])
+    n = F.size(F.split(F.substring_index("piece", ":", -1), r"\."))
+    return told.select("stem", "unit", F.when(F.col("at") == 0, F.col("unit") - F.col("before")).otherwise(F.col("from")).cast("long").alias("step"), n.alias("n"))
+
+
 def deep_prefixes(strings: DataFrame, limit: int = DEEP) -> DataFrame:
     """Two-letter prefixes whose encoded postings are longer than ``limit``."""
     return strings.groupBy(F.rpad(F.substring("stem", 1, 2), 2, "_").alias("prefix")).agg(F.sum(F.length("encoded") + F.length("stem")).alias("size")).where(F.col("size") > limit)

@@ -18,10 +18,15 @@ def test_a_line_is_trimmed_once(spark):
     assert {r["line"]: r["kind"] for r in told.collect()} == {" see 3, x ": "apparatus", "12": "head", "some text": None}
 
 
-def test_runs_of_notes_are_not_shuffled_again(spark):
-    assert "Exchange hashpartitioning(note" not in record_queries.note_doors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-
+def test_steps_over_blocks(spark):
+    posts = spark.createDataFrame([("a", u, [1] * n) for u, n in ((1, 1), (3, 2), (9, 1), (10, 1), (21, 3))] + [("b", 8, [2])], "stem string, unit long, verses array<int>")
+    got = sorted(tuple(r) for r in index.steps(index.encoded(posts, 4), 4).collect())
+    assert got == [("a", 1, 1, 1), ("a", 3, 2, 2), ("a", 9, 6, 1), ("a", 10, 1, 1), ("a", 21, 11, 3), ("b", 8, 8, 1)]
 
 
 def test_letters_are_no_task(spark):
     assert "partitionBy" not in _plan(search_queries.vocab_by_letter(spark, SMALL)) and "windowspecdefinition(letter" not in _plan(search_queries.vocab_by_letter(spark, SMALL))
+
+
+def test_runs_of_notes_are_not_shuffled_again(spark):
+    assert "Exchange hashpartitioning(note" not in record_queries.note_doors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
