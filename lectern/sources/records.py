@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import credited, source_note, split_lead, split_ref, split_title, year_heading
-from lectern.operators.joins import upto
+from lectern.operators.joins import dealt, upto
 
 #: Place of a page that names none.
 LAST = 999
@@ -31,8 +31,8 @@ def _trim(text: Column) -> Column:
 
 
 def _lines(lines: DataFrame) -> DataFrame:
-    """Trimmed lines with their headings of three levels, if they are that."""
-    own = lines.select("file", "line_no", _trim(F.col("line")).alias("line"))
+    """Trimmed lines with their headings of three levels, if they are that; dealt by file, so that no task grows with the table."""
+    own = dealt(lines.select("file", "line_no", "line"), "file").withColumn("line", _trim(F.col("line")))
     heads = {f"h{n}": F.when(F.col("line").rlike(rf"^#{{{n}}}\s+.+$"), _trim(F.regexp_extract("line", rf"^#{{{n}}}\s+(.+)$", 1))) for n in (1, 2)}
     heads["h3"] = F.when(F.col("line").rlike("^###"), _trim(F.regexp_extract("line", r"^###\s*(.*)$", 1)))
     return own.withColumns(heads).withColumn("slug", F.regexp_replace("file", r"\.md$", ""))
@@ -129,9 +129,11 @@ def evidences(lines: DataFrame) -> DataFrame:
     )
     forms = own.where("form > 0").groupBy("file", "form").agg(
         _last(F.col("h2")).alias("name"), F.coalesce(_last(at("form", _fact("form"))), F.lit("phrases")).alias("kind"), F.coalesce(_last(at("form", _fact("gloss"))), F.lit("")).alias("gloss"), _trim(F.array_join(_ordered(at("form", F.col("prose"))), " ")).alias("note")
-    ).join(in_forms, ["file", "form"])
-    fields = ["name", "kind", "gloss", "note", "items", "groups"]
-    nested = forms.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("form", *fields))), lambda f: F.struct(*[f[c].alias("form" if c == "kind" else c) for c in fields])).alias("forms"))
+    )
+    # Both have the same forms; joined by file, nothing is dealt anew.
+    listed = lambda df, *fields: df.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("form", *fields))).alias(fields[0]))
+    field = lambda f, g: F.struct(f["name"].alias("name"), f["kind"].alias("form"), f["gloss"].alias("gloss"), f["note"].alias("note"), g["items"].alias("items"), g["groups"].alias("groups"))
+    nested = listed(forms, "name", "kind", "gloss", "note").join(listed(in_forms, "items", "groups"), "file").select("file", F.zip_with("name", "items", field).alias("forms"))
     order = _last(at("page", _fact("order")))
     pages = own.groupBy("file", "slug").agg(
         F.coalesce(_last(F.col("h1")), F.col("slug")).alias("title"), F.coalesce(_last(at("page", _fact("subtitle"))), F.lit("")).alias("subtitle"),

@@ -1,10 +1,13 @@
 """Steps that grew faster than their input: what their plans no longer do, with the same results."""
 
+import re
+
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lectern.operators import align, index
+from lectern.operators import align, index, joins
 from lectern.plans import record_queries, search_queries
+from lectern.sources import records
 
 
 def _plan(df) -> str:
@@ -30,3 +33,15 @@ def test_letters_are_no_task(spark):
 
 def test_runs_of_notes_are_not_shuffled_again(spark):
     assert "Exchange hashpartitioning(note" not in record_queries.note_doors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_dealt_by_counted_tasks(spark, monkeypatch):
+    """Tasks merged by written size held more of a larger table; lines are dealt by file over as many tasks as their number asks, once."""
+    lines = spark.range(400).select(F.concat("id", F.lit(".md")).alias("file"), F.posexplode(F.array(*[F.lit(x) for x in ("## B", "* form: ladder", "### T (Alma 1:2)", "a rung", "## A", "- x | Alma 3:4")])).alias("line_no", "line"))
+    monkeypatch.setattr(joins, "TASK_ROWS", 150)
+    made = records.evidences(lines)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(file" in plan and set(re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)) == {"16"}
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() == 16
+    got = {r["slug"]: [(f["name"], f["form"], [g["lines"] for g in f["groups"]], [i["text"] for i in f["items"]]) for f in r["forms"]] for r in made.collect()}
+    assert got == {str(k): [("B", "ladder", [["a rung"]], []), ("A", "phrases", [], ["x"])] for k in range(400)}
