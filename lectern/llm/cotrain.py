@@ -208,7 +208,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(offsets):
             x = content_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id", "label", "meta")), lists], ["key", "doc_id", "label", "meta", "content"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id", "meta")), lists], ["key", "doc_id", "meta", "content"])
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model | None:
@@ -222,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model | None:
     known = staging.stage(known, "labels")
     n_known = known.count()
     own = staging.only(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", "text", _metadata().alias("meta"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("key"))
-    marked = staging.join_bounded(own, known, "doc_id", n_known, how="left").select("key", "doc_id", "text", "label", "meta")
     kind = dict(docs.dtypes)["doc_id"]
-    table = staging.stage(marked.mapInArrow(_features, f"key bigint, doc_id {kind}, label int, meta array<int>, content array<float>"), "features")
+    # Labels come to the features, which are shorter than texts: past the bound of a broadcast the rows are shuffled.
+    made = own.mapInArrow(_features, f"key bigint, doc_id {kind}, meta array<int>, content array<float>")
+    table = staging.stage(staging.join_bounded(made, known, "doc_id", n_known, how="left"), "features")
     drawn = table.where(F.col("label").isNotNull() & _drawn(n_known, LABELLED, seed) & ~training_part())
     fit_on = drawn.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by(F.struct("content", "meta"), "key").alias("d")).select("doc_id", "label", "d.content", "d.meta").orderBy("doc_id").toArrow()
     if not len(fit_on):

@@ -221,3 +221,18 @@ def test_found_is_broadcast_only_if_short(spark, monkeypatch, rows, entries):
     both = staging.join_found(texts, found)
     assert sorted((r["key"], len(r["found"])) for r in both.collect()) == [(k, k) for k in range(4)]
     assert ("BroadcastHashJoin" in both._jdf.queryExecution().optimizedPlan().toString() or "strategy=broadcast" in both._jdf.queryExecution().optimizedPlan().toString()) == (rows > 3 and entries > 6)
+
+
+def test_join_beyond_the_bound_of_a_broadcast(spark):
+    """A table too long to broadcast is repeated and merged: the same rows, and no broadcast however small its files look."""
+    from pyspark.sql import functions as F
+
+    from lectern.llm import staging
+
+    left = spark.range(100).select((F.col("id") % 7).alias("k"), "id", F.array("id").alias("l"))
+    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("inner", "left"):
+        got = [staging.join_bounded(left, right, "k", 5, bound, how=how) for bound in (5, 4)]
+        a, b = (sorted(map(str, x.select("k", "id", "l", "w").collect())) for x in got)
+        assert a == b and len(a) == (72 if how == "inner" else 100)
+        assert "Broadcast" not in got[1]._jdf.queryExecution().executedPlan().toString()
