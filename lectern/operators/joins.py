@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.sources.stored import staged
 
-#: Rows up to which a looked-up table is broadcast, and tasks over which a key of the asking side is dealt beyond.
-BROADCAST_ROWS, DEALT = 200_000, 32
+#: Rows up to which a looked-up table is broadcast.
+BROADCAST_ROWS = 200_000
 #: Rows of a task in :func:`dealt`.
 TASK_ROWS = 100_000
 #: Rows of a partition that ``monotonically_increasing_id`` can tell apart.
@@ -18,16 +18,14 @@ def look_up(asking: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     """``asking`` joined to ``table`` of one short row per key.
 
     By broadcast while the table has at most ``bound`` rows, which is counted.
-    Beyond, both sides are shuffled; each key of the asking side is dealt over
-    ``DEALT`` tasks, to all of which the table's row goes, so that a word in
-    every text is no single task's.
+    Beyond, both sides are shuffled once and merged, whatever size the table's
+    files state; where a word in every text makes a part of the asking side
+    long, Spark splits that part and reads the table's beside each (skew join).
     """
     bound = BROADCAST_ROWS if bound is None else bound
     if table.limit(bound + 1).count() <= bound:
         return asking.join(F.broadcast(table), keys, how)
-    dealt = asking.withColumn("__deal", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in asking.columns]), F.lit(DEALT)))
-    every = table.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
-    return dealt.join(every, [*keys, "__deal"], how).drop("__deal")
+    return asking.join(table.hint("merge"), keys, how)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

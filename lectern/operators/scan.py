@@ -150,7 +150,7 @@ def unfuse(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     parts = F.regexp_extract_all("text", F.lit("[0-9A-Za-z_]+|[^0-9A-Za-z_]+"), F.lit(0))
     keyed = lambda t: t.rlike("^[0-9A-Za-z]{3,}$") & t.rlike("^([0-9]|[a-z][A-Z]|w[T7][a-z])") & ~t.rlike("(?i)^[0-9]{1,4}(st|nd|rd|th)$")
-    asked = texts.select("id", F.explode(F.array_distinct(F.filter(parts, keyed))).alias("token"))
+    asked = staged(texts.select("id", F.explode(F.array_distinct(F.filter(parts, keyed))).alias("token")), "keyed")
     # The token itself first: if it is a word, it stays.
     doubled = F.col("token").rlike("^w[T7]")
     whole = F.struct(F.lit(0).alias("cut"), F.col("token").alias("rest"))
@@ -183,10 +183,11 @@ def strip_apparatus(pairs: DataFrame, vocab: DataFrame, least: int = LEAST, gain
     taken, until none goes.  A null text takes nothing out, nor a null scan.
     """
     tokens = F.split("scan", r"(?U)\s+", -1)
-    split = pairs.select("id", "text", "scan", tokens.alias("tokens"))
-    split = split.withColumn("noise", F.transform("tokens", furniture))
+    # What is furniture is asked of each token once: the tests are many.
+    split = staged(pairs.select("id", "text", "scan", F.transform(tokens, furniture).alias("noise")), "noise").withColumn("tokens", tokens)
     word = lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", ""))
-    asked = split.select("id", F.explode(F.array_distinct(F.filter(F.transform(F.filter("tokens", furniture), word), lambda w: w != ""))).alias("word"))
+    noisy = F.transform(F.filter(F.arrays_zip("tokens", "noise"), lambda t: t["noise"]), lambda t: word(t["tokens"]))
+    asked = split.select("id", F.explode(F.array_distinct(F.filter(noisy, lambda w: w != ""))).alias("word"))
     known = look_up(asked, vocab.select("word").distinct(), ["word"]).groupBy("id").agg(F.collect_list("word").alias("known"))
     told = split.join(known, "id", "left")
     real = F.transform("tokens", lambda t: F.array_contains(F.coalesce("known", F.array().cast("array<string>")), word(t)))
@@ -327,7 +328,7 @@ def edition(guide: DataFrame, blocks: DataFrame, sections: bool = False, spare:
     placed = placed.join(guide.select("volume", "chapter", "verse", "text"), ["volume", "chapter", "verse"]).withColumn("id", F.struct("volume", "chapter", "verse"))
     placed = staged(placed, "edition")
     clean = strip_apparatus(placed.where("block is not null").select("id", "text", "scan"), vocab).select("id", F.col("scan").alias("text"))
-    clean = unfuse(clean, vocab).withColumnRenamed("text", "said")
+    clean = unfuse(staged(clean, "stripped"), vocab).withColumnRenamed("text", "said")
     empty = placed.groupBy("volume", "chapter").agg((F.count("block") == 0).alias("empty"))
     whole = placed.join(clean, "id", "left").join(empty, ["volume", "chapter"])
     status = F.when(F.col("block").isNotNull(), "placed").when(F.col("empty") & F.lit(sections), "absent").otherwise("missing")

@@ -50,3 +50,18 @@ def test_windows_over_ranges(spark):
     want = table.withColumn("last", F.last("v", True).over(whole.rowsBetween(Window.unboundedPreceding, -1))).withColumn("sum", F.sum(F.coalesce("v", F.lit(0))).over(whole))
     got = running(carried(table, "g", ["o"], "v", "last"), "g", ["o"], F.coalesce("v", F.lit(0)), "sum")
     assert sorted(map(str, got.select("g", "o", "v", "last", "sum").collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_long_table_is_looked_up_without_a_broadcast_or_copies(spark):
+    """Beyond the bound the table is merged as it is: its files may look small enough to broadcast, and copies of it would not be."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators.joins import look_up
+
+    asking = spark.range(60).select("id", F.concat(F.lit("w"), F.col("id") % 7).alias("word"))
+    table = spark.range(5).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id").alias("nth"))
+    for how in ("inner", "left"):
+        few, many = (look_up(asking, table, ["word"], how, bound) for bound in (5, 4))
+        assert sorted(map(str, few.select("id", "word", "nth").collect())) == sorted(map(str, many.select("id", "word", "nth").collect()))
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Generate" not in plan
