@@ -13,15 +13,20 @@ def segments(verses: DataFrame, marks: DataFrame) -> DataFrame:
     joined give its text.
     """
     key = ["unit", "verse"]
-    pieces = verses.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(r"^\s+|\S+\s*"), F.lit(0))).alias("at", "piece"))
-    w = F.sum(F.col("piece").rlike(r"\S").cast("int")).over(Window.partitionBy(*key).orderBy("at"))
-    covered = marks.select(*key, "id", F.explode(F.sequence("w1", F.greatest("w1", "w2"))).alias("w")).groupBy(*key, "w").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    told = pieces.withColumn("w", w).join(covered, [*key, "w"], "left").withColumn("ids", F.coalesce("ids", F.array().cast(covered.schema["ids"].dataType)))
-    order = Window.partitionBy(*key).orderBy("at")
-    new = F.lag("ids").over(order).isNull() | (F.lag("ids").over(order) != F.col("ids"))
-    runs = told.withColumn("new", new.cast("int")).withColumn("seg", F.sum("new").over(order))
-    joined = runs.groupBy(*key, "seg").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"), F.first("ids").alias("ids"))
-    return joined.select(*key, "seg", F.array_join(F.col("p.piece"), "").alias("text"), "ids")
+    held = marks.where("w1 is not null").groupBy(*key).agg(F.collect_set(F.struct("w1", F.greatest("w1", "w2").alias("w2"), "id")).alias("marks"))
+    # A verse is cut within its row: its words never stand in rows of their own.
+    told = verses.select(*key, "text").join(held, key, "left").select(*key, F.regexp_extract_all("text", F.lit(r"^\s+|\S+\s*"), F.lit(0)).alias("pieces"), "marks")
+    blank = F.coalesce(F.get("pieces", F.lit(0)).rlike(r"^\s"), F.lit(False)).cast("int")
+    n = F.size("pieces")
+    told = told.where(n > 0).withColumn("w", F.sequence(1 - blank, n - blank))
+    over = lambda w: F.array_sort(F.array_distinct(F.array_compact(F.transform(F.filter("marks", lambda m: (m["w1"] <= w) & (m["w2"] >= w)), lambda m: m["id"]))))
+    none = F.array().cast(f"array<{dict(marks.dtypes)['id']}>")
+    told = told.withColumn("ids", F.transform("w", lambda w: F.coalesce(over(w), none)))
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ids", i) != F.get("ids", i - 1)))
+    told = told.withColumn("from", F.concat(first, F.array(n)))
+    runs = told.select(*key, "pieces", "ids", "from", F.posexplode(F.slice("from", F.lit(1), F.size("from") - 1)).alias("at", "lo"))
+    text = F.array_join(F.slice("pieces", F.col("lo") + 1, F.get("from", F.col("at") + 1) - F.col("lo")), "")
+    return runs.select(*key, (F.col("at") + 1).cast("long").alias("seg"), text.alias("text"), F.get("ids", F.col("lo")).alias("ids"))
 
 
 def letters(marks: DataFrame, order: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_a_long_table_is_looked_up_without_a_broadcast_or_copies(spark):
         assert sorted(map(str, few.select("id", "word", "nth").collect())) == sorted(map(str, many.select("id", "word", "nth").collect()))
         plan = many._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_segments_leave_words_in_their_verse(spark):
+    """Marks that overlap, repeat, lie outside or end before they begin; blanks at both ends; no row a word is shuffled or sorted."""
+    verses = spark.createDataFrame([(1, 1, "  a b c  d e f "), (1, 2, "one"), (1, 3, ""), (1, 4, None), (1, 5, " "), (2, 1, "x y z")], "unit long, verse int, text string")
+    marks = spark.createDataFrame([(1, 1, 2, 4, "m"), (1, 1, 4, 5, "k"), (1, 1, 2, 4, "m"), (1, 1, 9, 12, "out"), (1, 1, 5, 3, "back"), (1, 2, None, 2, "none"), (1, 2, 0, 0, None), (1, 5, 0, 3, "blank"), (7, 7, 1, 1, "lost")], "unit long, verse int, w1 int, w2 int, id string")
+    made = spans.segments(verses, marks)
+    assert sorted((r["unit"], r["verse"], r["seg"], r["text"], r["ids"]) for r in made.collect()) == [
+        (1, 1, 1, "  a ", []), (1, 1, 2, "b c  ", ["m"]), (1, 1, 3, "d ", ["k", "m"]), (1, 1, 4, "e ", ["back", "k"]), (1, 1, 5, "f ", []), (1, 2, 1, "one", []), (1, 5, 1, " ", ["blank"]), (2, 1, 1, "x y z", []),
+    ]
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
