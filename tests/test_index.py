@@ -148,3 +148,15 @@ def test_completions_need_two_letters(spark):
     assert search.completions(vocab, "t").count() == 0
     assert [r["word"] for r in search.completions(vocab, "TH").collect()] == ["the", "thus", "then"]
     assert [r["word"] for r in search.completions(vocab, "The").collect()] == ["then"]
+
+
+def test_a_phrase_shuffles_no_texts(spark, tmp_path):
+    """Texts are asked where they stand: no verse is joined, only the numbers of units."""
+    from lectern.operators import search as S
+
+    verses = spark.createDataFrame([("en", "b", 1, 1, "of the first"), ("en", "b", 1, 2, "the last of all"), ("en", "b", 2, 1, "of it, and of the rest"), ("en", "b", 2, 2, "Of the end"), ("en", "b", 3, 1, "the of")], "volume_id string, book string, unit long, verse int, text string")
+    index.write_index(verses, str(tmp_path / "phrases"))
+    made = S.search(spark, str(tmp_path / "phrases"), "of the", phrase=True)
+    assert sorted((r["unit"], r["hits"], r["verses"]) for r in made.select("unit", "hits", "verses").collect()) == [(1, 1, [1]), (2, 2, [1, 2])]
+    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not [x for x in joins if "verse#" in x]
