@@ -81,21 +81,22 @@ def charts(lines: DataFrame) -> DataFrame:
     own = own.withColumn("part", _count(F.col("h2").isNotNull() | (F.col("row").isNotNull() & first)).over(_upto()))
     prose = F.col("h1").isNull() & F.col("h2").isNull() & F.col("key").isNull() & F.col("row").isNull()
     own = own.withColumn("prose", F.when(prose, F.col("line")))
-    parts = own.groupBy("file", "part").agg(_last(F.col("h2")).alias("name"), _ordered(F.col("row")).alias("rows"), _ordered(F.col("prose")).alias("lines"))
+    # One grouping reads the lines: of a part come its rows and prose, and the last of each fact with its line.
+    facts = {"h1": F.col("h1")} | {k: _fact(k) for k in ("subtitle", "volume", "order", "form", "columns", "widths")}
+    at = lambda v: F.max(F.when(v.isNotNull(), F.struct(F.col("line_no").alias("n"), v.alias("v"))))
+    parts = own.groupBy("file", "slug", "part").agg(_last(F.col("h2")).alias("name"), _ordered(F.col("row")).alias("rows"), _ordered(F.col("prose")).alias("lines"), *[at(v).alias(f"f_{k}") for k, v in facts.items()])
     # A blank line is a break of two, other lines of a paragraph are one blank apart.
     text = F.array_join(F.filter(F.transform(F.split(F.array_join(F.transform("lines", lambda s: F.when(s == "", "\n\n").otherwise(s)), " "), "\n\n"), _trim), lambda p: p != ""), "\n\n")
     parts = parts.withColumn("text", text)
-    nested = parts.groupBy("file").agg(
+    fact = lambda k: F.max(f"f_{k}")["v"]
+    listed = lambda k: F.coalesce(F.transform(F.split(fact(k), r"\|", -1), _trim), F.array().cast("array<string>"))
+    order = fact("order")
+    return parts.groupBy("file", "slug").agg(
+        F.coalesce(fact("h1"), F.col("slug")).alias("title"), *[F.coalesce(fact(k), F.lit("")).alias(k) for k in ("subtitle", "volume")],
+        F.when(order.isNull(), float(LAST)).otherwise(order.try_cast("double")).alias("order"), F.coalesce(fact("form"), F.lit("table")).alias("form"), listed("columns").alias("columns"), listed("widths").alias("widths"),
         F.coalesce(F.max(F.when(F.col("part") == 0, F.col("text"))), F.lit("")).alias("intro"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("part") > 0, F.struct("part", F.coalesce("name", F.lit("")).alias("name"), F.col("text").alias("prose"), "rows")))), lambda p: F.struct(p["name"].alias("name"), p["prose"].alias("prose"), p["rows"].alias("rows"))).alias("parts"),
-    )
-    listed = lambda k: F.coalesce(F.transform(F.split(_last(_fact(k)), r"\|", -1), _trim), F.array().cast("array<string>"))
-    order = _last(_fact("order"))
-    facts = own.groupBy("file", "slug").agg(
-        F.coalesce(_last(F.col("h1")), F.col("slug")).alias("title"), *[F.coalesce(_last(_fact(k)), F.lit("")).alias(k) for k in ("subtitle", "volume")],
-        F.when(order.isNull(), float(LAST)).otherwise(order.try_cast("double")).alias("order"), F.coalesce(_last(_fact("form")), F.lit("table")).alias("form"), listed("columns").alias("columns"), listed("widths").alias("widths"),
-    )
-    return facts.join(nested, "file").drop("file")
+    ).drop("file")
 
 
 def evidences(lines: DataFrame) -> DataFrame:

@@ -106,3 +106,13 @@ def test_figures(spark, tmp_path):
         {"file": "nt.md", "nth": 2, "year": 1830, "name": "Ann Lee", "years": "1802–1895", "role": "printer", "image": "", "body": "* hue: red\n\nShe came.\n## and\n\nwent."},
         {"file": "nt.md", "nth": 5, "year": 1830, "name": "Di", "years": "", "role": "", "image": "", "body": "x"},
     ]
+
+
+def test_charts_read_their_lines_once(spark):
+    """Facts and parts come of one grouping of the lines: they are not made twice to be joined."""
+    from lectern.sources import records
+
+    lines = spark.createDataFrame([("a.md", n, s) for n, s in enumerate(["# One", "* order: 2", "* order: 3", "* columns: A | B", "", "Some", "text.", "## P", "- x // y | z", "* form: grid", "## Q", "# Two"])], "file string, line_no int, line string")
+    made = records.charts(lines)
+    assert [(r["slug"], r["title"], r["order"], r["form"], r["columns"], r["intro"], [(p["name"], p["rows"]) for p in r["parts"]]) for r in made.collect()] == [("a", "Two", 3.0, "grid", ["A", "B"], "Some text.", [("P", [[["x", "y"], ["z"]]]), ("Q", [])])]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
